@@ -18,9 +18,8 @@ an empty table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
-import re
-import zlib
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -28,35 +27,88 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
+from .wordbpe import LETTER, classes, spread
 
-SAMPLE_DOCS = 3000
+SAMPLE_DOCS = 1000
 HASHED = 1 << 17
 BLOCK = 128
-ROUNDS = 40
-CACHE = 300_000
-WORD = re.compile(r"[^\W\d_]+")
-
-
-def words(text: str | None) -> list[str]:
-    return WORD.findall(text.lower()) if text else []
-
-
-def features(word: str, lexicon: dict[str, str]) -> list[int]:
-    """Hashed affixes, character n-grams, and what the lexicon says of the word."""
-    w = f"^{word}$"
-    found = {f"w{word}", f"x{lexicon.get(word, '?')}"}
-    found.update(f"p{word[:k]}" for k in (1, 2, 3, 4))
-    found.update(f"s{word[-k:]}" for k in (1, 2, 3, 4))
-    found.update(f"n{w[i : i + k]}" for k in (2, 3) for i in range(len(w) - k + 1))
-    return [zlib.crc32(f.encode("utf-8", "surrogatepass")) % HASHED for f in found]
-
-
-def transfer(psi: np.ndarray, trans: np.ndarray) -> np.ndarray:
-    """Matrices that carry a state across whole blocks, each scaled to a largest entry of 1. psi: block, place, label."""
+ROUNDS = 20
+AT_ONCE = 4_000_000  # characters that are labelled at once
+PRIME = np.uint64(0x9E3779B97F4A7C15)
+
+
+class Words(NamedTuple):
+    """The words (runs of letters, in lower case) of some texts; the distinct ones by a 64-bit key."""
+
+    point: np.ndarray  # code points of all texts
+    start: np.ndarray  # of the distinct words
+    size: np.ndarray
+    key: np.ndarray
+    number: np.ndarray  # of each word in turn: its place among the distinct ones
+    first: np.ndarray  # of each word in turn: where it begins in point
+    per_text: np.ndarray  # words of each text
+    text_at: np.ndarray  # where each text begins in point
+
+
+def find_words(texts: list[str | None]) -> Words:
+    low = [t.lower() if t else "" for t in texts]
+    point = np.frombuffer(("\n" + "\n".join(low) + "\n").encode("utf-32-le", "surrogatepass"), np.uint32)
+    letter = (classes()[point] == LETTER).astype(np.int8)
+    turn = np.diff(letter)
+    start, end = np.flatnonzero(turn == 1) + 1, np.flatnonzero(turn == -1) + 1
+    size = end - start
+    text_at = 1 + np.append(0, np.cumsum([len(t) + 1 for t in low]))
+    per_text = np.diff(np.searchsorted(start, text_at))
+    if not len(start):
+        none = np.zeros(0, np.int64)
+        return Words(point, none, none, none.astype(np.uint64), none, none, per_text, text_at[:-1])
+    power = np.multiply.accumulate(np.full(int(size.max()), PRIME))
+    at = spread(start, size)
+    value = (point[at].astype(np.uint64) + np.uint64(1)) * power[at - np.repeat(start, size)]
+    key = np.add.reduceat(value, np.cumsum(size) - size)
+    distinct, one, number = np.unique(key, return_index=True, return_inverse=True)
+    return Words(point, start[one], size[one], distinct, number, start, per_text, text_at[:-1])
+
+
+def _hashed(tag: int, *parts: np.ndarray) -> np.ndarray:
+    h = np.full(len(parts[0]), tag * 0x632BE59BD9B4E019 % (1 << 64), np.uint64)
+    for p in parts:
+        h = (h ^ p.astype(np.uint64)) * PRIME
+        h ^= h >> np.uint64(29)
+    return ((h * PRIME) >> np.uint64(64 - 17)).astype(np.int64)
+
+
+def features(w: Words, lexicon: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct word, hashed feature): character n-grams, affixes, the word, and what the lexicon says of it."""
+    n = len(w.start)
+    owner, at = np.repeat(np.arange(n), w.size), spread(w.start, w.size)
+    end = w.start + w.size
+    here, before, after = (w.point[at + k].astype(np.uint64) for k in (0, -1, 1))
+    inside, last = at > np.repeat(w.start, w.size), at + 1 == np.repeat(end, w.size)
+    before, after = before * inside, after * ~last
+    every = np.arange(n)
+    out = [
+        (owner, _hashed(1, before, here)), (every, _hashed(1, w.point[end - 1], np.zeros(n))),
+        (owner, _hashed(2, before, here, after)), (every, _hashed(3, w.key)),
+    ]
+    prefix, suffix = [], []
+    for k in range(1, 5):
+        long = np.flatnonzero(w.size >= k)
+        prefix, suffix = [w.point[w.start[long] + i] for i in range(k)], [w.point[end[long] - 1 - i] for i in range(k)]
+        out += [(long, _hashed(10 + k, *prefix)), (long, _hashed(20 + k, *suffix))]
+    keys, label = lexicon
+    if len(keys):
+        i = np.minimum(np.searchsorted(keys, w.key), len(keys) - 1)
+        out.append((every, _hashed(4, np.where(keys[i] == w.key, label[i] + 1, 0))))
+    return np.concatenate([a for a, _ in out]), np.concatenate([b for _, b in out])
+
+
+def transfer(psi: np.ndarray, length: np.ndarray, trans: np.ndarray) -> np.ndarray:
+    """Matrices that carry a state across blocks, each scaled to a largest entry of 1. psi: block, place, label."""
     n, t, k = psi.shape
     m = np.broadcast_to(np.eye(k), (n, k, k)).copy()
     for i in range(t):
-        m = (m @ trans) * psi[:, i, None, :]
+        m = np.where((i < length)[:, None, None], (m @ trans) * psi[:, i, None, :], m)
         m /= m.max(axis=(1, 2), keepdims=True)
     return m
 
@@ -81,160 +133,127 @@ def marginals(psi: np.ndarray, length: np.ndarray, trans: np.ndarray, first: np.
     return out / out.sum(2, keepdims=True), alpha, beta
 
 
+def grid(number: np.ndarray, per_text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Blocks of words: word numbers (block by place), lengths, and the text of each block."""
+    blocks = -(-per_text // BLOCK)
+    text = np.repeat(np.arange(len(per_text)), blocks)
+    k = spread(np.zeros(len(per_text), np.int64), blocks)
+    length = np.minimum(BLOCK, per_text[text] - k * BLOCK)
+    out = np.zeros((len(text), int(length.max()) if len(text) else 1), np.int64)
+    row = np.repeat(np.arange(len(text)), length)
+    out[row, spread(np.zeros(len(text), np.int64), length)] = number
+    return out, length, text
+
+
 class Crf:
-    """labels, emission weights by hashed feature, transition scores; start is uniform."""
+    """labels, lexicon (sorted keys and label numbers), emission weights by hashed feature, transition scores; start is uniform."""
 
-    def __init__(self, labels: list[str], lexicon: dict[str, str]):
+    def __init__(self, labels: list[str], lexicon: tuple[np.ndarray, np.ndarray]):
         self.labels, self.lexicon = labels, lexicon
-        self.weights = np.zeros((HASHED, len(labels)), np.float32)
-        self.moves = np.zeros((len(labels), len(labels)))
-        self.known: dict[str, int] = {}
-        self.psi = np.zeros((1024, len(labels)))
-
-    def __getstate__(self):
-        return self.__dict__ | {"known": {}, "psi": np.zeros((1024, len(self.labels)))}
-
-    def emit(self, new: list[str]) -> np.ndarray:
-        lists = [features(w, self.lexicon) for w in new]
-        flat = np.fromiter((i for x in lists for i in x), np.int64)
-        starts = np.cumsum([0, *(len(x) for x in lists[:-1])])
-        return np.add.reduceat(self.weights[flat], starts, axis=0).astype(float)
-
-    def lookup(self, texts: list[list[str]]) -> list[np.ndarray]:
-        """Row numbers of the words in psi; new words are scored once."""
-        if len(self.known) > CACHE:
-            self.known = {}
-        known = self.known
-        new = [w for w in {w for ws in texts for w in ws} if w not in known]
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
-            score = np.clip(self.emit(part), -60, 60)
-            rows = np.exp(score - score.max(1, keepdims=True)) + 1e-12
-            low = len(known)
-            while low + len(part) > len(self.psi):
-                self.psi = np.concatenate([self.psi, np.zeros_like(self.psi)])
-            self.psi[low : low + len(part)] = rows
-            known.update(zip(part, range(low, low + len(part)), strict=True))
-        return [np.fromiter(map(known.__getitem__, ws), np.int64, len(ws)) for ws in texts]
-
-    def label_words(self, texts: list[list[str]]) -> list[np.ndarray]:
-        """For each text, the marginals of its words: words by labels."""
-        k = len(self.labels)
+        self.weights = np.zeros((HASHED, max(1, len(labels))))
+        self.moves = np.zeros((max(1, len(labels)),) * 2)
+
+    def emit(self, owner: np.ndarray, which: np.ndarray, n: int) -> np.ndarray:
+        score = np.stack([np.bincount(owner, self.weights[which, j], n) for j in range(self.weights.shape[1])], 1)
+        return np.exp(np.clip(score - score.max(1, keepdims=True), -60, 0)) + 1e-12
+
+    def label_words(self, w: Words) -> np.ndarray:
+        """The marginals of all words in turn: words by labels."""
+        k = len(self.moves)
+        if not len(w.number):
+            return np.zeros((0, k))
         trans = np.exp(self.moves - self.moves.max())
-        rows = self.lookup(texts)
-        blocks, doc = [], []
-        for d, r in enumerate(rows):
-            for at in range(0, len(r), BLOCK):
-                blocks.append(r[at : at + BLOCK])
-                doc.append(d)
-        if not blocks:
-            return [np.zeros((0, k)) for _ in texts]
-        length = np.array([len(b) for b in blocks])
-        grid = np.zeros((len(blocks), length.max()), np.int64)
-        for i, b in enumerate(blocks):
-            grid[i, : len(b)] = b
-        psi = self.psi[grid]
-        doc = np.array(doc)
-        starts = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])
-        sizes = np.diff(np.r_[starts, len(doc)])
-        first, last = np.full((len(blocks), k), 1 / k), np.full((len(blocks), k), 1 / k)
-        inner = np.flatnonzero(length == BLOCK)  # blocks with a neighbour behind them are full
+        owner, which = features(w, self.lexicon)
+        psi_v = self.emit(owner, which, len(w.key))
+        ids, length, text = grid(w.number, w.per_text)
+        psi = psi_v[ids]
+        starts = np.flatnonzero(np.append(True, text[1:] != text[:-1]))
+        sizes = np.diff(np.append(starts, len(text)))
+        first, last = np.full((len(text), k), 1 / k), np.full((len(text), k), 1 / k)
         if sizes.max() > 1:
-            chain = np.zeros((len(blocks), k, k))
-            chain[inner] = transfer(psi[inner], trans)
-            for j in range(1, sizes.max()):  # all documents that have a block j at once
+            many = np.flatnonzero(np.repeat(sizes > 1, sizes))
+            chain = np.zeros((len(text), k, k))
+            chain[many] = transfer(psi[many], length[many], trans)
+            for j in range(1, sizes.max()):  # all texts that have a block j at once
                 at = starts[sizes > j] + j
                 v = (first[at - 1, None, :] @ chain[at - 1])[:, 0]
                 first[at] = v / v.sum(1, keepdims=True)
-            for i in np.flatnonzero(length < BLOCK):
-                m = np.eye(k)
-                for x in psi[i, : length[i]]:
-                    m = (m @ trans) * x
-                    m /= m.max()
-                chain[i] = m
             for j in range(sizes.max() - 1, 0, -1):
                 at = starts[sizes > j] + j
                 v = (chain[at] @ last[at][:, :, None])[:, :, 0]
                 last[at - 1] = v / v.sum(1, keepdims=True)
         found, _, _ = marginals(psi, length, trans, first, last)
-        found = found.transpose(1, 0, 2)
-        flat = found[np.arange(found.shape[1])[None, :] < length[:, None]]
-        return np.split(flat, np.cumsum([len(r) for r in rows])[:-1])
+        return found.transpose(1, 0, 2)[np.arange(ids.shape[1])[None, :] < length[:, None]]
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
-        out = []
-        for m in self.label_words([words(t) for t in texts]) if self.labels else [np.zeros((0, 1))] * len(texts):
-            if not len(m):
-                out.append(("und", 0.0))
-                continue
-            mean = m.mean(0)
-            i = int(mean.argmax())
-            out.append((self.labels[i], float(min(1.0, mean[i]))))
+        """Language and score of each text."""
+        out: list[tuple[str, float]] = []
+        at = 0
+        while at < len(texts):
+            end, size = at, 0
+            while end < len(texts) and (end == at or size < AT_ONCE):
+                size += len(texts[end] or "")
+                end += 1
+            w = find_words(texts[at:end])
+            m, owner = self.label_words(w), np.repeat(np.arange(end - at), w.per_text)
+            sums = np.stack([np.bincount(owner, m[:, j], end - at) for j in range(m.shape[1])], 1) / np.maximum(1, w.per_text)[:, None]
+            best = sums.argmax(1)
+            for n, i, p in zip(w.per_text, best, sums[np.arange(end - at), best], strict=True):
+                out.append((self.labels[i], float(min(1.0, p))) if n and self.labels else ("und", 0.0))
+            at = end
         return out
 
+    def runs(self, text: str) -> list[tuple[int, int, str]]:
+        """(start, end, language) of the runs of words with one likeliest language, in code points of the lower-case text."""
+        w = find_words([text])
+        if not len(w.number):
+            return []
+        best, start = self.label_words(w).argmax(1), w.first - w.text_at[0]
+        end = start + w.size[w.number]
+        cut = np.flatnonzero(np.append(True, best[1:] != best[:-1]))
+        return [(int(start[a]), int(end[b]), self.labels[best[a]]) for a, b in zip(cut, np.append(cut[1:], len(best)) - 1, strict=True)]
+
 
 def train(texts: list[str], langs: list[str], rounds: int = ROUNDS) -> Crf:
     """Maximum conditional likelihood, L2-regularised, by Adagrad on all blocks of the sample."""
-    split = [words(t) for t in texts]
-    seen: dict[str, dict[str, int]] = {}
-    for ws, lang in zip(split, langs, strict=True):
-        for w in set(ws):
-            seen.setdefault(w, {}).setdefault(lang, 0)
-            seen[w][lang] += 1
-    lexicon = {}
-    for w, n in seen.items():
-        best = max(n, key=n.get)
-        if sum(n.values()) >= 3 and n[best] >= 0.8 * sum(n.values()):
-            lexicon[w] = best
-    model = Crf(sorted(set(langs)), lexicon)
-    k = len(model.labels)
-    if k < 2:
+    labels = sorted(set(langs))
+    k = len(labels)
+    w = find_words(texts)
+    lang = np.searchsorted(labels, langs)
+    pair = np.unique(np.repeat(np.arange(len(texts)), w.per_text) * max(1, len(w.key)) + w.number)
+    held = np.zeros((len(w.key), k))
+    np.add.at(held, (pair % max(1, len(w.key)), lang[pair // max(1, len(w.key))]), 1)
+    sure = (held.sum(1) >= 3) & (held.max(1, initial=0) >= 0.8 * held.sum(1))
+    model = Crf(labels, (w.key[sure], held[sure].argmax(1)))
+    if k < 2 or not len(w.number):
         return model
-    number = {lang: i for i, lang in enumerate(model.labels)}
-    vocabulary = {w: i for i, w in enumerate(seen)}
-    lists = [features(w, lexicon) for w in vocabulary]
-    flat = np.fromiter((i for x in lists for i in x), np.int64)
-    sizes = np.array([len(x) for x in lists])
-    owner, starts = np.repeat(np.arange(len(lists)), sizes), np.r_[0, np.cumsum(sizes)[:-1]]
-    blocks, gold = [], []
-    for ws, lang in zip(split, langs, strict=True):
-        ids = [vocabulary[w] for w in ws]
-        for at in range(0, len(ids), BLOCK):
-            blocks.append(ids[at : at + BLOCK])
-            gold.append(number[lang])
-    length, gold = np.array([len(b) for b in blocks]), np.array(gold)
-    grid = np.zeros((len(blocks), length.max()), np.int64)
-    for i, b in enumerate(blocks):
-        grid[i, : len(b)] = b
-    there = np.arange(grid.shape[1])[None, :] < length[:, None]
-    total = there.sum()
-    sums_w, sums_m = np.full(model.weights.shape, 1e-8, np.float32), np.full((k, k), 1e-8)
-    counts_gold = np.zeros((k, k))
-    np.add.at(counts_gold, (gold, gold), length - 1)
-    even = np.full((len(blocks), k), 1 / k)
+    owner, which = features(w, model.lexicon)
+    ids, length, text = grid(w.number, w.per_text)
+    gold = lang[text]
+    there = np.arange(ids.shape[1])[None, :] < length[:, None]
+    total, flat_word = there.sum(), ids[there]
+    sums_w, sums_m = np.full(model.weights.shape, 1e-12), np.full((k, k), 1e-12)
+    counts_gold = np.diag(np.bincount(gold, length - 1, k))
+    even = np.full((len(text), k), 1 / k)
     for _ in range(rounds):
-        score = np.clip(np.add.reduceat(model.weights[flat], starts, axis=0), -60, 60)
-        psi_v = np.exp(score - score.max(1, keepdims=True)) + 1e-12
         trans = np.exp(model.moves - model.moves.max())
-        psi = psi_v[grid]
+        psi = model.emit(owner, which, len(w.key))[ids]
         found, alpha, beta = marginals(psi, length, trans, even, even)
         expect = np.zeros((k, k))
-        for i in range(1, grid.shape[1]):
+        for i in range(1, ids.shape[1]):
             on = i < length
-            pair = alpha[i - 1][on][:, :, None] * trans * (psi[on, i] * beta[i][on])[:, None, :]
-            expect += (pair / pair.sum((1, 2), keepdims=True)).sum(0)
+            both = alpha[i - 1][on][:, :, None] * trans * (psi[on, i] * beta[i][on])[:, None, :]
+            expect += (both / both.sum((1, 2), keepdims=True)).sum(0)
         error = -found.transpose(1, 0, 2)
-        error[np.arange(len(blocks)), :, gold] += 1
-        by_word = np.zeros((len(lists), k))
-        flat_error, flat_word = error[there], grid[there]
-        for j in range(k):
-            by_word[:, j] = np.bincount(flat_word, flat_error[:, j], len(lists))
-        grad = np.stack([np.bincount(flat, by_word[owner, j], HASHED) for j in range(k)], 1) / total - 1e-6 * model.weights
-        sums_w += grad.astype(np.float32) ** 2
-        model.weights += (0.3 * grad / np.sqrt(sums_w)).astype(np.float32) * (np.abs(grad) > 1e-9)
+        error[np.arange(len(text)), :, gold] += 1
+        error = error[there]
+        by_word = np.stack([np.bincount(flat_word, error[:, j], len(w.key)) for j in range(k)], 1)
+        grad = np.stack([np.bincount(which, by_word[owner, j], HASHED) for j in range(k)], 1) / total - 1e-6 * model.weights
+        sums_w += grad**2
+        model.weights += 0.2 * grad / np.sqrt(sums_w)
         step = (counts_gold - expect) / total - 1e-4 * model.moves
         sums_m += step**2
-        model.moves += 0.3 * step / np.sqrt(sums_m)
+        model.moves += 0.2 * step / np.sqrt(sums_m)
     return model
 
 
@@ -244,7 +263,7 @@ def fit(docs: DataFrame, where, sample: int = SAMPLE_DOCS) -> Crf:
     ids = chosen.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     rows = chosen.join(F.broadcast(ids.distinct()), "doc_id", "left_semi").limit(2 * sample).toPandas().sort_values(["doc_id", "text", "lang"])
     if rows.empty:
-        return Crf([], {})
+        return Crf([], (np.zeros(0, np.uint64), np.zeros(0, np.int64)))
     return train(rows["text"].tolist(), rows["lang"].tolist())
 
 
@@ -255,9 +274,7 @@ def identify(docs: DataFrame, model: Crf) -> DataFrame:
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m = shared.value
         for pdf in batches:
-            told = []
-            for at in range(0, len(pdf), 500):
-                told += m.predict(pdf["text"].iloc[at : at + 500].tolist())
+            told = m.predict(pdf["text"].tolist())
             yield pd.concat([pdf[["doc_id"]], pd.DataFrame(told, columns=["lang_pred", "score"], index=pdf.index)], axis=1)
 
     return common.typed(common.texts(docs).mapInPandas(rows, "doc_id string, lang_pred string, score double"), docs)

@@ -13,10 +13,10 @@ ignored.
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from operator import eq
 
 import numpy as np
 import pandas as pd
@@ -36,34 +36,39 @@ THRESHOLD = 0.7
 STATISTICS = (
     "chars", "words", "mean_word", "longest_word", "lines", "mean_line", "repeated_lines", "distinct_words", "top_word",
     "immediate_repeats", "upper", "digits", "blanks", "symbols", "stops", "bangs", "bars", "non_ascii", "short_words",
-    "capital_words", "symbol_words", "compressed", "entropy", "top_pair",
+    "upper_a_word", "doubled_symbols", "compressed", "entropy", "distinct_share",
 )
-SYMBOL = re.compile(r"[^\w\s.,;:!?'\"()-]")
-SYMBOL_END = re.compile(r"[^\w\s.,;:?'\"()-]{2,}(?:\s|$)")
+# Classes of ASCII characters.
+DIGIT, UPPER, SPACE, PLAIN_MARK = "0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", " \t\n\v\f\r", ".,;:!?'\"()-_"
+_LOW = "abcdefghijklmnopqrstuvwxyz"
+_IS = np.zeros((5, 256), bool)
+for _k, _c in enumerate((DIGIT, UPPER, SPACE)):
+    _IS[_k, [ord(c) for c in _c]] = True
+_IS[3, :128] = ~np.isin(np.arange(128), [ord(c) for c in DIGIT + UPPER + SPACE + PLAIN_MARK + _LOW])
+_IS[4, 128:] = True
 
 
 def statistics(text: str | None) -> list[float]:
     """The document statistics, all finite, in the order of STATISTICS."""
     text = text or ""
+    raw = text.encode("utf-8", "surrogatepass")
     n, ws, lines = len(text), text.split(), text.split("\n")
-    w, counts, raw = len(ws), Counter(ws), text.encode("utf-8", "surrogatepass")
-    letters = Counter(text)
-    per = 1 / max(1, n)
-    per_word = 1 / max(1, w)
+    w, counts = len(ws), Counter(ws)
+    code = np.frombuffer(raw, np.uint8)
+    hist = np.bincount(code, minlength=256)
+    digits, upper, blank, symbols, high = (_IS @ hist).tolist()
+    per, per_word = 1 / max(1, n), 1 / max(1, w)
     sizes = np.fromiter(map(len, ws), np.int64, w) if w else np.zeros(1, np.int64)
-    p = np.fromiter(letters.values(), float) * per if n else np.ones(1)
-    pairs = Counter(zip(ws, ws[1:], strict=False))
-    upper = sum(c for x, c in letters.items() if x.isupper())
-    digits = sum(c for x, c in letters.items() if x.isdigit())
-    blank = sum(c for x, c in letters.items() if x.isspace())
-    symbols = sum(c for x, c in letters.items() if SYMBOL.match(x))
+    p = hist[hist > 0] / max(1, len(raw))
+    odd = _IS[3][code]
+    doubled = int((odd[1:] & odd[:-1]).sum())
     return [
         np.log1p(n), np.log1p(w), float(sizes.mean()), float(np.log1p(sizes.max())), np.log1p(len(lines)), np.log1p(n / len(lines)),
         1 - len(set(lines)) / len(lines), len(counts) / np.sqrt(max(1, w)), max(counts.values(), default=0) * per_word,
-        sum(a == b for a, b in zip(ws, ws[1:], strict=False)) * per_word, upper * per, digits * per, blank * per, symbols * per,
-        sum(letters[x] for x in ".?") * per_word, letters["!"] * per_word, letters["|"] * per_word, (len(raw) - n) * per,
-        float((sizes <= 3).mean()), sum(x[0].isupper() for x in ws) * per_word, len(SYMBOL_END.findall(text)) * per_word,
-        len(zlib.compress(raw, 1)) / max(1, len(raw)), float(-(p * np.log2(p)).sum()), max(pairs.values(), default=0) * per_word,
+        sum(map(eq, ws, ws[1:])) * per_word, upper * per, digits * per, blank * per, symbols * per,
+        (hist[46] + hist[63]) * per_word, hist[33] * per_word, hist[124] * per_word, high * per,
+        float((sizes <= 3).mean()), upper * per_word, doubled * per_word,
+        len(zlib.compress(raw, 1)) / max(1, len(raw)), float(-(p * np.log2(p)).sum()), len(counts) * per_word,
     ]
 
 
