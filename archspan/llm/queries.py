@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, crf, media, packing, quality, secrets
+from . import common, crf, media, neardup, packing, quality, secrets
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,5 +39,9 @@ def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_features(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_quality_classifier, op4_best_fit_packing, op5_language_id, op6_secret_scans, op9_media_columns)}
+def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"), words=4)
+
+
+QUERIES = {f.__name__: f for f in (op3_quality_classifier, op4_best_fit_packing, op5_language_id, op6_secret_scans, op9_media_columns, op10_near_duplicates)}
 ORACLES: dict[str, str] = {}
