@@ -34,12 +34,12 @@ from . import common
 
 SAMPLE = 10_000
 QUERIES = 20_000
-BLOCK = 16_384
-REFINE = 160
+BLOCK = 4096
+REFINE = 256
 SUB = 4
 CODES = 16
 LISTS = 32
-PROBES = 16
+PROBES = 26
 THRESHOLD = 0.2  # cosine from which inner products count, in the anisotropic weight
 SWEEPS = 6
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, common, crf, lines, media, neardup, packing, quality, secrets, urls
+from . import ann, common, crf, lines, media, neardup, packing, pieces, quality, secrets, urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,10 @@ def op1_anisotropic_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(vectors, vectors.where("vec_id % 100 = 0"))
 
 
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.report(table(spark, sf_dir, "documents"))
+
+
 def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = quality.fit(docs, table(spark, sf_dir, "labels"), common.crc_mod("doc_id", 4) != 2)
@@ -60,6 +64,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_anisotropic_neighbours,
+        op2_sentencepiece,
         op3_quality_classifier,
         op4_best_fit_packing,
         op5_language_id,

@@ -129,34 +129,7 @@ class WordIds:
         n, width = code.shape
         symbols = np.where(np.arange(width) < length[:, None], self.inner[code], -1).astype(np.int32)
         symbols[np.arange(n), length - 1] = self.last[code[np.arange(n), length - 1]]
-        done, length = np.full((n, width), -1, np.int32), length.copy()
-        row = np.arange(n)
-        rank = self.pairs.rank(symbols[:, :-1].ravel(), symbols[:, 1:].ravel()).reshape(n, width - 1)
-        while True:
-            best = rank.argmin(1)
-            least = rank[np.arange(len(rank)), best]
-            live = least < NONE
-            if not live.all():
-                over = ~live
-                done[row[over], : symbols.shape[1]] = symbols[over]
-                row, symbols, rank, best, least = row[live], symbols[live], rank[live], best[live], least[live]
-            if not len(row):
-                break
-            every, w = np.arange(len(row)), symbols.shape[1]
-            symbols[every, best] = self.pairs.new[least]
-            take = np.arange(w - 1) + (np.arange(w - 1) > best[:, None])
-            symbols = np.take_along_axis(symbols, take, 1)
-            length[row] -= 1
-            if w == 2:
-                done[row, :1] = symbols
-                break
-            take = np.arange(w - 2) + (np.arange(w - 2) >= best[:, None])
-            rank = np.take_along_axis(rank, take, 1)
-            for shift in (-1, 0):  # only the pairs beside the new symbol change
-                at = best + shift
-                ok = (at >= 0) & (at < w - 2)
-                rank[every[ok], at[ok]] = self.pairs.rank(symbols[every[ok], at[ok]], symbols[every[ok], at[ok] + 1])
-        return done[done >= 0], length
+        return merge_all(symbols, length, self.pairs)
 
     def _plain(self, texts: list[str]) -> list[bytes]:
         """Ids of lower-case texts. A pre-token is a run of letters, a number, or a run of symbols; see ENDINGS."""
@@ -225,6 +198,39 @@ class WordIds:
                 out[i] = x
 
 
+def merge_all(symbols: np.ndarray, length: np.ndarray, pairs: Pairs) -> tuple[np.ndarray, np.ndarray]:
+    """Symbols of rows (padded by -1) after all merges, row behind row, and how many each row has: the leftmost pair of least rank first."""
+    n, width = symbols.shape
+    done, length = np.full((n, width), -1, np.int32), length.copy()
+    row = np.arange(n)
+    if width == 1:
+        return symbols.ravel(), length
+    rank = pairs.rank(symbols[:, :-1].ravel(), symbols[:, 1:].ravel()).reshape(n, width - 1)
+    while True:
+        best = rank.argmin(1)
+        least = rank[np.arange(len(rank)), best]
+        live = least < NONE
+        if not live.all():
+            over = ~live
+            done[row[over], : symbols.shape[1]] = symbols[over]
+            row, symbols, rank, best, least = row[live], symbols[live], rank[live], best[live], least[live]
+        if not len(row):
+            break
+        every, w = np.arange(len(row)), symbols.shape[1]
+        symbols[every, best] = pairs.new[least]
+        symbols = np.take_along_axis(symbols, np.arange(w - 1) + (np.arange(w - 1) > best[:, None]), 1)
+        length[row] -= 1
+        if w == 2:
+            done[row, :1] = symbols
+            break
+        rank = np.take_along_axis(rank, np.arange(w - 2) + (np.arange(w - 2) >= best[:, None]), 1)
+        for shift in (-1, 0):  # only the pairs beside the new symbol change
+            at = best + shift
+            ok = (at >= 0) & (at < w - 2)
+            rank[every[ok], at[ok]] = pairs.rank(symbols[every[ok], at[ok]], symbols[every[ok], at[ok] + 1])
+    return done[done >= 0], length
+
+
 def spread(begin: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """begin, begin + 1, ... for each entry, counts numbers each, one entry behind the other."""
     ends = np.cumsum(counts)
