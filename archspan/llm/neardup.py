@@ -9,9 +9,10 @@
                bucket's least class, and a block gives a spanning forest of its
                likeliest pairs.
 3. verify:     pairs are confirmed on the full sets of the two texts.
-4. components: of the confirmed links. In large buckets whose classes are still
-               in several components, all pairs across components are
-               estimated, block by block, and confirmed: no link is left out.
+4. components: of the confirmed links. Classes that meet in large buckets and
+               are still in several components form families, in which all
+               pairs across components are confirmed, block by block, with no
+               pair written out: no link is left out.
 
 Cases: empty text or text without words: an empty set, linked with nothing;
 null text is empty text; rows of one doc_id are one document; a null doc_id has
@@ -42,6 +43,8 @@ SMALL = 64
 BLOCK = 512
 DEVIATIONS = 5  # of the estimate, below the threshold, up to which pairs are confirmed
 PAIRS_AT_ONCE = 40_000
+EXACT_BLOCK = 256
+COLUMNS = 4096
 
 
 def describe(docs: DataFrame, words: int) -> DataFrame:
@@ -188,30 +191,65 @@ def candidates(members: DataFrame, percent: int) -> DataFrame:
     return dealt.select("key", "block", "size", "node", "n", "sketch").mapInArrow(rows, "a long, b long").distinct()
 
 
-def across(members: DataFrame, percent: int) -> DataFrame:
-    """Distinct pairs of different components in one bucket, of members (key, i, j, small, node, component, n, sketch).
+def intersections(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of each left set with each right one, by products of incidence matrices, a slice of columns at a time."""
+    sizes = [len(x) for x in left + right]
+    _, column, often = np.unique(np.concatenate(left + right), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    many = often[column] > 1
+    row, column = row[many], np.unique(column[many], return_inverse=True)[1]
+    out = np.zeros((len(left), len(right)), np.float32)
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    cuts = np.searchsorted(column, np.arange(0, (column[-1] if len(column) else -1) + COLUMNS + 1, COLUMNS))
+    for k, (lo, hi) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+        m = np.zeros((len(sizes), COLUMNS), np.float32)
+        m[row[lo:hi], column[lo:hi] - k * COLUMNS] = 1
+        out += m[: len(left)] @ m[len(left) :].T
+    return out
+
+
+def across(members: DataFrame, words: int, percent: int) -> DataFrame:
+    """(u, v): links between different components of one family, confirmed on full sets, of members (family, i, j, small, node, component, text).
 
-    small marks the rows of a block of the bucket's smaller components, which meets a block j of all its rows.
+    small marks the rows of a block of the family's smaller components, which meets a block j of all its rows. A
+    block hands on the links that join components anew in it, so fewer than it has rows.
     """
-    least = least_estimate(percent)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for c, sizes in groups(batches, ["key", "i", "j"]):
+        for c, sizes in groups(batches, ["family", "i", "j"]):
             for s, n in zip(np.cumsum(sizes) - sizes, sizes, strict=True):
                 at = np.arange(s, s + n)
-                left, right = at[c["small"][at]], at[~c["small"][at]]
-                step = max(1, PAIRS_AT_ONCE // max(1, len(right)))
-                for k in range(0, len(left), step):
-                    part = left[k : k + step]
-                    a, b = np.repeat(part, len(right)), np.tile(right, len(part))
-                    on = c["component"][a] != c["component"][b]
-                    a, b = a[on], b[on]
-                    on = estimates(c, a, b, percent) >= least
-                    if on.any():
-                        yield told(c, a[on], b[on])
-
-    dealt = members.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    return dealt.select("key", "i", "j", "small", "node", "component", "n", "sketch").mapInArrow(rows, "a long, b long").distinct()
+                one, two = at[c["small"][at]], at[~c["small"][at]]
+                if not len(one) or not len(two):
+                    continue
+                texts = c["text"][np.concatenate([one, two])].tolist()
+                h, count = shingle_sets(texts, words)
+                sets = np.split(h, np.cumsum(count)[:-1])
+                both = intersections(sets[: len(one)], sets[len(one) :])
+                union = count[: len(one), None] + count[None, len(one) :] - both
+                x, y = np.nonzero((100 * both >= percent * union) & (c["component"][one][:, None] != c["component"][two][None, :]))
+                tree = forest(c["component"][one[x]], c["component"][two[y]], both[x, y])
+                x, y = c["node"][one[x[tree]]], c["node"][two[y[tree]]]
+                yield pa.record_batch({"u": pa.array(x, pa.int64()), "v": pa.array(y, pa.int64())})
+
+    dealt = members.repartition("family", "i", "j").sortWithinPartitions("family", "i", "j")
+    return dealt.select("family", "i", "j", "small", "node", "component", "text").mapInArrow(rows, "u long, v long").distinct()
+
+
+def open_families(dealt: DataFrame, found: DataFrame) -> DataFrame | None:
+    """(family, node, component, all, main, n_main): classes that meet in large buckets of several components; None where there are none."""
+    large = dealt.where(F.col("size") > SMALL).select("key", "node").distinct()
+    large = large.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    mixed_keys = large.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("node").alias("least")).where("lo <> hi")
+    there = common.durable(large.join(mixed_keys.select("key", "least"), "key").select("node", "least", "component").distinct(), "open")
+    if there.isEmpty():
+        return None
+    family = connected_components(there.select(F.col("node").alias("u"), F.col("least").alias("v"))).withColumnRenamed("component", "family")
+    nodes = common.durable(there.select("node", "component").distinct().join(family, "node"), "families")
+    sizes = nodes.groupBy("family", "component").agg(F.count("*").alias("n"))
+    sizes = sizes.groupBy("family").agg(F.sum("n").alias("all"), F.max_by("component", F.struct("n", "component")).alias("main"), F.max("n").alias("n_main"))
+    return nodes.join(sizes, "family").where("n_main < all")
 
 
 def confirm(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
@@ -261,18 +299,13 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
         links = links.unionByName(shared)
     found = connected_components(links)
 
-    large = dealt.where(F.col("size") > SMALL).select("key", "node").distinct()
-    large = large.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    sizes = large.groupBy("key", "component").agg(F.count("*").alias("n_component"))
-    mixed_ = sizes.groupBy("key").agg(F.sum("n_component").alias("all"), F.max_by("component", "n_component").alias("main"), F.max("n_component").alias("n_main"), F.count("*").alias("k"))
-    open_ = common.durable(large.join(mixed_.where("k > 1"), "key"), "open")
-    if not open_.isEmpty():
-        n_all, n_rest = (F.ceil(x / BLOCK).cast("int") for x in (F.col("all"), F.col("all") - F.col("n_main")))
+    if (members := open_families(dealt, found)) is not None:
+        n_all, n_rest = (F.ceil(x / EXACT_BLOCK).cast("int") for x in (F.col("all"), F.col("all") - F.col("n_main")))
         i, j = F.pmod(F.xxhash64("node"), n_rest).cast("int"), F.pmod(F.xxhash64("node"), n_all).cast("int")
-        every = open_.select("key", "node", "component", F.explode(F.sequence(F.lit(0), n_rest - 1)).alias("i"), j.alias("j"), F.lit(False).alias("small"))
-        rest = open_.where("component <> main").select("key", "node", "component", i.alias("i"), F.explode(F.sequence(F.lit(0), n_all - 1)).alias("j"), F.lit(True).alias("small"))
-        more = common.durable(across(every.unionByName(rest).join(classes, "node"), percent).join(pairs, ["a", "b"], "left_anti"), "more")
-        links = links.unionByName(confirm(more, texts_of(more, docs), words, percent))
+        every = members.select("family", "node", "component", F.explode(F.sequence(F.lit(0), n_rest - 1)).alias("i"), j.alias("j"), F.lit(False).alias("small"))
+        rest = members.where("component <> main").select("family", "node", "component", i.alias("i"), F.explode(F.sequence(F.lit(0), n_all - 1)).alias("j"), F.lit(True).alias("small"))
+        texts = texts_of(members.select(F.col("node").alias("a"), F.col("node").alias("b")), docs)
+        links = links.unionByName(common.durable(across(every.unionByName(rest).join(texts, "node"), words, percent), "more"))
         found = connected_components(links)
 
     node = by_set.join(found, "node", "left").select("f1", "f2", F.coalesce("component", "node").alias("component_id"))
