@@ -1,4 +1,4 @@
 """Registered queries."""
 
-from . import points, reports, sequences  # noqa: F401
+from . import models, points, reports, sequences, shapes  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401
