@@ -31,6 +31,11 @@ def durable(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small(ids: DataFrame, most: int = 1_000_000) -> DataFrame:
+    """ids, a written table of one long a row, marked for broadcast while it has at most most rows (8 MB); beyond that, joins shuffle."""
+    return F.broadcast(ids) if ids.count() <= most else ids
+
+
 def forget(spark: SparkSession, path: str) -> None:
     """Removes an intermediate table that nothing reads any more."""
     jvm = spark.sparkContext._jvm

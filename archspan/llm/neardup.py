@@ -328,4 +328,4 @@ def texts_of(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """node, text of the nodes of pairs (a, b): a row for each distinct text of an id, so one where ids are unique."""
     nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
     texts = docs.selectExpr("cast(doc_id as bigint) AS node", "text")
-    return common.durable(texts.join(nodes, "node", "left_semi").distinct(), "texts")
+    return common.durable(texts.join(common.small(common.durable(nodes, "wanted")), "node", "left_semi").distinct(), "texts")
