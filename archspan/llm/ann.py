@@ -70,7 +70,7 @@ def vectors(b: pa.RecordBatch, dim: int | None = None) -> tuple[np.ndarray, np.n
 
 
 def pad(x: np.ndarray) -> np.ndarray:
-    return np.pad(x, ((0, 0), (0, -x.shape[1] % SUB))).reshape(len(x), -1, SUB)
+    return np.pad(x, ((0, 0), (0, -x.shape[1] % SUB))).reshape(len(x), -(-x.shape[1] // SUB), SUB)
 
 
 def encode(x: np.ndarray, books: np.ndarray, weight: float, sweeps: int = 3) -> np.ndarray:
