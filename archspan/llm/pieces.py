@@ -38,7 +38,7 @@ CHUNK = 32_768
 LONGEST = 32  # characters of a word that is segmented in a batch with others
 SPACE = "▁"
 OTHER = 1 << 20  # symbol numbers of unknown characters start here
-BATCH = 3_000_000
+BATCH = 1_500_000
 State = tuple[int, int]  # start and end of a piece, counted from the cut
 
 
@@ -396,7 +396,7 @@ def report(docs: DataFrame, path: str | None = None, chunk: int = CHUNK) -> Data
             yield pa.record_batch({"doc_id": b.column("doc_id"), "row": b.column("row"), "part": b.column("part"), "n": n, "s": s, "w": w, "ok": b.column("round_trip")})
 
     found = encode(docs, path, chunk).withColumn("doc_id", F.col("doc_id").cast("string"))
-    found = found.mapInArrow(rows, "doc_id string, row long, part int, n long, s long, w long, ok boolean")
+    found = common.durable(found.mapInArrow(rows, "doc_id string, row long, part int, n long, s long, w long, ok boolean"), "digests")  # both kinds of rows are read from it
     one = found.where("row IS NULL").selectExpr("doc_id", "n AS n_ids", "s AS ids_sum", "w AS ids_weighted", "1L AS parts", "ok AS round_trip")
     many = found.where("row IS NOT NULL").groupBy("row", "doc_id").agg(F.sort_array(F.collect_list(F.struct("part", "n", "s", "w"))).alias("p"), F.bool_and("ok").alias("round_trip"))
     start = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("s"), F.lit(0).cast("long").alias("w"))
