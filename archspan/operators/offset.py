@@ -28,19 +28,35 @@ def offset_ring(ring: Column, d: float, tolerance: float = 1e-6) -> Column:
     """Vertices of the ring after the offset: neighbours' lines meet; beyond the miter limit, and between parallels that don't coincide, a connector of two feet."""
     n = F.size(ring)
 
-    def corner(i: Column) -> Column:
-        before, here = F.get(ring, (i + n - 1) % n), F.get(ring, i)
-        a, b, x, y = _line(before, d), _line(here, d), here["x1"], here["y1"]
+    def resolved(c: Column) -> Column:
+        a, b, x, y = c["a"], c["b"], c["x"], c["y"]
         meet = planar.miter(planar.meet(a["px"], a["py"], a["ux"], a["uy"], b["px"], b["py"], b["ux"], b["uy"]), x, y, d, MITER)
         feet = F.array(_foot(x, y, a), _foot(x, y, b))
         parallel = F.abs(planar.cross(a["ux"], a["uy"], b["ux"], b["uy"])) <= 1e-9
         one_line = parallel & (F.abs(planar.cross(b["px"] - a["px"], b["py"] - a["py"], a["ux"], a["uy"])) <= tolerance)
-        kept = F.array(F.struct(x.alias("x"), y.alias("y")))
-        return F.when(~before["movable"] & ~here["movable"], kept).when(one_line, F.slice(feet, 1, 1)).when(meet.isNotNull(), F.array(meet)).otherwise(feet)
+        met = _bind(meet, lambda m: F.when(m.isNotNull(), F.array(m)).otherwise(feet))
+        return F.when(c["fixed"], F.array(F.struct(x.alias("x"), y.alias("y")))).when(one_line, F.slice(feet, 1, 1)).otherwise(met)
+
+    def corner(i: Column) -> Column:
+        sides = F.struct(F.get(ring, (i + n - 1) % n).alias("p"), F.get(ring, i).alias("q"))
+        lines = lambda s: F.struct(
+            _line(s["p"], d).alias("a"), _line(s["q"], d).alias("b"), s["q"]["x1"].alias("x"), s["q"]["y1"].alias("y"), (~s["p"]["movable"] & ~s["q"]["movable"]).alias("fixed")
+        )
+        return _bind(sides, lambda s: _bind(lines(s), resolved))
 
     return F.flatten(F.transform(F.sequence(F.lit(0), n - 1), corner))
 
 
+def _bind(value: Column, then) -> Column:
+    """then(value), with value computed once however often it is named."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
+def _once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """df with a column that later projections can't be folded into, so that it is computed once a row."""
+    return df.select("*", F.explode(F.array(F.struct(value.alias("value")))).alias(name))
+
+
 def closed(points: Column) -> Column:
     """x, y, x, y, ... of vertices, closed."""
     return F.flatten(F.transform(F.concat(points, F.slice(points, 1, 1)), lambda p: F.array(p["x"], p["y"])))
@@ -67,17 +83,19 @@ def offset_polygons(rings: DataFrame, d: float, strategy: str = "linework") -> D
     old = st("polygon_of", closed(F.transform("ring", lambda s: F.struct(s["x1"].alias("x"), s["y1"].alias("y")))))
     if not d:
         return out.withColumn("geom", old).withColumn("skip_reason", F.lit(None).cast("string")).drop("reason")
-    new = st("polygon_of", closed(offset_ring(F.col("ring"), d)))
+    out = _once(out, "v", F.when(ok, offset_ring(F.col("ring"), d)))
+    new = st("polygon_of", closed(F.col("v.value")))
     if strategy == "boolean_patch":
         quad = lambda s: st("polygon_of", F.array(s["x1"], s["y1"], s["x2"], s["y2"], *(_far(s, d)), s["x1"], s["y1"]))
         quads = F.transform(F.filter("ring", lambda s: s["movable"]), quad)
         whole = F.forall("ring", lambda s: s["movable"])
         joined = st("union_all", F.concat(F.array(old, new), quads)) if d > 0 else st("intersection", old, new)
         new = F.when(whole, new).otherwise(joined)
-    out = out.withColumn("r", F.when(ok, F.struct(new.alias("geom"))))
-    good = F.col("r").isNotNull() & st("is_valid", "r.geom") & (st("num_parts", "r.geom") == 1) & (st("area", "r.geom") > 1e-9)
-    reason = F.coalesce("reason", F.when(~good, "geometry_offset_failed"))
-    return out.withColumn("skip_reason", reason).withColumn("geom", F.when(F.col("skip_reason").isNull(), F.col("r.geom"))).drop("reason", "r")
+    out = _once(out, "r", F.when(ok, new))
+    g = F.col("r.value")
+    good = g.isNotNull() & st("is_valid", g) & (st("num_parts", g) == 1) & (st("area", g) > 1e-9)
+    out = _once(out, "s", F.coalesce("reason", F.when(~good, "geometry_offset_failed")))
+    return out.withColumn("skip_reason", F.col("s.value")).withColumn("geom", F.when(F.col("skip_reason").isNull(), g)).drop("reason", "v", "r", "s")
 
 
 def _far(s: Column, d: float) -> list[Column]:
