@@ -33,7 +33,7 @@ SAMPLE_DOCS = 1000
 HASHED = 1 << 17
 BLOCK = 128
 ROUNDS = 20
-AT_ONCE = 4_000_000  # characters that are labelled at once
+AT_ONCE = 2_000_000  # characters that are labelled at once
 PRIME = np.uint64(0x9E3779B97F4A7C15)
 
 

@@ -38,7 +38,7 @@ CHUNK = 32_768
 LONGEST = 32  # characters of a word that is segmented in a batch with others
 SPACE = "▁"
 OTHER = 1 << 20  # symbol numbers of unknown characters start here
-BATCH = 1_500_000
+BATCH = 1_000_000
 State = tuple[int, int]  # start and end of a piece, counted from the cut
 
 

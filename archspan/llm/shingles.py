@@ -7,7 +7,7 @@ import numpy as np
 from .wordbpe import spread
 
 PRIME = np.uint64(0x9E3779B97F4A7C15)
-AT_ONCE = 3_000_000  # bytes of text that are hashed at once
+AT_ONCE = 1_500_000  # bytes of text that are hashed at once
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32  # A-Z, and no other letters
 _BLANK = np.zeros(256, bool)

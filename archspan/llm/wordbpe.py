@@ -18,7 +18,7 @@ from unicodedata import is_normalized
 import numpy as np
 
 LONGEST = 48  # bytes of a word that is merged here
-BATCH = 3_000_000  # characters that are encoded at once
+BATCH = 1_000_000  # characters that are encoded at once
 NONE = np.int32(1 << 30)
 SPECIAL = "<|"
 BLANK, LETTER, NUMBER, SYMBOL = range(4)
