@@ -6,10 +6,16 @@ The boilerplate of one host is small by construction: with `percent`, at most
 100 / percent times the mean number of lines of its pages. DataFrame functions
 alone are used, and lines are compared by two 64-bit hashes.
 
+The report counts page rows, as its SQL does. `drop_lines`, which goes before a
+near-duplicate stage, must not take a text away with all its copies. There, exact
+copies within a host count as one page; a page that would lose all its lines
+keeps them; and of pages that lose lines and are near copies of each other, the
+one of the least id keeps its lines.
+
 Cases: null text stays null; blank lines stay; pages of a null host are a host
-of their own; hosts where a line is on fewer than `least` pages keep it; a page
-may end up with empty text, and stays; repeated rows are pages of their own; an
-empty table gives an empty result; all other columns stay as they are.
+of their own; hosts where a line is on fewer than `least` pages keep it; in the
+report a page may end up with empty text, and repeated rows are pages of their
+own; an empty table gives an empty result; all other columns stay as they are.
 """
 
 from __future__ import annotations
@@ -17,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import common
+from . import common, neardup
 
 PERCENT = 5
 LEAST = 3
@@ -27,19 +33,22 @@ def _key(line):
     return F.struct(F.xxhash64(line).alias("k1"), F.xxhash64(F.lit(17), line).alias("k2"))
 
 
-def boilerplate(docs: DataFrame, host: str = "source", percent: int = PERCENT, least: int = LEAST) -> DataFrame:
-    """host, lines: the keys of each host's boilerplate."""
-    pages = docs.select(F.col(host).alias("host"), "text")
-    lines = pages.select("host", F.explode(F.array_distinct(F.split("text", "\n", -1))).alias("line")).where("trim(line) <> ''")
-    counts = lines.select("host", _key(F.col("line")).alias("k")).groupBy("host", "k").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+def boilerplate(docs: DataFrame, host: str = "source", percent: int = PERCENT, least: int = LEAST, once: bool = False) -> DataFrame:
+    """host, lines: the keys of each host's boilerplate. With once, a host's pages of equal text count as one."""
+    pages = docs.select(F.col(host).alias("host"), "text", *[_key(F.col("text")).alias("page")] * once)
+    lines = pages.select(*pages.drop("text").columns, F.explode(F.array_distinct(F.split("text", "\n", -1))).alias("line")).where("trim(line) <> ''")
+    lines = lines.withColumn("k", _key(F.col("line"))).drop("line")
+    if once:
+        lines, pages = lines.distinct(), pages.drop("text").distinct()
+    counts = lines.groupBy("host", "k").agg(F.count("*").alias("n")).where(F.col("n") >= least)
     total = pages.groupBy("host").agg(F.count("*").alias("pages")).withColumnRenamed("host", "h")
     often = counts.join(total, F.col("host").eqNullSafe(F.col("h"))).where(F.expr(f"100 * n > {percent} * pages"))
     return often.groupBy("host").agg(F.collect_list("k").alias("lines"))
 
 
-def marked(docs: DataFrame, host: str = "source", percent: int = PERCENT, least: int = LEAST) -> DataFrame:
+def marked(docs: DataFrame, host: str = "source", percent: int = PERCENT, least: int = LEAST, once: bool = False) -> DataFrame:
     """docs with __clean, the text without boilerplate lines, and __lines and __dropped, their numbers."""
-    bad = common.durable(boilerplate(docs, host, percent, least), "boilerplate").withColumnsRenamed({"host": "__host", "lines": "__bad"})
+    bad = common.durable(boilerplate(docs, host, percent, least, once), "boilerplate").withColumnsRenamed({"host": "__host", "lines": "__bad"})
     out = docs.join(bad, docs[host].eqNullSafe(bad["__host"]), "left")
     split = F.split("text", "\n", -1)
     kept = F.filter(split, lambda x: (F.trim(x) == "") | ~F.array_contains(F.col("__bad"), _key(x)))
@@ -49,8 +58,13 @@ def marked(docs: DataFrame, host: str = "source", percent: int = PERCENT, least:
 
 
 def drop_lines(docs: DataFrame, host: str = "source", percent: int = PERCENT, least: int = LEAST) -> DataFrame:
-    """docs with their boilerplate lines gone from text; n_chars, where there is such a column, follows."""
-    out = marked(docs, host, percent, least).withColumn("text", F.col("__clean"))
+    """docs with their boilerplate lines gone from text, but no text gone with all its copies; n_chars, where there is such a column, follows."""
+    out = marked(docs, host, percent, least, once=True)
+    stripped = (F.col("__dropped") > 0) & (F.trim(F.translate("__clean", "\n", " ")) != "")
+    near = neardup.near_duplicates(common.durable(out.where(stripped).select("doc_id", "text"), "stripped"))
+    first = near.where("NOT kept").select(F.col("component_id").alias("__first")).distinct()
+    out = out.join(common.small(common.durable(first, "first")), F.col("doc_id").cast("bigint") == F.col("__first"), "left")
+    out = out.withColumn("text", F.when(stripped & F.col("__first").isNull(), F.col("__clean")).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
     return out.select(docs.columns)

@@ -187,6 +187,18 @@ def test_lines(spark, cases, empty):
     assert lines.drop_lines(cases).columns == cases.columns and lines.drop_lines(empty).count() == 0
 
 
+def test_lines_of_copies_stay_once(spark):
+    rng = np.random.default_rng(8)
+    line = lambda: " ".join(f"w{x}" for x in rng.integers(0, 10**6, 20))
+    base, tail = [line() for _ in range(10)], [line() for _ in range(10)]
+    near = ["\n".join([*base[:k], f"v{k} " + base[k], *base[k + 1 :]]) for k in range(10)]
+    texts = ["\n".join(tail)] * 12 + near + [f"menu\n{line()}" for _ in range(20)] + ["menu"]
+    out = {r["doc_id"]: r["text"] for r in lines.drop_lines(documents(spark, texts, source=["a"] * len(texts))).collect()}
+    assert [out[i] for i in range(12)] == texts[:12]  # exact copies are one page
+    assert out[12] == near[0] and all(out[12 + k] == near[k].split("\n")[k] for k in range(1, 10))  # one near copy stays whole
+    assert all(out[i] == texts[i].split("\n")[1] for i in range(22, 42)) and out[42] == "menu"
+
+
 def test_urls(spark):
     link = '<html><link rel="canonical" href="%s"></html>'
     rows = [

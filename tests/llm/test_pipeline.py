@@ -5,6 +5,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from archspan.llm import common, lines, packing, quality, secrets, wordbpe
 
@@ -67,6 +68,20 @@ def test_each_stage_against_a_plain_version(spark):
             assert len({r["sequence_id"] for r in after}) == len([1 for _, n in packing.patterns(Counter(x for *_, x in want)) for _ in range(n)])
 
 
+def test_one_of_a_group_of_copies_stays_whole(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").where("text IS NOT NULL")
+    source = docs.groupBy("source").count().orderBy("count", "source").first()["source"]
+    exact, base = ("\n".join(" ".join(f"{a}{i}x{j}" for j in range(30)) for i in range(8)) for a in "pq")
+    near = [base.replace(f"q{k % 8}x7", f"r{k}") for k in range(40)]
+    more = spark.createDataFrame([(10**9 + k, t) for k, t in enumerate([exact] * 40 + near)], "doc_id long, text string")
+    more = docs.where(docs.source == source).limit(1).drop("doc_id", "text", "n_chars").crossJoin(more.withColumn("n_chars", F.char_length("text")))
+    docs = docs.unionByName(more.select([F.col(c).cast(docs.schema[c].dataType) for c in docs.columns]))
+    for stage in (corpus_pipeline.line_dedup, corpus_pipeline.near_duplicates):
+        docs = common.durable(stage(spark, docs, SF), "copies")
+    left = [r["text"] for r in docs.where("doc_id >= 1000000000").collect()]
+    assert left.count(exact) == 1 and sum(t in near for t in left) == 1 and "" not in left
+
+
 def test_run_gives_the_last_stage(spark):
     out = corpus_pipeline.run(spark, SF)
     assert out.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"] and out.count() > 0
