@@ -37,13 +37,14 @@ LEAST_VALUE = 8
 KEYWORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 
 # Method parameters.
-RUN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,}={0,2}(?![A-Za-z0-9+/_=-])")
+RUN = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}={0,2}(?![A-Za-z0-9+/_=-])")
 MAX_CHARS_PER_TOKEN = 2.0
 DIGEST = re.compile(r"(?:[0-9a-fA-F]{32}|[0-9a-fA-F]{40}|[0-9a-fA-F]{56}|[0-9a-fA-F]{64}|[0-9a-fA-F]{96}|[0-9a-fA-F]{128})\Z")
+WORD = r"(?:[A-Z]?[a-z]+|[A-Z]+|(?:[a-z]{2,}|[A-Z][a-z]{2,})(?:[A-Z][a-z]{2,})+)"  # lower, upper, Capitalised, camelCase of longer words
 IDENTIFIER = re.compile(
     r"(?:[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}"  # UUID
     r"|[0-9_+/=-]+"  # numbers, dates, rules
-    r"|[A-Za-z]+(?:[_/-][A-Za-z]+)*[_/-]?[0-9]{0,6}"  # words, also joined, with a number behind
+    rf"|{WORD}(?:[_/-]{WORD})*[_/-]?[0-9]{{0,6}}"  # words, also joined, with a number behind
     r")\Z"
 )
 

@@ -135,6 +135,15 @@ def test_secrets(spark, cases, empty):
     assert secrets.scan(empty).count() == 0 and secrets.redact(empty).count() == 0
 
 
+def test_random_strings_after_signs_and_of_letters():
+    for key in ("q7Zt9XvB2mKp4LsW8dRj6Yhc", "qZtXvBmKpLsWdRjYhcGnTfUe", "wJalrXUtnFEMI/K7MDENG/bPxRfiCYzQpL7tKv"):
+        for text in ("client_key=%s", "AWS_SECRET_ACCESS_KEY=%s\n", 'export KEY="%s"', "KEY='%s'", "key: %s", "key:%s", "https://h.org/p?sig=%s&x=1", "A_LONG_NAME_OF_A_VARIABLE==%s", "x = %s="):
+            out = secrets.redacted(text % key)
+            assert key not in out and "[REDACTED]" in out, (text, key)
+    for word in ("internationalisation", "MAX_CHARS_PER_TOKEN_LIMIT", "getElementsByTagNameFromTree", "Donaudampfschifffahrtsgesellschaft", "some/long-path/of_words/123456", "x=550e8400-e29b-41d4-a716-446655440000"):
+        assert secrets.redacted(word) == word
+
+
 def test_quality(spark, cases, empty):
     good = [f"The cat number {i} sat on the mat. It was a fine day." for i in range(80)]
     bad = [f"|| x{i} || y || z || ||" for i in range(80)]
