@@ -5,9 +5,11 @@ quantised in subspaces of four dimensions with 16 codewords each (four bits);
 the codebooks and the codes penalise the residual parallel to a vector more than
 the rest of it, since that part changes large inner products. A task holds its
 own blocks of vectors: queries' tables are added up over the codes of the lists
-near them, the best REFINE of a block are measured exactly, and each task hands
-on a query's nearest alone. Vectors are never shuffled; queries are broadcast in
-chunks of at most QUERIES.
+near them, the best REFINE of a block are measured exactly, and so is every other
+row whose score, raised by DEVIATIONS of its list's quantisation error along the
+query, reaches the nearest of those: codes that can't tell rows apart leave none
+out. Each task hands on a query's nearest alone. Vectors are never shuffled;
+queries are broadcast in chunks of at most QUERIES.
 
 The codebooks and list centres are fitted on at most SAMPLE vectors (the smallest
 hashes of ids); all vectors are searched.
@@ -36,6 +38,7 @@ SAMPLE = 10_000
 QUERIES = 20_000
 BLOCK = 4096
 REFINE = 256
+DEVIATIONS = 3  # of the quantisation error, by which a row's score may be too low
 SUB = 4
 CODES = 16
 LISTS = 32
@@ -131,6 +134,16 @@ def nearest_lists(x: np.ndarray, centres: np.ndarray, k: int) -> np.ndarray:
     return np.argsort(d, axis=1, kind="stable")[:, :k]
 
 
+def deviations(index: Index, q: np.ndarray, u: np.ndarray, codes: np.ndarray, rows_of: list[np.ndarray]) -> np.ndarray:
+    """Query, list: the root mean square of the inner products of the query and the residuals of the list's rows."""
+    out = np.zeros((len(q), len(rows_of)), np.float32)
+    for c, at in enumerate(rows_of):
+        if len(at):
+            r = u[at] - index.books[np.arange(codes.shape[1]), codes[at]].reshape(len(at), -1)[:, : u.shape[1]]
+            out[:, c] = np.sqrt(np.maximum(0, ((q @ (r.T @ r / len(at))) * q).sum(1)))
+    return out
+
+
 def scan(index: Index, q_ids: np.ndarray, q: np.ndarray, lists: np.ndarray, tables: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int):
     """(query number, id, distance) of each query's k nearest of a block."""
     order = np.lexsort((ids, *x.T[::-1]))  # equal vectors together, ids ascending
@@ -138,20 +151,31 @@ def scan(index: Index, q_ids: np.ndarray, q: np.ndarray, lists: np.ndarray, tabl
     first = np.flatnonzero(np.append(True, (x[1:] != x[:-1]).any(1)))
     copies = np.diff(np.append(first, len(x)))
     u = x[first]
-    codes, half = encode(u, index.books, index.weight).astype(np.intp), (u**2).sum(1).astype(np.float32) / 2
+    codes, half = encode(u, index.books, index.weight).astype(np.intp), (u**2).sum(1) / 2
     member = nearest_lists(u, index.centres, 1)[:, 0]
     rows_of = [np.flatnonzero(member == c) for c in range(len(index.centres))]
+    slack = deviations(index, q, u, codes, rows_of)
+    mine, n_mine = np.unique(ids[np.isin(ids, q_ids)], return_counts=True)
+    own = np.zeros(len(q), int)
+    own[np.searchsorted(q_ids, mine)] = n_mine  # rows of a query's own id are no candidates
     out = []
     for i in range(len(q)):
         at = np.concatenate([rows_of[c] for c in lists[i]])
         if len(at) < min(k + 1, len(u)):
             at = np.arange(len(u))
-        score = -half[at]
+        score = -half[at].astype(np.float32)
         for m in range(codes.shape[1]):
             score += tables[i, m][codes[at, m]]
         if len(at) > REFINE:
             cut = np.argpartition(-score, REFINE - 1)[:REFINE]
-            at = at[cut]
+            exact = u[at[cut]] @ q[i] - half[at[cut]]
+            least = np.partition(exact, -(k + own[i]))[-(k + own[i])] if k + own[i] <= REFINE else -np.inf
+            more = score + DEVIATIONS * slack[i, member[at]] >= least
+            more[cut] = True
+            at = at[more]
+            exact = u[at] @ q[i] - half[at]
+            best = min(len(at), k + own[i])
+            at = at[exact >= np.partition(exact, -best)[-best] - 1e-9 * (half[at].max() + (q[i] ** 2).sum())]  # rounding
         d = np.sqrt(((u[at] - q[i]) ** 2).sum(1))
         n = np.minimum(copies[at], k + 1)  # the least ids of equal vectors, and the query's own may be one of them
         place = np.repeat(first[at], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)

@@ -254,5 +254,25 @@ def test_neighbours(spark):
     assert ann.search(t.limit(0), t.limit(0)).count() == 0
 
 
+def test_neighbours_in_a_tight_cluster():
+    rng = np.random.default_rng(1)
+    n, k = 12_288, 10
+    x = np.where(rng.random((n, 1)) < 1 / 3, rng.normal(size=64) + rng.normal(0, 0.01, (n, 64)), rng.normal(size=(n, 64)))  # a third in one cluster, all distinct
+    index = ann.fit(x[:6000], 64)
+    q_ids = np.sort(np.argsort(((x - np.median(x, 0)) ** 2).sum(1))[:60])
+    q = x[q_ids]
+    tables = np.einsum("qms,mcs->qmc", ann.pad(q), index.books).astype(np.float32)
+    best = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+    for at in np.array_split(np.arange(n), n // ann.BLOCK):
+        found = ann.scan(index, q_ids, q, ann.nearest_lists(q, index.centres, ann.PROBES), tables, at, x[at], k)
+        best = ann.top(*(np.concatenate(z) for z in zip(best, found, strict=True)), k)
+    hits = 0
+    for i, v in enumerate(q):
+        d = ((x - v) ** 2).sum(1)
+        d[q_ids[i]] = np.inf
+        hits += len(set(best[1][best[0] == i]) & set(np.argsort(d)[:k]))
+    assert hits >= 0.98 * k * len(q)
+
+
 def test_queries_are_registered():
     assert [int(re.match(r"op(\d+)_", n)[1]) for n in queries.QUERIES] == list(range(1, 11))
