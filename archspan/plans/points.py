@@ -171,6 +171,12 @@ def d22_largest_component(spark, d):
     return heights.component_areas(cells, ["tile", "layer"])
 
 
+@query()
+def d22_all_components(spark, d):
+    """All cells of every layer; checked against a plain version in the tests, since recursive SQL is slow on dense components."""
+    return heights.component_areas(_layers(spark, d), ["tile", "layer"])
+
+
 @query(oracle("""SELECT f.pid, CASE WHEN coalesce(n, 0) = 0 THEN 'no_points' WHEN n < 25 THEN 'too_few_points' WHEN n > 40 THEN 'too_many_points' ELSE 'task' END AS status, coalesce(n, 0) AS point_count
 FROM footprint f LEFT JOIN (SELECT pid, count(*) AS n FROM point GROUP BY pid) q USING (pid)"""))
 def d26_batch_status(spark, d):

@@ -57,3 +57,25 @@ def test_estimates_equal_the_plain_estimator(spark):
             b = box.loc[pid]
             want = heights.estimate(p["x"].to_numpy(), p["y"].to_numpy(), p["z"].to_numpy(), (b.x0, b.y0, b.x0 + 24, b.y0 + 20))
             assert got[pid]["error"] == want.get("error") and (got[pid]["underpass_z"] or 0) == pytest.approx(want.get("underpass_z", 0))
+
+
+def test_largest_components_of_whole_layers(spark):
+    from archspan.plans import points
+
+    cells = {}
+    for r in points._layers(spark, SF).collect():
+        cells.setdefault((r["tile"], r["layer"]), set()).add((r["row"], r["col"]))
+    want = {}
+    for key, left in cells.items():
+        best = 0
+        while left:
+            todo, n = [left.pop()], 0
+            while todo:
+                n += 1
+                a, b = todo.pop()
+                near = {(a + i, b + j) for i in (-1, 0, 1) for j in (-1, 0, 1)} & left
+                left -= near
+                todo += near
+            best = max(best, n)
+        want[key] = best * 0.25
+    assert {(r["tile"], r["layer"]): r["area"] for r in plans.QUERIES["d22_all_components"](spark, SF).collect()} == want
