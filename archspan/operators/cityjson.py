@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import planar
+from ..functions.binding import bind, once
 
 SURFACES = "struct<surfaces: array<map<string, string>>, values: string>"
 OBJECT = f"struct<type: string, attributes: map<string, string>, geometry: array<struct<type: string, lod: string, boundaries: string, semantics: {SURFACES}>>, parents: array<string>, children: array<string>>"
@@ -19,9 +20,8 @@ SOLID = "array<array<array<array<int>>>>"
 
 
 def parse(lines: DataFrame, column: str = "value") -> DataFrame:
-    """lines with feature (null for other lines)."""
-    f = F.from_json(column, FEATURE)
-    return lines.withColumn("feature", F.when(f["type"] == "CityJSONFeature", f))
+    """lines with feature (null for other lines), parsed once a line."""
+    return once(lines, feature=bind(F.from_json(column, FEATURE), lambda f: F.when(f["type"] == "CityJSONFeature", f)))
 
 
 def header(lines: DataFrame, column: str = "value") -> DataFrame:
@@ -31,9 +31,9 @@ def header(lines: DataFrame, column: str = "value") -> DataFrame:
 
 
 def without_key(column: Column, key: str) -> Column:
-    """JSON text of an object less one of its keys, as a map of raw texts would write it."""
-    m = F.from_json(column, "map<string, string>")
-    return F.to_json(F.map_filter(m, lambda k, v: k != key))
+    """JSON text of an object less one of its keys; what is left keeps its types."""
+    m = F.parse_json(column).cast("map<string, variant>")
+    return F.to_json(F.to_variant_object(F.map_filter(m, lambda k, v: k != key)))
 
 
 def main_object(feature: Column) -> Column:
@@ -53,12 +53,14 @@ def vertices(feature: Column, scale: Column, translate: Column) -> Column:
 
 def faces(features: DataFrame, scale: list[float], translate: list[float], lod: str = "2.2") -> DataFrame:
     """id, face, kind, source, rings of each face of the solids: rings are arrays of real points, the outer one first."""
-    g = features.where("feature IS NOT NULL").select(F.col("feature.id").alias("id"), solid(F.col("feature"), lod).alias("g"), vertices(F.col("feature"), F.array(*map(F.lit, scale)), F.array(*map(F.lit, translate))).alias("v"))
-    g = g.where("g IS NOT NULL").select("id", "v", "g.semantics.surfaces", F.from_json("g.boundaries", SOLID).alias("b"), F.from_json("g.semantics.values", "array<array<int>>").alias("values"))
-    f = g.select("id", "v", "surfaces", F.get("values", F.lit(0)).alias("values"), F.posexplode(F.get("b", F.lit(0))).alias("face", "r"))
+    kept = features.where("feature IS NOT NULL").select(F.col("feature.id").alias("id"), solid(F.col("feature"), lod).alias("g"), F.col("feature.vertices").alias("q"))
+    g = once(kept, g=F.col("g"), q=F.col("q")).where("g IS NOT NULL")
+    parsed = once(g, surfaces=F.col("g.semantics.surfaces"), b=F.get(F.from_json("g.boundaries", SOLID), F.lit(0)), values=F.get(F.from_json("g.semantics.values", "array<array<int>>"), F.lit(0)))
+    f = parsed.select("id", "q", "surfaces", "values", F.posexplode("b").alias("face", "r"))
     s = F.get("surfaces", F.get("values", F.col("face")))
-    point = lambda i: F.struct(*[F.get(F.get("v", i), F.lit(k)).alias(c) for k, c in enumerate("xyz")])
-    return f.select("id", "face", s["type"].alias("kind"), s["id"].alias("source"), F.transform("r", lambda ring: F.transform(ring, point)).alias("rings"))
+    place = lambda i, k: F.get(F.get("q", i), F.lit(k)) * scale[k] + translate[k]
+    point = lambda i: F.struct(*[place(i, k).alias(c) for k, c in enumerate("xyz")])
+    return once(f.select("id", "face", s.alias("s"), "q", "r"), kind=F.col("s.type"), source=F.col("s.id"), rings=F.transform("r", lambda ring: F.transform(ring, point))).select("id", "face", "kind", "source", "rings")
 
 
 def face_area(rings: Column) -> Column:
@@ -74,13 +76,13 @@ def underpass_areas(f: DataFrame) -> DataFrame:
 
 def statistics(features: DataFrame) -> DataFrame:
     """kind, value of what the features hold: counts of features, objects, geometries and vertices, and of objects and geometries by type."""
-    f = features.where("feature IS NOT NULL").select("feature")
-    o = f.select(F.explode(F.map_values("feature.CityObjects")).alias("o"))
-    g = o.select(F.explode("o.geometry").alias("g"))
-    totals = f.agg(F.count("*").alias("features"), F.sum(F.size("feature.vertices")).alias("vertices"), F.sum(F.size("feature.CityObjects")).alias("objects"))
-    rows = totals.selectExpr("stack(3, 'features', features, 'vertices', vertices, 'objects', objects) AS (kind, value)")
-    by = lambda d, c, p: d.groupBy(F.concat(F.lit(p), c).alias("kind")).agg(F.count("*").alias("value"))
-    return rows.unionByName(by(o, F.col("o.type"), "object ")).unionByName(by(g, F.col("g.type"), "geometry "))
+    one = lambda kind, n=1: F.struct(F.lit(kind).alias("kind") if isinstance(kind, str) else kind.alias("kind"), F.lit(n).cast("long").alias("n") if isinstance(n, int) else n.cast("long").alias("n"))
+    objects = F.map_values("feature.CityObjects")
+    kinds = F.transform(objects, lambda o: one(F.concat(F.lit("object "), o["type"])))
+    shapes = F.flatten(F.transform(F.filter(objects, lambda o: o["geometry"].isNotNull()), lambda o: F.transform(o["geometry"], lambda g: one(F.concat(F.lit("geometry "), g["type"])))))
+    totals = F.array(one("features"), one("vertices", F.size("feature.vertices")), one("objects", F.size("feature.CityObjects")))
+    told = features.where("feature IS NOT NULL").select(F.inline(F.concat(totals, kinds, shapes)))
+    return told.groupBy("kind").agg(F.sum("n").alias("value"))
 
 
 def levels(features: DataFrame) -> DataFrame:

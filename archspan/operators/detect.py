@@ -43,9 +43,3 @@ def underpasses(parts: DataFrame, sliver: float = SLIVER) -> DataFrame:
 
     kept = parts.where(not_sliver(F.col("geom"), sliver))
     return numbered(kept, ["identificatie", "part"], "underpass_id").select("underpass_id", "identificatie", "geom")
-
-
-def rectangle_differences(buildings: DataFrame, sliver: float = SLIVER) -> DataFrame:
-    """Detection in closed form where both polygons are upright rectangles cut on one side: columns alone, inside generated code."""
-    wide = F.least("cut", "h") > 2 * sliver
-    return buildings.where((F.col("cut") > 0) & wide).select("identificatie", (F.col("cut") * F.col("h")).alias("area"))

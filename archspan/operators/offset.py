@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import planar
+from ..functions.binding import bind, once
 from ..functions.geometry import st
 
 MITER = 10.0
@@ -34,7 +35,7 @@ def offset_ring(ring: Column, d: float, tolerance: float = 1e-6) -> Column:
         feet = F.array(_foot(x, y, a), _foot(x, y, b))
         parallel = F.abs(planar.cross(a["ux"], a["uy"], b["ux"], b["uy"])) <= 1e-9
         one_line = parallel & (F.abs(planar.cross(b["px"] - a["px"], b["py"] - a["py"], a["ux"], a["uy"])) <= tolerance)
-        met = _bind(meet, lambda m: F.when(m.isNotNull(), F.array(m)).otherwise(feet))
+        met = bind(meet, lambda m: F.when(m.isNotNull(), F.array(m)).otherwise(feet))
         return F.when(c["fixed"], F.array(F.struct(x.alias("x"), y.alias("y")))).when(one_line, F.slice(feet, 1, 1)).otherwise(met)
 
     def corner(i: Column) -> Column:
@@ -42,19 +43,13 @@ def offset_ring(ring: Column, d: float, tolerance: float = 1e-6) -> Column:
         lines = lambda s: F.struct(
             _line(s["p"], d).alias("a"), _line(s["q"], d).alias("b"), s["q"]["x1"].alias("x"), s["q"]["y1"].alias("y"), (~s["p"]["movable"] & ~s["q"]["movable"]).alias("fixed")
         )
-        return _bind(sides, lambda s: _bind(lines(s), resolved))
+        return bind(sides, lambda s: bind(lines(s), resolved))
 
     return F.flatten(F.transform(F.sequence(F.lit(0), n - 1), corner))
 
 
-def _bind(value: Column, then) -> Column:
-    """then(value), with value computed once however often it is named."""
-    return F.get(F.transform(F.array(value), then), F.lit(0))
-
-
 def _once(df: DataFrame, name: str, value: Column) -> DataFrame:
-    """df with a column that later projections can't be folded into, so that it is computed once a row."""
-    return df.select("*", F.explode(F.array(F.struct(value.alias("value")))).alias(name))
+    return once(df, **{name: F.struct(value.alias("value"))})
 
 
 def closed(points: Column) -> Column:

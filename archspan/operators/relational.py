@@ -8,6 +8,8 @@ from operator import and_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .spatial import spatial_join
+
 
 def pending(df: DataFrame, conditions: list[Column], cell: Column | None = None, key: str = "underpass_id", limit: int | None = None) -> DataFrame:
     """Rows that meet all conditions, in the order of cell and key; limit is for a report or a trial run."""
@@ -61,12 +63,15 @@ def with_fallback(features: DataFrame, values: DataFrame, key: str, value: str,
     return out.withColumn("source", F.when(F.col(value).isNull(), "fallback").otherwise("measured")).withColumn(value, F.coalesce(value, drawn))
 
 
-def larger_containers(df: DataFrame, key: str, group: str, inside: Column) -> DataFrame:
-    """Rows that no other row of their group contains: a self join within groups. inside: of columns i_* in o_*; ties stay with the smaller key."""
-    i = df.select(*[F.col(c).alias(f"i_{c}") for c in df.columns])
-    o = df.select(*[F.col(c).alias(f"o_{c}") for c in df.columns])
-    held = i.join(o, (F.col(f"i_{group}") == F.col(f"o_{group}")) & (F.col(f"i_{key}") != F.col(f"o_{key}")) & inside)
-    return df.join(held.select(F.col(f"i_{key}").alias(key)), key, "left_anti")
+def larger_containers(df: DataFrame, key: str, group: str, bounds: str, inside: Column, size: float) -> DataFrame:
+    """Rows that no other row of their group contains. inside: of columns i_* in o_*, whose bounds must meet as well; ties stay with the smaller key.
+
+    Rows meet in cells of a grid, so a large group is no single key.
+    """
+    i = df.select(*[F.col(c).alias(f"i_{c}") for c in df.columns], F.col(bounds).alias("l_bounds"), F.col(group).alias("__g"))
+    o = df.select(*[F.col(c).alias(f"o_{c}") for c in df.columns], F.col(bounds).alias("r_bounds"), F.col(group).alias("__g"))
+    held = spatial_join(i, o, size, lambda _: (F.col(f"i_{key}") != F.col(f"o_{key}")) & inside, ["__g"])
+    return df.join(held.select(F.col(f"i_{key}").alias(key)).distinct(), key, "left_anti")
 
 
 def checked_lookup(df: DataFrame, table: DataFrame, key: str) -> DataFrame:

@@ -5,18 +5,24 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import durable
+
+PLACE_BITS = 33  # fixed value: the bits of monotonically_increasing_id() below the partition's number
 HANNING = [0.25, 0.75, 1.0, 0.75, 0.25]  # hanning(7) without its zero ends; the sum is 3
 
 
 def numbered(df: DataFrame, order: list[str], name: str = "id", first: int = 1) -> DataFrame:
-    """df with consecutive ids in the order of columns: ranks within range partitions, and the partitions' starts, so that no task holds all rows."""
-    spark = df.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cut = df.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("__part", F.spark_partition_id())
-    cut = cut.withColumn("__rank", F.row_number().over(Window.partitionBy("__part").orderBy(*order)))
+    """df with consecutive ids in the order of columns: places within range partitions, and the partitions' starts, so that no task holds all rows.
+
+    Range bounds come from a sample that each evaluation draws anew, so partitions and places are written once and
+    both branches read them. There are as many starts as partitions.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cut = df.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("__at", F.monotonically_increasing_id())
+    cut = durable(cut, "numbered").withColumn("__part", F.shiftright("__at", PLACE_BITS)).withColumn("__place", F.col("__at").bitwiseAND((1 << PLACE_BITS) - 1))
     sizes = cut.groupBy("__part").agg(F.count("*").alias("n"))
-    starts = sizes.withColumn("__start", F.coalesce(F.sum("n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
-    return cut.join(F.broadcast(starts), "__part").withColumn(name, F.col("__rank") + F.col("__start") + (first - 1)).drop("__part", "__rank", "__start")
+    starts = sizes.select("__part", (F.sum("n").over(Window.orderBy("__part")) - F.col("n")).alias("__start"))
+    return cut.join(F.broadcast(starts), "__part").withColumn(name, F.col("__place") + F.col("__start") + first).drop("__at", "__part", "__place", "__start")
 
 
 def smoothed(bins: DataFrame, key: str, value: str, at: str = "bin") -> DataFrame:
@@ -87,17 +93,21 @@ def separated(ranked: Column, distance: int) -> Column:
     return F.aggregate(ranked, empty, lambda a, x: F.when(F.forall(a, lambda y: F.abs(x - y) >= distance), F.concat(a, F.array(x))).otherwise(a))
 
 
-def second_highest(values: Column, share: float) -> Column:
-    """share of the second highest value, of the only one, or 0."""
-    d = F.sort_array(values, False)
-    return share * F.coalesce(F.get(d, F.lit(1)), F.get(d, F.lit(0)), F.lit(0))
+def second_highest(df: DataFrame, keys: list[str], value: str, share: float, name: str = "threshold") -> DataFrame:
+    """keys, share of the second highest value of each key, or of its only one; a key's two best alone are held."""
+    best = top(df, keys, [F.desc_nulls_last(value)], 2).groupBy(*keys)
+    return best.agg((share * F.coalesce(F.when(F.count(value) > 1, F.min(value)), F.max(value), F.lit(0))).alias(name))
 
 
 def every_kth(df: DataFrame, keys: list[str], at: str, budget: int) -> DataFrame:
-    """At most about budget rows of each key, evenly by their order: the sampling is the feature."""
-    w = Window.partitionBy(*keys)
-    n, i = F.count("*").over(w), F.row_number().over(w.orderBy(at)) - 1
-    return df.withColumn("__i", i).withColumn("__s", F.ceil(n / budget)).where("__i % __s = 0").drop("__i", "__s")
+    """At most about budget rows of each key, evenly by their order: the sampling is the feature.
+
+    Rows are numbered over all keys by range partitions, so that a key with most of the rows is many tasks' work.
+    """
+    rows = numbered(df, [*keys, at], "__i", 0)
+    sizes = rows.groupBy(*keys).agg(F.min("__i").alias("__first"), F.ceil(F.count("*") / budget).alias("__s"))
+    sizes = sizes.withColumnsRenamed({k: f"__{k}" for k in keys})
+    return rows.join(sizes, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]).where("(__i - __first) % __s = 0").select(df.columns)
 
 
 def natural_key(c: Column) -> list[Column]:

@@ -79,13 +79,13 @@ def k14_x11_attributes_merged(spark, d):
     return cityjson.with_attributes(f, values).select("id", "changed")
 
 
-@query(oracle("SELECT 'CityJSON' AS type, '2.0' AS version, false AS has_extensions, 0.5e0 AS scale_x"))
+@query("SELECT s_suppkey, 'CityJSON' AS type, '2.0' AS version, false AS has_extensions, (s_suppkey % 4 + 1) * 0.25e0 AS scale_x FROM supplier")
 def d48_header_rewrite(spark, d):
-    line = '{"type":"CityJSON","version":"2.0","transform":{"scale":[0.5,0.5,0.25],"translate":[1,2,3]},"extensions":{"a":1}}'
-    h = spark.range(1).select(F.lit(line).alias("value"))
-    out = h.select(cityjson.without_key(F.col("value"), "extensions").alias("value")).select(F.from_json("value", "map<string, string>").alias("m"))
-    s = cityjson.header(h).select(F.col("scale")[0].alias("scale_x"))
-    return out.select(F.col("m.type").alias("type"), F.col("m.version").alias("version"), F.map_contains_key("m", F.lit("extensions")).alias("has_extensions")).join(s)
+    """A header line for each supplier's model, with a scale of its own."""
+    value = F.concat(F.lit('{"type":"CityJSON","version":"2.0","transform":{"scale":['), ((F.col("s_suppkey") % 4 + 1) * 0.25).cast("string"), F.lit(',0.5,0.25],"translate":[1,2,3]},"extensions":{"a":1}}'))
+    h = table(spark, d, "supplier").select("s_suppkey", cityjson.without_key(value, "extensions").alias("value"))
+    out = cityjson.header(h.withColumn("m", F.from_json("value", "map<string, string>")))
+    return out.select("s_suppkey", F.col("m.type").alias("type"), F.col("m.version").alias("version"), F.map_contains_key("m", F.lit("extensions")).alias("has_extensions"), F.col("scale")[0].alias("scale_x"))
 
 
 @query(oracle("SELECT pid, 0.5e0 * x0 + 100 AS x, (3 + pid % 5) * 0.25e0 AS z FROM footprint"))
@@ -282,7 +282,8 @@ def j20_larger_containers(spark, d):
 
     c = F.col
     holds = (c("o_w") * c("o_h") > c("i_w") * c("i_h")) & (c("o_w") >= c("i_w")) & (c("o_h") >= c("i_h"))
-    return larger_containers(table(spark, d, "footprint").select("pid", "y0", "w", "h"), "pid", "y0", holds).select("pid")
+    f = table(spark, d, "footprint").select("pid", "y0", "w", "h", F.array(F.lit(0.0), F.lit(0.0), "w", "h").alias("bounds"))  # moved to one corner, so that all of a row meet
+    return larger_containers(f, "pid", "y0", "bounds", holds, 40.0).select("pid")
 
 
 @query(oracle("SELECT pid, arg_min(road_id, abs(y0 - y) * 100000 + road_id) AS road_id FROM footprint JOIN road ON xa <= x0 AND xb >= x0 AND abs(y0 - y) <= 50 GROUP BY pid"))
@@ -295,7 +296,7 @@ def j19_nearest_within(spark, d):
     return spatial_join(f, r, 100.0).groupBy("pid").agg(F.min_by("road_id", F.struct(F.abs(F.col("y0") - F.col("y")), "road_id")).alias("road_id"))
 
 
-@query("SELECT l_orderkey, l_linenumber, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS i FROM lineitem WHERE l_quantity > 40")
+@query("SELECT l_orderkey, l_linenumber, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS i FROM lineitem")
 def w3_row_index(spark, d):
     w = Window.partitionBy("l_orderkey").orderBy("l_linenumber")
-    return table(spark, d, "lineitem").where("l_quantity > 40").select("l_orderkey", "l_linenumber", F.row_number().over(w).cast("long").alias("i"))
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.row_number().over(w).cast("long").alias("i"))

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.geometry import boxes_meet
 from ..operators import heights, sequences, spatial
 from .registry import query
 from .synth import oracle, table
@@ -62,21 +61,22 @@ def d7_car_accessible(spark, d):
     return spatial.spatial_join(f, r.select("road_id", F.expr("array(xa, y, xb, y) AS r_bounds")), 40.0, how="left_semi").select("pid")
 
 
-@query(oracle("""SELECT a.pid AS a, b.pid AS b FROM footprint a JOIN footprint b ON a.pid < b.pid AND b.pid <= a.pid + 101 AND a.x0 - 15 <= b.x0 + b.w + 15 AND b.x0 - 15 <= a.x0 + a.w + 15
+@query(oracle("""SELECT a.pid AS a, b.pid AS b FROM footprint a JOIN footprint b ON a.pid < b.pid AND a.x0 - 15 <= b.x0 + b.w + 15 AND b.x0 - 15 <= a.x0 + a.w + 15
 AND a.y0 - 15 <= b.y0 + b.h + 15 AND b.y0 - 15 <= a.y0 + a.h + 15"""))
 def j10_spatial_join(spark, d):
     box = "array(x0 - 15, y0 - 15, x0 + w + 15, y0 + h + 15)"
     f = table(spark, d, "footprint")
     out = spatial.spatial_join(f.select(F.col("pid").alias("a"), F.expr(f"{box} AS l_bounds")), f.select(F.col("pid").alias("b"), F.expr(f"{box} AS r_bounds")), 80.0)
-    return out.where("a < b AND b <= a + 101").select("a", "b")
+    return out.where("a < b").select("a", "b")
 
 
-@query(oracle("""SELECT a.pid, s.underpass_id FROM footprint a JOIN status s ON s.identificatie = a.identificatie AND a.x0 <= 2000 AND s.underpass_z >= 5"""))
+@query(oracle("""SELECT a.pid AS a, b.pid AS b FROM footprint a JOIN footprint b ON a.pid < b.pid AND a.pid % 3 = b.pid % 3 AND a.x0 - 30 <= b.x0 + b.w + 30 AND b.x0 - 30 <= a.x0 + a.w + 30
+AND a.y0 - 30 <= b.y0 + b.h + 30 AND b.y0 - 30 <= a.y0 + a.h + 30"""))
 def j11_spatial_with_equality(spark, d):
-    """The equality is the hash key; bounds are the residual."""
-    f = table(spark, d, "footprint").select("pid", "identificatie", F.expr("array(x0, y0, x0 + w, y0 + h) AS l_bounds"))
-    s = table(spark, d, "status").where("underpass_z >= 5").select("underpass_id", "identificatie", F.expr("array(-1d, -1d, 2000d, 1e9d) AS r_bounds"))
-    return f.join(s, "identificatie").where(boxes_meet(F.col("l_bounds"), F.col("r_bounds"))).select("pid", "underpass_id")
+    """Pairs whose widened bounds meet and that are of one owner: the owner is part of the cell's key."""
+    f = table(spark, d, "footprint").select("pid", (F.col("pid") % 3).alias("owner"), F.expr("array(x0 - 30, y0 - 30, x0 + w + 30, y0 + h + 30) AS bounds"))
+    left, right = (f.select(F.col("pid").alias(n), "owner", F.col("bounds").alias(b)) for n, b in (("a", "l_bounds"), ("b", "r_bounds")))
+    return spatial.spatial_join(left, right, 100.0, on=["owner"]).where("a < b").select("a", "b")
 
 
 @query(oracle("""SELECT f.pid, CAST(floor(f.x0 / 400) * 1000 + floor(f.y0 / 400) AS BIGINT) AS tile FROM footprint f"""))
@@ -160,15 +160,15 @@ def _layers(spark, d):
     return table(spark, d, "point").select("tile", *at, (1 + F.floor(F.col("z") / 4)).cast("int").alias("layer")).distinct()
 
 
-@query(oracle(f"""WITH RECURSIVE {_LAYERS},
-n AS (SELECT tile, layer, "row" * 1000 + col AS c FROM cells WHERE ("row" * 7 + col * 3) % 5 < 2),
-e AS (SELECT a.tile, a.layer, a.c AS a, b.c AS b FROM n a JOIN n b ON a.tile = b.tile AND a.layer = b.layer AND abs(a.c // 1000 - b.c // 1000) <= 1 AND abs(a.c % 1000 - b.c % 1000) <= 1),
-reach AS (SELECT tile, layer, a, b FROM e UNION SELECT r.tile, r.layer, r.a, e.b FROM reach r JOIN e ON e.tile = r.tile AND e.layer = r.layer AND e.a = r.b),
-lab AS (SELECT tile, layer, a, min(b) AS label FROM reach GROUP BY ALL), sz AS (SELECT tile, layer, label, count(*) AS n FROM lab GROUP BY ALL)
-SELECT tile, layer, max(n) * 0.25e0 AS area FROM sz GROUP BY tile, layer"""))
+@query(oracle("""WITH RECURSIVE n AS (SELECT DISTINCT pid, CAST(floor((y - floor(pid / 100e0) * 40) / 2) * 1000 + floor((x - (pid % 100) * 40) / 2) AS BIGINT) AS c FROM point),
+e AS (SELECT a.pid, a.c AS a, b.c AS b FROM n a JOIN n b ON a.pid = b.pid AND abs(a.c // 1000 - b.c // 1000) <= 1 AND abs(a.c % 1000 - b.c % 1000) <= 1),
+reach AS (SELECT pid, a, b FROM e UNION SELECT r.pid, r.a, e.b FROM reach r JOIN e ON e.pid = r.pid AND e.a = r.b),
+lab AS (SELECT pid, a, min(b) AS label FROM reach GROUP BY ALL), sz AS (SELECT pid, label, count(*) AS n FROM lab GROUP BY ALL)
+SELECT pid, max(n) * 4e0 AS area FROM sz GROUP BY pid"""))
 def d22_largest_component(spark, d):
-    cells = _layers(spark, d).where("(row * 7 + col * 3) % 5 < 2")  # a pattern with many components
-    return heights.component_areas(cells, ["tile", "layer"])
+    """The largest component of every building's raster of cells of two metres."""
+    cells = heights.raster(table(spark, d, "point"), "pid", (F.col("pid") % 100) * 40, F.floor(F.col("pid") / 100) * 40, 2.0)
+    return heights.component_areas(cells.select("pid", "row", "col"), ["pid"], 2.0)
 
 
 @query()
@@ -189,11 +189,18 @@ def _estimates(spark, d):
     return heights.estimate_heights(table(spark, d, "point").select("pid", "x", "y", "z"), f, "pid", 25, 40)
 
 
+def blocks(spark, d):
+    """(points, polygons) of blocks of ten buildings: some 300 points each, with the default limits."""
+    p = table(spark, d, "point").select(F.floor(F.col("pid") / 10).alias("block"), "x", "y", "z")
+    f = table(spark, d, "footprint").groupBy(F.floor(F.col("pid") / 10).alias("block")).agg(F.min("x0").alias("x"), F.min("y0").alias("y"), F.max("x0").alias("x1"))
+    return p, f.selectExpr("block", "array(x, y, x1 + 24, y + 20) AS bounds")
+
+
 @query()
 def d24_estimated_heights(spark, d):
     """Checked against a plain version in the tests."""
-    out = _estimates(spark, d)
-    return out.select("pid", "status", "point_count", F.round("underpass_z", 6).alias("underpass_z"), F.round("underpass_dh", 6).alias("underpass_dh"), "top_area", "bottom_area", F.size("peaks").alias("n_peaks"), "error")
+    out = heights.estimate_heights(*blocks(spark, d), "block")
+    return out.select("block", "status", "point_count", F.round("underpass_z", 6).alias("underpass_z"), F.round("underpass_dh", 6).alias("underpass_dh"), "top_area", "bottom_area", F.size("peaks").alias("n_peaks"), "error")
 
 
 _B = """b AS (SELECT t.tile, i.i AS bin, coalesce(n, 0) AS n FROM (SELECT DISTINCT tile FROM point) t CROSS JOIN (SELECT unnest(range(0, 100)) AS i) i LEFT JOIN

@@ -112,8 +112,8 @@ def t3_separated_peaks(spark, d):
 
 @query(oracle("SELECT tile, 0.05e0 * coalesce(l[2], l[1], 0) AS threshold FROM (SELECT tile, list(n ORDER BY n DESC) AS l FROM (SELECT tile, pid, count(*) AS n FROM point GROUP BY ALL) GROUP BY tile)"))
 def t4_second_highest(spark, d):
-    n = table(spark, d, "point").groupBy("tile", "pid").agg(F.count("*").alias("n")).groupBy("tile").agg(F.collect_list("n").alias("l"))
-    return n.select("tile", seq.second_highest(F.col("l"), 0.05).alias("threshold"))
+    n = table(spark, d, "point").groupBy("tile", "pid").agg(F.count("*").alias("n"))
+    return seq.second_highest(n, ["tile"], "n", 0.05)
 
 
 @query(oracle("SELECT coalesce(underpass_status, 'null') AS status, count(*) AS n FROM status GROUP BY 1 ORDER BY n DESC, status LIMIT 12"))

@@ -26,13 +26,11 @@ def _joined(spark, d):
     return detect.join_registers(b.select("identificatie", "geom"), topo)
 
 
-@query(oracle("SELECT identificatie, cut * h AS area FROM footprint WHERE cut > 0 AND least(cut, h) > 0.4e0"))
+@query(oracle("SELECT identificatie, sum(cut * h) AS area, count(*) AS n_parts FROM footprint WHERE cut > 0.4e0 GROUP BY identificatie"))
 def m0_underpass_area(spark, d):
-    """The flagship: registers joined on the derived key, difference, sliver filter; rectangles, by columns alone."""
-    f = table(spark, d, "footprint")
-    topo = f.select("key", (F.col("w") - F.col("cut")).alias("tw"))
-    both = f.withColumn("key", F.substring("identificatie", 15, 100)).join(topo, "key").withColumn("cut", F.col("w") - F.col("tw"))
-    return detect.rectangle_differences(both)
+    """The flagship: registers joined, both snapped differences, parts that pass the sliver filter, and their area by building."""
+    parts = detect.snapped_differences(_joined(spark, d)).where(not_sliver(F.col("geom"), detect.SLIVER))
+    return parts.groupBy("identificatie").agg(F.sum(st("area", "geom")).alias("area"), F.count("*").alias("n_parts"))
 
 
 @query(oracle("SELECT identificatie, (w - cut) * h AS area FROM footprint"))

@@ -1,6 +1,7 @@
 import math
 
 import numpy as np
+import plain_heights
 import pytest
 from pyspark.sql import functions as F
 
@@ -119,51 +120,100 @@ def test_spatial_join_has_each_pair_once(spark):
     assert got == want
 
 
-def flood(mask):
-    best, seen = 0, set()
-    todo = {tuple(p) for p in np.argwhere(mask)}
-    for s in todo:
-        if s in seen:
-            continue
-        stack, n = [s], 0
-        seen.add(s)
-        while stack:
-            r, c = stack.pop()
-            n += 1
-            for q in [(r + i, c + j) for i in (-1, 0, 1) for j in (-1, 0, 1)]:
-                if q in todo and q not in seen:
-                    seen.add(q)
-                    stack.append(q)
-        best = max(best, n)
-    return best
-
-
 def test_largest_component():
     rng = np.random.default_rng(3)
     for shape in ((1, 1), (1, 9), (12, 7), (25, 25)):
         for p in (0.0, 0.3, 0.5, 1.0):
             mask = rng.random(shape) < p
-            assert heights.largest_component(mask) == flood(mask)
+            assert heights.largest_component(mask) == plain_heights.flood(mask)
 
 
-def test_estimator_finds_floor_and_ceiling(spark):
+def clouds():
+    """Point clouds of many shapes, with bounds: two layers, walls, plateaus, ties, points beyond the bounds, and each error."""
     rng = np.random.default_rng(4)
-    n = 3000
-    x, y = rng.uniform(0, 10, (2, 2 * n))
-    z = np.concatenate([rng.normal(0, 0.03, n), rng.normal(3.5, 0.03, n)])
-    r = heights.estimate(x, y, z, (0, 0, 10, 10))
-    assert r["underpass_dh"] == pytest.approx(3.5, abs=0.1) and r["top_area"] == 100.0 and sum(p["selected"] for p in r["peaks"]) == 2
-    assert r["underpass_z"] == max(p["elevation"] for p in r["peaks"] if p["selected"])
-    assert "finite" in heights.estimate(x * np.nan, y, z, (0, 0, 1, 1))["error"]
-    assert "error" in heights.estimate(x[:5], y[:5], np.zeros(5), (0, 0, 10, 10))
+    box = (0.0, 0.0, 10.0, 8.0)
+    out = []
+    for n in (30, 300, 3000):
+        x, y = rng.uniform(-0.5, 10.5, (2, 2 * n))
+        out.append((x, y, np.append(rng.normal(0, 0.03, n), rng.normal(3.5, 0.03, n)), box))
+        out.append((x, y, rng.integers(0, 50, 2 * n) * 0.25, box))
+        out.append((np.round(x), np.round(y), rng.uniform(0, 5, 2 * n), box))
+        out.append((x, y, np.repeat([1.0, 4.0], n), box))
+        out.append((x, y, np.repeat(2.0, 2 * n), box))
+    x, y = np.repeat(np.arange(8) * 1.25 + 0.1, 400), np.tile(np.arange(400) % 16 * 0.5, 8)
+    floor = [(np.tile(np.linspace(0.1, 9.9, 40), 30), np.repeat(np.linspace(0.1, 7.9, 30), 40), np.full(1200, h)) for h in (0.0, 3.0, 6.0)]
+    wall = (x, y, np.tile(np.linspace(0, 6, 400), 8))
+    side = (np.full(4000, 5.1), np.full(4000, 4.1), np.linspace(0, 6, 4000))
+    for parts in ([*floor, wall], [*floor, side], [floor[0], floor[2], side, side], [*floor[1:], wall, side]):
+        out.append((*[np.concatenate(c) for c in zip(*parts)], box))
+    out.append((np.array([1.0, 10.0]), np.array([8.0, 1.0]), np.array([np.nan, np.inf]), box))
+    out.append((x, y, np.where(np.arange(len(x)) % 7, wall[2], np.nan), box))
+    out.append((np.array([1.0]), np.array([1.0]), np.array([0.0]), box))
+    return out
+
+
+def test_estimates_equal_the_plain_estimator(spark):
+    all_ = clouds()
+    group = np.repeat(np.arange(len(all_)), [len(c[0]) for c in all_])
+    got = heights.estimate(group, *(np.concatenate([c[k] for c in all_]) for k in range(3)), np.array([c[3] for c in all_]))
+    errors = set()
+    for i, c in enumerate(all_):
+        want = plain_heights.estimate(*c)
+        errors.add(want.get("error"))
+        assert got["error"][i] == want.get("error"), i
+        for k in ("underpass_z", "underpass_dh", "top_area", "bottom_area"):
+            assert got[k][i] == pytest.approx(want.get(k)), (i, k)
+        if got["peaks"][i]:
+            assert [{k: pytest.approx(v) if isinstance(v, float) else v for k, v in p.items()} for p in want["peaks"]] == got["peaks"][i], i
+    assert len(errors) == 3  # none, too few peaks, no finite points
+    rows = [(i, float(a), float(b), float(h)) for i, c in enumerate(all_) for a, b, h in zip(*c[:3])]
+    points = spark.createDataFrame(rows, "k int, x double, y double, z double")
+    boxes = spark.createDataFrame([(i, list(c[3])) for i, c in enumerate(all_)] + [(99, [0.0] * 4)], "k int, bounds array<double>")
+    told = {r["k"]: r for r in heights.estimate_heights(points, boxes, "k", 2, 5000).collect()}
+    assert told[99]["status"] == "no_points" and told[len(all_) - 1]["status"] == "too_few_points" and "too_many_points" in {r["status"] for r in told.values()}
+    for i, c in enumerate(all_):
+        if told[i]["status"] in ("success", "failed"):
+            assert told[i]["error"] == got["error"][i] and told[i]["underpass_z"] == got["underpass_z"][i]
+
+
+def test_estimate_without_points():
+    told = heights.estimate(np.zeros(0, int), *np.zeros((3, 0)), np.zeros((1, 4)))
+    assert told["error"] == [heights.NONE_FINITE]
 
 
 def test_peaks_are_separated_and_ranked():
     n = np.zeros(100)
     n[[10, 15, 50, 99]] = [50, 40, 90, 10]
-    _, found = heights.peaks(n)
-    assert found[0] == 50 and 15 not in found and all(abs(a - b) >= 10 for a in found for b in found if a != b)
-    assert heights.refined(np.array([0, 3, 3, 0, 0.0]), np.array([0, 2, 3, 2, 0.0]), 2) == 2
+    s = heights.smoothed_counts(n[None])
+    found = [int(x) for x in heights.separated_maxima(s)[0] if x >= 0]
+    assert found == plain_heights.peaks(n)[1] and found[0] == 50 and 15 not in found
+    assert heights.refined_bins(np.array([[0, 3, 3, 0, 0.0]]), np.array([[0, 2, 3, 2, 0.0]]), np.array([2]))[0] == 2
+    rng = np.random.default_rng(7)
+    for _ in range(200):  # plateaus and ties
+        n = rng.integers(0, 4, 100).astype(float)
+        s, want = plain_heights.peaks(n)
+        assert [x for x in heights.separated_maxima(s[None])[0].tolist() if x >= 0] == want
+        assert heights.refined_bins(np.tile(n, (len(want), 1)), np.tile(s, (len(want), 1)), np.array(want)).tolist() == [plain_heights.refined(n, s, p) for p in want]
+
+
+def test_components_of_far_cells(spark):
+    cells = spark.createDataFrame([("a", 0, 0), ("a", 1, 1), ("a", 900_000, 900_000), ("b", 5, -3), ("b", 5, -3), (None, 0, 0)], "k string, row int, col int")
+    assert {(r["k"], r["area"]) for r in heights.component_areas(cells, ["k"], 1.0).collect()} == {("a", 2.0), ("b", 1.0), (None, 1.0)}
+    assert heights.component_areas(cells.where("false"), ["k"], 1.0).count() == 0
+
+
+@pytest.mark.parametrize("partitions", [3, 4, 200])
+def test_numbers_are_consecutive_at_any_partition_count(spark, partitions):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(partitions))
+    try:
+        df = spark.range(0, 50_000, 1, 7).select(((F.col("id") * 7919) % 50_021).alias("k"), F.repeat(F.lit("x"), F.lit(200)).alias("wide"))
+        got = sequences.numbered(df, ["k"]).select("k", "id")
+        r = got.agg(F.count("*"), F.count_distinct("id"), F.min("id"), F.max("id")).first()
+        assert tuple(r) == (50_000, 50_000, 1, 50_000)
+        assert [x["k"] for x in got.orderBy("id").collect()] == sorted(x["k"] for x in df.select("k").collect())
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
 
 
 def test_numbered_and_islands(spark):

@@ -45,18 +45,22 @@ def test_entry(spark):
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
 
 
-def test_estimates_equal_the_plain_estimator(spark):
-    from archspan.operators import heights
-    from archspan.plans.synth import table
-
-    got = {r["pid"]: r for r in plans.QUERIES["d24_estimated_heights"](spark, SF).collect()}
-    pts = table(spark, SF, "point").toPandas()
-    box = table(spark, SF, "footprint").toPandas().set_index("pid")
-    for pid, p in pts.groupby("pid"):
-        if pid in box.index and 25 <= len(p) <= 40:
-            b = box.loc[pid]
-            want = heights.estimate(p["x"].to_numpy(), p["y"].to_numpy(), p["z"].to_numpy(), (b.x0, b.y0, b.x0 + 24, b.y0 + 20))
-            assert got[pid]["error"] == want.get("error") and (got[pid]["underpass_z"] or 0) == pytest.approx(want.get("underpass_z", 0))
+def test_estimates_of_blocks_equal_the_plain_estimator(spark):
+    import plain_heights
+
+    from archspan.plans import points
+
+    got = {r["block"]: r for r in plans.QUERIES["d24_estimated_heights"](spark, SF).collect()}
+    cloud, boxes = (df.toPandas() for df in points.blocks(spark, SF))
+    n = 0
+    for block, p in cloud.groupby("block"):
+        box = boxes[boxes["block"] == block]
+        if len(box) and len(p) >= 100:
+            want = plain_heights.estimate(p["x"].to_numpy(), p["y"].to_numpy(), p["z"].to_numpy(), tuple(box["bounds"].iloc[0]))
+            assert got[block]["error"] == want.get("error") and (got[block]["underpass_z"] or 0) == pytest.approx(want.get("underpass_z", 0))
+            assert (got[block]["top_area"] or 0) == want.get("top_area", 0)
+            n += 1
+    assert n > 10
 
 
 def test_largest_components_of_whole_layers(spark):
