@@ -3,27 +3,38 @@
 Euclidean nearness to a query q is the inner product q.x less half of |x|^2. Vectors are
 quantised in subspaces of four dimensions with 16 codewords each (four bits);
 the codebooks and the codes penalise the residual parallel to a vector more than
-the rest of it, since that part changes large inner products. A task holds its
-own blocks of vectors: queries' tables are added up over the codes of the lists
-near them, the best REFINE of a block are measured exactly, and so is every other
-row whose score, raised by DEVIATIONS of its list's quantisation error along the
-query, reaches the nearest of those: codes that can't tell rows apart leave none
-out. Each task hands on a query's nearest alone. Vectors are never shuffled;
-queries are broadcast in chunks of at most QUERIES.
+the rest of it, since that part changes large inner products.
+
+1. code:   each vector gets its codes and its list, the nearest of k-means
+           centres; there is a list for LIST_ROWS vectors, up to LISTS. Of equal
+           vectors of a task only the least ids that can count go on.
+2. probe:  PROBE_QUERIES of the queries (the smallest hashes of ids) are measured
+           against all vectors; the number of lists that a query asks is the
+           least with which PROBE_RECALL of their neighbours lie in asked lists.
+3. scan:   lists are dealt in blocks of vectors and blocks of queries, so that no
+           list is one task's work; vectors and queries meet by shuffle and
+           neither is broadcast. A query's table is added up over a block's codes,
+           the best REFINE are measured exactly, and so is every other row whose
+           score, raised by DEVIATIONS of the block's quantisation error along the
+           query, reaches the nearest of those: codes that can't tell rows apart
+           leave none out.
+4. rank:   a block hands on a query's nearest; they are ranked by query.
 
 The codebooks and list centres are fitted on at most SAMPLE vectors (the smallest
-hashes of ids); all vectors are searched.
-
-Cases: vectors that are null, zero, of another dimension than most of the sample,
-or hold null or non-finite components take no part; null ids neither; equal
-vectors of a block are scanned once, and all their ids count; ties go to the
-smaller id; of repeated rows a query counts once, and rows with its own id are
-no candidates; an empty table gives an empty result; other columns are ignored.
+hashes of ids); all vectors are searched. With exact, all lists are asked and all
+rows measured.
+
+Cases: vectors that are null, zero, or hold null or non-finite components take no
+part; null ids neither; vectors of several dimensions are searched among those of
+their own; equal vectors of a block are scanned once, and all their ids count;
+ties go to the smaller id; a repeated row counts once; rows of one id with several
+vectors are candidates of their own, a query takes the least of them, and rows
+with a query's id are no candidates of it; an empty table gives an empty result;
+other columns are ignored.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -34,15 +45,17 @@ from pyspark.sql import functions as F
 
 from . import common
 
-SAMPLE = 10_000
-QUERIES = 20_000
-BLOCK = 4096
+SAMPLE = 20_000
+BLOCK = 16_384  # vectors of a block
+QUERIES = 4096  # queries of a block
 REFINE = 256
 DEVIATIONS = 3  # of the quantisation error, by which a row's score may be too low
 SUB = 4
 CODES = 16
-LISTS = 32
-PROBES = 26
+LIST_ROWS = 1000
+LISTS = 1024
+PROBE_QUERIES = 256
+PROBE_RECALL = 0.99
 THRESHOLD = 0.2  # cosine from which inner products count, in the anisotropic weight
 SWEEPS = 6
 
@@ -54,22 +67,16 @@ class Index(NamedTuple):
     centres: np.ndarray
 
 
-def vectors(b: pa.RecordBatch, dim: int | None = None) -> tuple[np.ndarray, np.ndarray, Counter]:
-    """ids and vectors (doubles) of the rows that take part; and how often each dimension occurs."""
-    column = b.column("embedding")
-    if isinstance(column, pa.ChunkedArray):
-        column = column.combine_chunks()
-    ids = b.column("vec_id")
-    there = np.asarray(column.is_valid()) & np.asarray(ids.is_valid())
-    offset = column.offsets.to_numpy()
-    size = np.diff(offset)
-    dims = Counter(size[there & (size > 0)].tolist())
-    dim = dim or (max(dims, key=lambda k: (dims[k], k)) if dims else 1)
-    at = np.flatnonzero(there & (size == dim))
-    values = column.values.to_numpy(zero_copy_only=False).astype(float)
-    x = values[offset[at][:, None] + np.arange(dim)] if len(at) else np.zeros((0, dim))
-    ok = np.isfinite(x).all(1) & (x != 0).any(1)  # a null component is a nan
-    return np.asarray(ids.fill_null(0))[at][ok].astype(np.int64), x[ok], dims
+def matrix(column: pa.ChunkedArray | pa.Array, dim: int) -> np.ndarray:
+    """Rows of doubles from binary values of 8-byte floats."""
+    return np.frombuffer(b"".join(column.to_pylist()), "<f8").reshape(-1, dim)
+
+
+def usable(table: DataFrame) -> DataFrame:
+    """vec_id, x (doubles), dim of the rows that take part."""
+    cast = table.selectExpr("cast(vec_id as bigint) vec_id", "cast(embedding as array<double>) x")
+    sound = F.forall("x", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists("x", lambda v: v != 0)
+    return cast.where(F.col("vec_id").isNotNull() & F.col("x").isNotNull() & F.coalesce(sound, F.lit(False))).withColumn("dim", F.size("x"))
 
 
 def pad(x: np.ndarray) -> np.ndarray:
@@ -93,7 +100,7 @@ def encode(x: np.ndarray, books: np.ndarray, weight: float, sweeps: int = 3) ->
     return codes
 
 
-def fit(x: np.ndarray, dim: int) -> Index:
+def fit(x: np.ndarray, dim: int, lists: int = 32) -> Index:
     """Codebooks by alternating codes and weighted least squares; list centres by k-means."""
     rng = np.random.default_rng(3)
     weight = max(0.0, (dim - 1) * THRESHOLD**2 / (1 - THRESHOLD**2) - 1)
@@ -119,7 +126,7 @@ def fit(x: np.ndarray, dim: int) -> Index:
                 right = (y * (1 + w[on] * (rest[on] + (y**2).sum(1)))[:, None]).sum(0)
                 books[m, c] = np.linalg.solve(left, right)
             r[:, m] = ((s[:, m] - books[m, codes[:, m]]) * s[:, m]).sum(1)
-    k = min(LISTS, len(x))
+    k = min(lists, len(x))
     centres = x[rng.choice(len(x), k, replace=False)]
     for _ in range(8):
         near = nearest_lists(x, centres, 1)[:, 0]
@@ -134,111 +141,214 @@ def nearest_lists(x: np.ndarray, centres: np.ndarray, k: int) -> np.ndarray:
     return np.argsort(d, axis=1, kind="stable")[:, :k]
 
 
-def deviations(index: Index, q: np.ndarray, u: np.ndarray, codes: np.ndarray, rows_of: list[np.ndarray]) -> np.ndarray:
-    """Query, list: the root mean square of the inner products of the query and the residuals of the list's rows."""
-    out = np.zeros((len(q), len(rows_of)), np.float32)
-    for c, at in enumerate(rows_of):
-        if len(at):
-            r = u[at] - index.books[np.arange(codes.shape[1]), codes[at]].reshape(len(at), -1)[:, : u.shape[1]]
-            out[:, c] = np.sqrt(np.maximum(0, ((q @ (r.T @ r / len(at))) * q).sum(1)))
-    return out
+def packed(codes: np.ndarray) -> np.ndarray:
+    """Two codes a byte."""
+    codes = np.pad(codes, ((0, 0), (0, codes.shape[1] % 2))).astype(np.uint8)
+    return codes[:, 0::2] << 4 | codes[:, 1::2]
+
+
+def tables_of(index: Index, q: np.ndarray) -> np.ndarray:
+    """Query, byte, value: inner products of a query with what a byte of codes stands for."""
+    t = np.einsum("qms,mcs->qmc", pad(q), index.books).astype(np.float32)
+    t = np.pad(t, ((0, 0), (0, t.shape[1] % 2), (0, 0)))
+    return (t[:, 0::2, :, None] + t[:, 1::2, None, :]).reshape(len(q), -1, CODES * CODES)
+
 
+def collapsed(ids: np.ndarray, x: np.ndarray, k: int) -> np.ndarray:
+    """Places of distinct rows in order of vector, then id: of equal vectors the k + 1 least ids, since one of them may be a query's own."""
+    order = np.lexsort((ids, *x.T[::-1]))
+    new = np.append(True, (x[order[1:]] != x[order[:-1]]).any(1))[: len(ids)]
+    order = order[new | np.append(True, ids[order[1:]] != ids[order[:-1]])[: len(ids)]]
+    new = np.append(True, (x[order[1:]] != x[order[:-1]]).any(1))[: len(order)]
+    start = np.flatnonzero(new)
+    rank = np.arange(len(order)) - np.repeat(start, np.diff(np.append(start, len(order))))
+    return order[rank <= k]
 
-def scan(index: Index, q_ids: np.ndarray, q: np.ndarray, lists: np.ndarray, tables: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int):
-    """(query number, id, distance) of each query's k nearest of a block."""
-    order = np.lexsort((ids, *x.T[::-1]))  # equal vectors together, ids ascending
-    ids, x = ids[order], x[order]
+
+def scan(index: Index, q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, codes: np.ndarray, k: int, exact: bool = False):
+    """(query number, id, distance) of each query's k nearest of a block. codes: packed, of the rows of x."""
+    order = collapsed(ids, x, k)
+    ids, x, codes = ids[order], x[order], codes[order]
     first = np.flatnonzero(np.append(True, (x[1:] != x[:-1]).any(1)))
     copies = np.diff(np.append(first, len(x)))
-    u = x[first]
-    codes, half = encode(u, index.books, index.weight).astype(np.intp), (u**2).sum(1) / 2
-    member = nearest_lists(u, index.centres, 1)[:, 0]
-    rows_of = [np.flatnonzero(member == c) for c in range(len(index.centres))]
-    slack = deviations(index, q, u, codes, rows_of)
+    u, codes = x[first], codes[first].astype(np.intp)
+    half, norm = (u**2).sum(1) / 2, (q**2).sum(1)
+    m = index.books.shape[0]
+    flat = np.stack([codes >> 4, codes & 15], 2).reshape(len(u), -1)[:, :m]
+    r = u - index.books[np.arange(m), flat].reshape(len(u), -1)[:, : u.shape[1]]
+    slack = np.sqrt(np.maximum(0, ((q @ (r.T @ r / len(u))) * q).sum(1)))
     mine, n_mine = np.unique(ids[np.isin(ids, q_ids)], return_counts=True)
     own = np.zeros(len(q), int)
-    own[np.searchsorted(q_ids, mine)] = n_mine  # rows of a query's own id are no candidates
+    at = np.searchsorted(q_ids, mine)
+    own[at] = n_mine  # rows of a query's own id are no candidates
+    every, refine = np.arange(len(u)), min(REFINE, len(u))
+    step = max(1, min(64, 4_000_000 // (refine * q.shape[1])))
     out = []
-    for i in range(len(q)):
-        at = np.concatenate([rows_of[c] for c in lists[i]])
-        if len(at) < min(k + 1, len(u)):
-            at = np.arange(len(u))
-        score = -half[at].astype(np.float32)
-        for m in range(codes.shape[1]):
-            score += tables[i, m][codes[at, m]]
-        if len(at) > REFINE:
-            cut = np.argpartition(-score, REFINE - 1)[:REFINE]
-            exact = u[at[cut]] @ q[i] - half[at[cut]]
-            least = np.partition(exact, -(k + own[i]))[-(k + own[i])] if k + own[i] <= REFINE else -np.inf
-            more = score + DEVIATIONS * slack[i, member[at]] >= least
-            more[cut] = True
-            at = at[more]
-            exact = u[at] @ q[i] - half[at]
-            best = min(len(at), k + own[i])
-            at = at[exact >= np.partition(exact, -best)[-best] - 1e-9 * (half[at].max() + (q[i] ** 2).sum())]  # rounding
-        d = np.sqrt(((u[at] - q[i]) ** 2).sum(1))
-        n = np.minimum(copies[at], k + 1)  # the least ids of equal vectors, and the query's own may be one of them
-        place = np.repeat(first[at], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        found, dist = ids[place], np.repeat(d, n)
-        other = found != q_ids[i]
-        found, dist = found[other], dist[other]
-        best = np.lexsort((found, dist))[:k]
-        out.append((np.full(len(best), i), found[best], dist[best]))
+    for low in range(0, len(q), step):
+        part = slice(low, low + step)
+        score = None
+        if len(u) > refine and not exact:
+            tables = tables_of(index, q[part])
+            score = np.repeat(-half[None].astype(np.float32), len(tables), 0)
+            for j in range(codes.shape[1]):
+                score += np.take(tables[:, j], codes[:, j], axis=1)
+            cut = np.argpartition(-score, refine - 1, axis=1)[:, :refine]
+            best = np.sort((u[cut] @ q[part, :, None])[:, :, 0] - half[cut], axis=1)
+        for i in range(low, min(low + step, len(q))):
+            at = every
+            if score is not None and k + own[i] <= refine:
+                more = score[i - low] + DEVIATIONS * slack[i] >= best[i - low, -(k + own[i])]
+                more[cut[i - low]] = True
+                at = np.flatnonzero(more)
+            near = u[at] @ q[i] - half[at]
+            n = min(len(at), k + own[i])
+            at = at[near >= np.partition(near, -n)[-n] - 1e-9 * (half[at].max() + norm[i])]  # rounding
+            d = np.sqrt(((u[at] - q[i]) ** 2).sum(1))
+            n = copies[at]
+            place = np.repeat(first[at], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            found, dist = ids[place], np.repeat(d, n)
+            other = found != q_ids[i]
+            found, dist = found[other], dist[other]
+            best_k = np.lexsort((found, dist))[:k]
+            out.append((np.full(len(best_k), i), found[best_k], dist[best_k]))
     return [np.concatenate(z) for z in zip(*out, strict=True)]
 
 
-def top(i: np.ndarray, ids: np.ndarray, d: np.ndarray, k: int):
-    """The k least (d, id) of each i; an id counts once."""
-    order = np.lexsort((ids, d, i))
-    i, ids, d = i[order], ids[order], d[order]
-    same = np.append(False, (i[1:] == i[:-1]) & (ids[1:] == ids[:-1]) & (d[1:] == d[:-1]))
-    i, ids, d = i[~same], ids[~same], d[~same]
-    start = np.flatnonzero(np.append(True, i[1:] != i[:-1])) if len(i) else np.zeros(0, int)
-    n = np.diff(np.append(start, len(i)))
-    keep = np.arange(len(i)) - np.repeat(start, n) < k
-    return i[keep], ids[keep], d[keep]
-
-
-def search(table: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
+def coded(rows: DataFrame, index, dim: int, k: int) -> DataFrame:
+    """list, vec_id, x (binary), codes of rows; equal vectors of a task's block are collapsed."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def done() -> pa.RecordBatch:
+            t = pa.Table.from_batches(held)
+            held.clear()
+            ids, x = t.column("vec_id").to_numpy(), t.column("x").combine_chunks().values.to_numpy(zero_copy_only=False).reshape(-1, dim)
+            at = collapsed(ids, x, k)
+            ids, x = ids[at], np.ascontiguousarray(x[at], "<f8")
+            codes = packed(encode(x, index.value.books, index.value.weight))
+            member = nearest_lists(x, index.value.centres, 1)[:, 0]
+            return pa.record_batch({"list": pa.array(member, pa.int32()), "vec_id": pa.array(ids, pa.int64()), "x": pa.array([v.tobytes() for v in x], pa.binary()), "codes": pa.array([c.tobytes() for c in codes], pa.binary())})
+
+        for b in batches:
+            if b.num_rows:
+                held.append(b)
+            if sum(h.num_rows for h in held) >= BLOCK // 2:
+                yield done()
+        if held:
+            yield done()
+
+    return rows.select("vec_id", "x").mapInArrow(work, "list int, vec_id long, x binary, codes binary")
+
+
+def calibrated(vectors: DataFrame, asked: DataFrame, index: Index, dim: int, k: int) -> int:
+    """How many lists a query must ask: told by the true neighbours of a bounded sample of the queries."""
+    sample = asked.orderBy(F.xxhash64("vec_id"), "vec_id").limit(PROBE_QUERIES).toArrow()
+    if not sample.num_rows or len(index.centres) == 1:
+        return len(index.centres)
+    q_ids, q = sample.column("vec_id").to_numpy(), sample.column("x").combine_chunks().values.to_numpy().reshape(-1, dim)
+    shared = vectors.sparkSession.sparkContext.broadcast((q_ids, q))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        q_ids, q = shared.value
+        for b in batches:
+            if not b.num_rows:
+                continue
+            _, one = np.unique(b.column("vec_id").to_numpy(), return_index=True)  # a row may be there from several tasks
+            b = b.take(pa.array(one))
+            ids, x = b.column("vec_id").to_numpy(), matrix(b.column("x"), dim)
+            d = (x**2).sum(1) - 2 * q @ x.T
+            d[ids[None] == q_ids[:, None]] = np.inf
+            at = np.argpartition(d, min(k, d.shape[1]) - 1, axis=1)[:, :k]
+            who = np.repeat(np.arange(len(q)), at.shape[1])
+            told = b.select(["list", "vec_id"]).take(pa.array(at.ravel()))
+            yield pa.record_batch({"q": pa.array(who, pa.int32()), "list": told.column("list"), "vec_id": told.column("vec_id"), "d": pa.array(d[who, at.ravel()])})
+
+    near = vectors.select("list", "vec_id", "x").mapInArrow(work, "q int, list int, vec_id long, d double").where("d < double('infinity')").distinct()
+    near = near.withColumn("n", F.row_number().over(Window.partitionBy("q").orderBy("d", "list"))).where(F.col("n") <= k).select("q", "list").toArrow()  # k a query
+    order = nearest_lists(q, index.centres, len(index.centres)).argsort(1)
+    rank = np.sort(order[near.column("q").to_numpy(), near.column("list").to_numpy()])
+    return int(rank[min(len(rank) - 1, int(np.ceil(PROBE_RECALL * len(rank))) - 1)]) + 1 if len(rank) else 1
+
+
+def probing(asked: DataFrame, index, dim: int, probes: int) -> DataFrame:
+    """list, vec_id, x of each query, a row for each list that it asks."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                q = b.column("x").values.to_numpy().reshape(-1, dim)
+                lists = nearest_lists(q, index.value.centres, probes)
+                x = pa.array([v.tobytes() for v in np.ascontiguousarray(q, "<f8")], pa.binary())
+                every = pa.array(np.repeat(np.arange(len(q)), lists.shape[1]))
+                yield pa.record_batch({"list": pa.array(lists.ravel(), pa.int32()), "vec_id": b.column("vec_id").take(every), "x": x.take(every)})
+
+    return asked.select("vec_id", "x").mapInArrow(work, "list int, vec_id long, x binary")
+
+
+def met(dealt: DataFrame, index, dim: int, k: int, exact: bool) -> DataFrame:
+    """query_id, vec_id, score from rows (list, v, q, asks, vec_id, x, codes) of blocks."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def done() -> pa.RecordBatch:
+            t = pa.Table.from_batches(held)
+            asks = t.column("asks").to_numpy()
+            some, rest = t.filter(pa.array(asks)), t.filter(pa.array(~asks))
+            if not some.num_rows or not rest.num_rows:
+                return pa.record_batch({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
+            some = some.sort_by("vec_id")
+            q_ids = some.column("vec_id").to_numpy()
+            codes = np.frombuffer(b"".join(rest.column("codes").to_pylist()), np.uint8).reshape(rest.num_rows, -1)
+            i, ids, d = scan(index.value, q_ids, matrix(some.column("x"), dim), rest.column("vec_id").to_numpy(), matrix(rest.column("x"), dim), codes, k, exact)
+            return pa.record_batch({"query_id": pa.array(q_ids[i], pa.int64()), "vec_id": pa.array(ids, pa.int64()), "score": pa.array(d, pa.float64())})
+
+        last = None
+        for b in batches:
+            key = np.stack([b.column(c).to_numpy() for c in ("list", "v", "q")], 1)
+            cuts = np.append(np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1, len(key))
+            low = 0
+            for high in cuts.tolist():
+                if high > low:
+                    if held and tuple(key[low]) != last:
+                        yield done()
+                        held.clear()
+                    held.append(b.slice(low, high - low))
+                    last, low = tuple(key[low]), high
+        if held:
+            yield done()
+
+    return dealt.mapInArrow(work, "query_id long, vec_id long, score double")
+
+
+def search(table: DataFrame, queries: DataFrame, k: int = 10, exact: bool = False) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest in table (vec_id, embedding) of each row of queries."""
     spark = table.sparkSession
-    table = table.selectExpr("cast(vec_id as bigint) vec_id", "cast(embedding as array<double>) embedding")
-    queries = queries.selectExpr("cast(vec_id as bigint) vec_id", "cast(embedding as array<double>) embedding")
-    sample = table.where("vec_id IS NOT NULL AND embedding IS NOT NULL").orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).toArrow()
-    _, x, dims = vectors(sample) if sample.num_rows else (None, np.zeros((0, 1)), {1: 1})
-    index = fit(x, x.shape[1])
-    chunks = max(1, -(-queries.count() // (QUERIES * 3 // 4)))
     path = common.new_path(spark, "nearest")
-    for c in range(chunks):
-        part = queries.where(F.pmod(F.xxhash64("vec_id"), F.lit(chunks)) == c).toArrow()
-        q_ids, q, _ = vectors(part, index.dim) if part.num_rows else (np.zeros(0, np.int64), np.zeros((0, index.dim)), None)
-        q_ids, one = np.unique(q_ids, return_index=True)
-        q = q[one]
-        tables = np.einsum("qms,mcs->qmc", pad(q), index.books).astype(np.float32)
-        shared = spark.sparkContext.broadcast((index, q_ids, q, nearest_lists(q, index.centres, PROBES), tables))
-
-        def rows(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            index, q_ids, q, lists, tables = shared.value
-            best = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
-            held: list[tuple[np.ndarray, np.ndarray]] = []
-
-            def done():
-                ids, x = (np.concatenate(z) for z in zip(*held, strict=True))
-                held.clear()
-                if not len(ids) or not len(q):
-                    return best
-                found = scan(index, q_ids, q, lists, tables, ids, x, k)
-                return top(*(np.concatenate(z) for z in zip(best, found, strict=True)), k)
-
-            for b in batches:
-                held.append(vectors(b, index.dim)[:2])
-                if sum(len(i) for i, _ in held) >= BLOCK:
-                    best = done()
-            if held:
-                best = done()
-            yield pa.record_batch({"query_id": pa.array(q_ids[best[0]], pa.int64()), "vec_id": pa.array(best[1], pa.int64()), "score": pa.array(best[2], pa.float64())})
-
-        table.mapInArrow(rows, "query_id long, vec_id long, score double").write.mode("append").parquet(path)
+    spark.createDataFrame([], "query_id long, vec_id long, score double").write.parquet(path)
+    every, asked = usable(table), usable(queries).groupBy("dim", "vec_id").agg(F.min("x").alias("x"))
+    for dim, n in sorted(tuple(r) for r in every.groupBy("dim").agg(F.count("*")).collect()):
+        _search(every.where(F.col("dim") == dim), asked.where(F.col("dim") == dim), dim, n, k, exact).write.mode("append").parquet(path)
     found = spark.read.schema("query_id long, vec_id long, score double").parquet(path).distinct()
     ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id")))
     return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def _search(rows: DataFrame, asked: DataFrame, dim: int, n: int, k: int, exact: bool) -> DataFrame:
+    spark = rows.sparkSession
+    sample = rows.select("vec_id", "x").orderBy(F.xxhash64("vec_id"), "vec_id", "x").limit(SAMPLE).toArrow()
+    fitted = fit(sample.column("x").combine_chunks().values.to_numpy().reshape(-1, dim), dim, int(np.clip(n // LIST_ROWS, 1, LISTS)))
+    index = spark.sparkContext.broadcast(fitted)  # LISTS centres and the codebooks
+    vectors = common.durable(coded(rows, index, dim, k), "coded")
+    asked = common.durable(asked.select("vec_id", "x"), "asked")
+    probes = len(fitted.centres) if exact else calibrated(vectors, asked, fitted, dim, k)
+    probed = common.durable(probing(asked, index, dim, probes), "probed")
+    blocks = vectors.groupBy("list").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("vs"))
+    blocks = blocks.join(probed.groupBy("list").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("qs")), "list")  # LISTS rows at most
+    deal = lambda of, many: F.pmod(F.xxhash64(of), F.col(many)).cast("int")
+    spread = lambda many: F.explode(F.sequence(F.lit(0), F.col(many) - 1))
+    one = vectors.join(F.broadcast(blocks), "list").select("list", deal("vec_id", "vs").alias("v"), spread("qs").alias("q"), F.lit(False).alias("asks"), "vec_id", "x", "codes")
+    two = probed.join(F.broadcast(blocks), "list").select("list", spread("vs").alias("v"), deal("vec_id", "qs").alias("q"), F.lit(True).alias("asks"), "vec_id", "x", F.lit(None).cast("binary").alias("codes"))
+    dealt = one.unionByName(two).repartition("list", "v", "q").sortWithinPartitions("list", "v", "q")
+    return met(dealt, index, dim, k, exact)
