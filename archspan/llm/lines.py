@@ -3,8 +3,10 @@
 Lines are counted once a page within each host; a line that more than a share
 of the host's pages contain is boilerplate of that host and goes from its pages.
 The boilerplate of one host is small by construction: with `percent`, at most
-100 / percent times the mean number of lines of its pages. DataFrame functions
-alone are used, and lines are compared by two 64-bit hashes.
+100 / percent times the mean number of lines of its pages. It is kept as a hash
+table in an array: a line looks into its own bucket alone, so that the work on a
+page follows its length. DataFrame functions alone are used, and lines are
+compared by two 64-bit hashes.
 
 The report counts page rows, as its SQL does. `drop_lines`, which goes before a
 near-duplicate stage, must not take a text away with all its copies. There, exact
@@ -13,7 +15,7 @@ keeps them; and of pages that lose lines and are near copies of each other, the
 one of the least id keeps its lines.
 
 Cases: null text stays null; blank lines stay; pages of a null host are a host
-of their own; hosts where a line is on fewer than `least` pages keep it; in the
+of their own; very long pages are worked on whole; hosts where a line is on fewer than `least` pages keep it; in the
 report a page may end up with empty text, and repeated rows are pages of their
 own; an empty table gives an empty result; all other columns stay as they are.
 """
@@ -27,6 +29,7 @@ from . import common, neardup
 
 PERCENT = 5
 LEAST = 3
+BUCKET = 4  # keys that a bucket of the hash table has on average
 
 
 def _key(line):
@@ -34,7 +37,7 @@ def _key(line):
 
 
 def boilerplate(docs: DataFrame, host: str = "source", percent: int = PERCENT, least: int = LEAST, once: bool = False) -> DataFrame:
-    """host, lines: the keys of each host's boilerplate. With once, a host's pages of equal text count as one."""
+    """host, lines: the keys of each host's boilerplate, as hash_tables() gives them. With once, a host's pages of equal text count as one."""
     pages = docs.select(F.col(host).alias("host"), "text", *[_key(F.col("text")).alias("page")] * once)
     lines = pages.select(*pages.drop("text").columns, F.explode(F.array_distinct(F.split("text", "\n", -1))).alias("line")).where("trim(line) <> ''")
     lines = lines.withColumn("k", _key(F.col("line"))).drop("line")
@@ -42,8 +45,26 @@ def boilerplate(docs: DataFrame, host: str = "source", percent: int = PERCENT, l
         lines, pages = lines.distinct(), pages.drop("text").distinct()
     counts = lines.groupBy("host", "k").agg(F.count("*").alias("n")).where(F.col("n") >= least)
     total = pages.groupBy("host").agg(F.count("*").alias("pages")).withColumnRenamed("host", "h")
-    often = counts.join(total, F.col("host").eqNullSafe(F.col("h"))).where(F.expr(f"100 * n > {percent} * pages"))
-    return often.groupBy("host").agg(F.collect_list("k").alias("lines"))
+    often = counts.join(total, F.col("host").eqNullSafe(F.col("h"))).where(F.expr(f"100 * n > {percent} * pages")).select("host", "k")
+    return hash_tables(often)
+
+
+def _slot(key, n):
+    return F.pmod(key["k1"], n).cast("int")
+
+
+def hash_tables(keys: DataFrame) -> DataFrame:
+    """host, lines: for each host an array of buckets, each an array of the keys k whose first hash modulo their number is the bucket's place."""
+    size = keys.groupBy("host").agg(F.ceil(F.count("*") / BUCKET).alias("n"))
+    size = size.withColumnRenamed("host", "h")
+    dealt = keys.join(size, F.col("host").eqNullSafe(F.col("h"))).select("host", _slot(F.col("k"), F.col("n")).alias("slot"), "k")
+    every = size.select(F.col("h").alias("host"), F.explode(F.sequence(F.lit(0), F.col("n").cast("int") - 1)).alias("slot"), F.lit(None).cast(keys.schema["k"].dataType).alias("k"))
+    buckets = dealt.unionByName(every).groupBy("host", "slot").agg(F.collect_list("k").alias("k"))
+    return buckets.groupBy("host").agg(F.transform(F.sort_array(F.collect_list(F.struct("slot", "k"))), lambda b: b["k"]).alias("lines"))
+
+
+def _held(tables, key):
+    return F.array_contains(F.get(tables, _slot(key, F.size(tables))), key)
 
 
 def marked(docs: DataFrame, host: str = "source", percent: int = PERCENT, least: int = LEAST, once: bool = False) -> DataFrame:
@@ -51,7 +72,7 @@ def marked(docs: DataFrame, host: str = "source", percent: int = PERCENT, least:
     bad = common.durable(boilerplate(docs, host, percent, least, once), "boilerplate").withColumnsRenamed({"host": "__host", "lines": "__bad"})
     out = docs.join(bad, docs[host].eqNullSafe(bad["__host"]), "left")
     split = F.split("text", "\n", -1)
-    kept = F.filter(split, lambda x: (F.trim(x) == "") | ~F.array_contains(F.col("__bad"), _key(x)))
+    kept = F.filter(split, lambda x: (F.trim(x) == "") | ~_held(F.col("__bad"), _key(x)))
     out = out.withColumn("__kept", F.when(F.col("__bad").isNull(), split).otherwise(kept))
     out = out.withColumn("__clean", F.array_join("__kept", "\n")).withColumn("__lines", F.coalesce(F.size(split), F.lit(0)))
     return out.withColumn("__dropped", F.when(F.col("text").isNull(), 0).otherwise(F.col("__lines") - F.size("__kept"))).drop("__host", "__bad", "__kept")
