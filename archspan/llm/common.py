@@ -2,33 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from functools import lru_cache
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-@lru_cache(maxsize=1)
-def _own_dir() -> str:
-    return "file://" + tempfile.mkdtemp(prefix="archspan-")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; a temporary one only where it is unset (tests)."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or _own_dir()).rstrip("/")
-
-
-def new_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark)}/archspan-{tag}-{uuid.uuid4().hex}"
-
-
-def durable(df: DataFrame, tag: str) -> DataFrame:
-    """Writes df to the shared folder and reads it back: lineage ends there and a lost executor costs no recomputation."""
-    path = new_path(df.sparkSession, tag)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+from ..storage import durable, forget, new_path, shared_dir  # noqa: F401
 
 
 def small(ids: DataFrame, most: int = 1_000_000) -> DataFrame:
@@ -36,13 +13,6 @@ def small(ids: DataFrame, most: int = 1_000_000) -> DataFrame:
     return F.broadcast(ids) if ids.count() <= most else ids
 
 
-def forget(spark: SparkSession, path: str) -> None:
-    """Removes an intermediate table that nothing reads any more."""
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-
-
 def texts(docs: DataFrame) -> DataFrame:
     """doc_id as text, so that pandas keeps long and null ids exactly, and text."""
     return docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text")
