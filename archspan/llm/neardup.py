@@ -10,9 +10,13 @@
                likeliest pairs.
 3. verify:     pairs are confirmed on the full sets of the two texts.
 4. components: of the confirmed links. Classes that meet in large buckets and
-               are still in several components form families, in which all
-               pairs across components are confirmed, block by block, with no
-               pair written out: no link is left out.
+               are still in several components form families. A class whose
+               shingles are found in too few other components of its family
+               can't reach the similarity with any of them, whatever its size,
+               and goes; that is counted for all classes at once, again and again
+               while many go. All pairs across components of those left, of sizes that allow
+               a link, are confirmed, block by block, with no pair written out:
+               no link is left out.
 
 Cases: empty text or text without words: an empty set, linked with nothing;
 null text is empty text; rows of one doc_id are one document; a null doc_id has
@@ -43,7 +47,9 @@ SMALL = 64
 BLOCK = 512
 DEVIATIONS = 5  # of the estimate, below the threshold, up to which pairs are confirmed
 PAIRS_AT_ONCE = 40_000
-EXACT_BLOCK = 256
+EXACT_BLOCK = 256  # sets whose intersections are taken at once
+SHINGLES = 500_000  # of a block of a family
+PEELS = 4
 COLUMNS = 4096
 
 
@@ -209,36 +215,97 @@ def intersections(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray
     return out
 
 
-def across(members: DataFrame, words: int, percent: int) -> DataFrame:
-    """(u, v): links between different components of one family, confirmed on full sets, of members (family, i, j, small, node, component, text).
+def member_sets(members: DataFrame, texts: DataFrame, words: int) -> DataFrame:
+    """k, family, component, node, n, h (shingles) of members (family, node, component); texts: node, text."""
 
-    small marks the rows of a block of the family's smaller components, which meets a block j of all its rows. A
-    block hands on the links that join components anew in it, so fewer than it has rows.
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            h, n = shingle_sets(b.column("text").to_pylist(), words)
+            lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n)), pa.int32()), pa.array(h.view(np.int64)))
+            yield pa.record_batch([*(b.column(c) for c in ("family", "component", "node")), pa.array(n, pa.int64()), lists], names=["family", "component", "node", "n", "h"])
+
+    held = members.select("family", "component", "node").join(texts, "node").mapInArrow(rows, "family long, component long, node long, n long, h array<long>")
+    return common.durable(held.withColumn("k", F.monotonically_increasing_id()), "members")
+
+
+def reachable(members: DataFrame, percent: int) -> DataFrame:
+    """Members whose shingles are shared with other components of the family often enough for a link with a set of any size there.
+
+    Sets of n and m shingles that share s are linked where (100 + percent) * s >= percent * (n + m), and m is at least
+    percent of n and no less than the family's least size.
     """
+    before = None
+    for _ in range(PEELS):
+        total = members.count()
+        if total == 0 or before is not None and total > 0.7 * before:  # few went: blocks are cheaper now
+            break
+        before = total
+        each = members.select("family", "component", "k", F.explode("h").alias("s"))
+        shared = each.groupBy("family", "s").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("family", "s")
+        often = each.join(shared, ["family", "s"], "left_semi").groupBy("k").agg(F.count("*").alias("o"))
+        least = members.groupBy("family").agg(F.min("n").alias("least"))
+        other = F.greatest("least", F.ceil(percent * F.col("n") / 100))
+        left = members.join(often, "k").join(least, "family").where((100 + percent) * F.col("o") >= percent * (F.col("n") + other)).select("k", "family", "component", "node", "n", "h")
+        old, members = members, common.durable(left, "members")
+        common.forget(old)
+    return members
+
+
+def blocks_of(members: DataFrame, percent: int) -> DataFrame:
+    """Members dealt in pairs of blocks: those of one level of sizes with each other, and with those of the next level. right marks the second block of a pair."""
+    level = (F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / percent)) + 1e-9) if percent < 100 else 2 * F.col("n")).cast("int")
+    m = members.withColumn("level", level)
+    sizes = m.groupBy("family", "level").agg(F.ceil(F.sum("n") / SHINGLES).cast("int").alias("own"))
+    upper = sizes.select("family", (F.col("level") - 1).alias("level"), F.col("own").alias("above"))
+    lower = sizes.select("family", (F.col("level") + 1).alias("level"), F.col("own").alias("below"))
+    m = m.join(sizes.join(upper, ["family", "level"], "left").join(lower, ["family", "level"], "left"), ["family", "level"])
+    i, none = F.pmod(F.xxhash64("k"), F.col("own")).cast("int"), F.array().cast("array<struct<level: int, i: int, up: boolean, j: int, right: boolean>>")
+
+    def place(level, i, up, j, right):
+        return F.struct(level.cast("int").alias("level"), i.cast("int").alias("i"), F.lit(up).alias("up"), j.cast("int").alias("j"), F.lit(right).alias("right"))
+
+    same = F.transform(F.sequence(F.lit(0), F.col("own") - 1), lambda j: F.when(j >= i, place(F.col("level"), i, False, j, False)).otherwise(place(F.col("level"), j, False, i, True)))
+    left = F.when(F.col("above").isNull(), none).otherwise(F.transform(F.sequence(F.lit(0), F.col("above") - 1), lambda j: place(F.col("level"), i, True, j, False)))
+    right = F.when(F.col("below").isNull(), none).otherwise(F.transform(F.sequence(F.lit(0), F.col("below") - 1), lambda j: place(F.col("level") - 1, j, True, i, True)))
+    at = F.explode(F.concat(same, left, right)).alias("at")
+    return m.select("family", "component", "node", "h", at).select("family", "at.*", "component", "node", "h")
+
+
+def across(dealt: DataFrame, percent: int) -> DataFrame:
+    """(u, v): links between different components of one family, confirmed on full sets, of members in blocks.
+
+    A task hands on the links that join components anew in a block, so fewer than it has rows.
+    """
+    keys = ["family", "level", "i", "up", "j"]
+
+    def links(c: dict, one: np.ndarray, two: np.ndarray) -> pa.RecordBatch | None:
+        sets = [c["h"][k] for k in (*one, *two)]
+        count = np.array([len(x) for x in sets])
+        both = intersections(sets[: len(one)], sets[len(one) :])
+        union = count[: len(one), None] + count[None, len(one) :] - both
+        x, y = np.nonzero((100 * both >= percent * union) & (c["component"][one][:, None] != c["component"][two][None, :]))
+        if not len(x):
+            return None
+        tree = forest(c["component"][one[x]], c["component"][two[y]], both[x, y])
+        return pa.record_batch({"u": pa.array(c["node"][one[x[tree]]], pa.int64()), "v": pa.array(c["node"][two[y[tree]]], pa.int64())})
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for c, sizes in groups(batches, ["family", "i", "j"]):
+        for c, sizes in groups(batches, keys):
             for s, n in zip(np.cumsum(sizes) - sizes, sizes, strict=True):
                 at = np.arange(s, s + n)
-                one, two = at[c["small"][at]], at[~c["small"][at]]
-                if not len(one) or not len(two):
-                    continue
-                texts = c["text"][np.concatenate([one, two])].tolist()
-                h, count = shingle_sets(texts, words)
-                sets = np.split(h, np.cumsum(count)[:-1])
-                both = intersections(sets[: len(one)], sets[len(one) :])
-                union = count[: len(one), None] + count[None, len(one) :] - both
-                x, y = np.nonzero((100 * both >= percent * union) & (c["component"][one][:, None] != c["component"][two][None, :]))
-                tree = forest(c["component"][one[x]], c["component"][two[y]], both[x, y])
-                x, y = c["node"][one[x[tree]]], c["node"][two[y[tree]]]
-                yield pa.record_batch({"u": pa.array(x, pa.int64()), "v": pa.array(y, pa.int64())})
-
-    dealt = members.repartition("family", "i", "j").sortWithinPartitions("family", "i", "j")
-    return dealt.select("family", "i", "j", "small", "node", "component", "text").mapInArrow(rows, "u long, v long").distinct()
+                left, right = at[~c["right"][at]], at[c["right"][at]]
+                within = not c["up"][s] and c["i"][s] == c["j"][s]
+                for k in range(0, len(left), EXACT_BLOCK):
+                    for m in range(k if within else 0, len(left if within else right), EXACT_BLOCK):
+                        told = links(c, left[k : k + EXACT_BLOCK], (left if within else right)[m : m + EXACT_BLOCK])
+                        if told is not None:
+                            yield told
+
+    return dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(rows, "u long, v long").distinct()
 
 
 def open_families(dealt: DataFrame, found: DataFrame) -> DataFrame | None:
-    """(family, node, component, all, main, n_main): classes that meet in large buckets of several components; None where there are none."""
+    """(family, node, component): classes that meet in large buckets of several components; None where there are none."""
     large = dealt.where(F.col("size") > SMALL).select("key", "node").distinct()
     large = large.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     mixed_keys = large.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("node").alias("least")).where("lo <> hi")
@@ -247,9 +314,7 @@ def open_families(dealt: DataFrame, found: DataFrame) -> DataFrame | None:
         return None
     family = connected_components(there.select(F.col("node").alias("u"), F.col("least").alias("v"))).withColumnRenamed("component", "family")
     nodes = common.durable(there.select("node", "component").distinct().join(family, "node"), "families")
-    sizes = nodes.groupBy("family", "component").agg(F.count("*").alias("n"))
-    sizes = sizes.groupBy("family").agg(F.sum("n").alias("all"), F.max_by("component", F.struct("n", "component")).alias("main"), F.max("n").alias("n_main"))
-    return nodes.join(sizes, "family").where("n_main < all")
+    return nodes.select("family", "node", "component")
 
 
 def confirm(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
@@ -300,13 +365,12 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     found = connected_components(links)
 
     if (members := open_families(dealt, found)) is not None:
-        n_all, n_rest = (F.ceil(x / EXACT_BLOCK).cast("int") for x in (F.col("all"), F.col("all") - F.col("n_main")))
-        i, j = F.pmod(F.xxhash64("node"), n_rest).cast("int"), F.pmod(F.xxhash64("node"), n_all).cast("int")
-        every = members.select("family", "node", "component", F.explode(F.sequence(F.lit(0), n_rest - 1)).alias("i"), j.alias("j"), F.lit(False).alias("small"))
-        rest = members.where("component <> main").select("family", "node", "component", i.alias("i"), F.explode(F.sequence(F.lit(0), n_all - 1)).alias("j"), F.lit(True).alias("small"))
         texts = texts_of(members.select(F.col("node").alias("a"), F.col("node").alias("b")), docs)
-        links = links.unionByName(common.durable(across(every.unionByName(rest).join(texts, "node"), words, percent), "more"))
+        left = reachable(member_sets(members, texts, words), percent)
+        links = links.unionByName(common.durable(across(blocks_of(left, percent), percent), "more"))
         found = connected_components(links)
+    found = common.durable(found, "found")
+    common.forget(classes, bands, dealt, pairs)
 
     node = by_set.join(found, "node", "left").select("f1", "f2", F.coalesce("component", "node").alias("component_id"))
     out = sets.drop("sketch").join(node, ["f1", "f2"], "left").withColumn("component_id", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")))

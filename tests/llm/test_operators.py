@@ -64,6 +64,7 @@ def test_near_duplicates_against_brute_force(spark, monkeypatch, small):
     monkeypatch.setattr(neardup, "SMALL", small)
     monkeypatch.setattr(neardup, "BLOCK", 4 * small)
     monkeypatch.setattr(neardup, "EXACT_BLOCK", 16)
+    monkeypatch.setattr(neardup, "SHINGLES", 2000)
     texts = near_copies(90) + ["", None, "one two", "One  two", "one two three"]
     got = {r["doc_id"]: r for r in neardup.near_duplicates(documents(spark, texts)).collect()}
     want, sizes = components_by_force(texts, 5, 80)
@@ -72,6 +73,42 @@ def test_near_duplicates_against_brute_force(spark, monkeypatch, small):
     assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in got.values())
 
 
+def family(n, seed=3):
+    """Texts around one template with a similarity about the threshold, of several sizes: some linked, many not."""
+    rng = np.random.default_rng(seed)
+    base = [f"w{i}" for i in range(150)]
+    out = []
+    for i in range(n):
+        own = [f"o{rng.integers(0, 10**6)}" for _ in range(rng.integers(8, 40))]
+        out.append(" ".join(base[: rng.integers(120, 150)] + own))
+        if i % 5 == 0:
+            out.append(out[-1] + " tail")
+    return out
+
+
+@pytest.mark.parametrize("percent", [80, 90])
+def test_families_of_unlinked_classes_against_brute_force(spark, monkeypatch, percent):
+    for name, value in (("SMALL", 4), ("BLOCK", 8), ("EXACT_BLOCK", 16), ("SHINGLES", 3000)):
+        monkeypatch.setattr(neardup, name, value)
+    blocks = []
+    true_across = neardup.across
+    monkeypatch.setattr(neardup, "across", lambda dealt, p: blocks.append(dealt.select("family", "level", "i", "up", "j").distinct().count()) or true_across(dealt, p))
+    texts = family(110)
+    got = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(documents(spark, texts), percent=percent).collect()}
+    want, _ = components_by_force(texts, 5, percent)
+    assert [got[i] for i in range(len(texts))] == want and len(set(want)) > 20
+    assert blocks and blocks[0] > 1
+
+
+def test_classes_that_can_t_be_linked_go(spark):
+    """Of a family of equal sizes that share a template, what each has of its own rules all links out, without a pair compared."""
+    shared = list(range(70))
+    rows = [(i, 1, i, i, 100, shared + [1000 + 40 * i + k for k in range(30)]) for i in range(50)]
+    near = [(50 + i, 1, 500 + i, 500 + i, 100, shared + [90_000 + k for k in range(29)] + [99_000 + i]) for i in range(2)]
+    df = spark.createDataFrame(rows + near, "k long, family long, component long, node long, n long, h array<long>")
+    assert sorted(r["k"] for r in neardup.reachable(common.durable(df, "test"), 80).collect()) == [50, 51]
+
+
 def test_near_duplicate_cases(spark, cases, empty):
     got = sorted((r["doc_id"] is None, r["doc_id"] or 0, r["component_id"], r["kept"]) for r in neardup.near_duplicates(cases).collect())
     assert got[:9] == [(False, i, {5: 4}.get(i, i), i != 5) for i in range(9)]
