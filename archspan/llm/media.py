@@ -1,16 +1,17 @@
 """Media columns: a Spark data source over archives of images.
 
 write_archives() stores payloads as 8-bit greyscale PNG images, 64 samples a
-row, in ZIP archives (stored members) in a shared folder. The data source
-"archive_media" plans byte ranges of the archives, reads each archive's
-directory, streams the members of a range as Arrow batches of bounded size, and
-reads a member again by its own offset where a read fails or a checksum
-doesn't hold.
+row, in ZIP archives (stored members) in a shared folder, beside a manifest. The
+data source "archive_media" plans byte ranges of the archives from the manifest,
+reads each archive's directory, streams the members of a range as Arrow batches
+of bounded size, and reads a member again by its own offset where a read fails
+or a checksum doesn't hold; a file that fails is opened anew.
 
 Cases: null text is empty text; a payload is padded with zero bytes up to a
-positive multiple of 64; null ids are kept; repeated rows are members of their
-own; an empty table gives an empty result; columns other than doc_id and text
-are ignored. Payloads are whole texts; a member must fit in memory.
+positive multiple of 64; null ids are kept, and a text id may be any text;
+repeated rows are members of their own; equal texts give equal values; an empty
+table gives an empty result; columns other than doc_id and text are ignored.
+Payloads are whole texts, however long; a member must fit in memory.
 """
 
 from __future__ import annotations
@@ -40,6 +41,7 @@ BATCH_BYTES = 4 << 20
 READ_AHEAD = 1 << 20
 TRIES = 4
 LOCAL, CENTRAL, END = b"PK\x03\x04", b"PK\x01\x02", b"PK\x05\x06"  # fixed values of the ZIP format
+MANIFEST = pa.schema([("path", pa.string()), ("bytes", pa.int64()), ("members", pa.int64())])
 PNG = b"\x89PNG\r\n\x1a\n"  # fixed value of the PNG format
 
 
@@ -125,16 +127,16 @@ class _Archive:
         return self.path, self.at, len(self.directory)
 
 
-def write_archives(docs: DataFrame, folder: str) -> list[tuple[str, int, int]]:
-    """(path, bytes of members, members) of the archives written by the tasks that succeeded: one small row an archive."""
+def write_archives(docs: DataFrame, folder: str) -> str:
+    """Writes archives below folder, and beside them a manifest (path, bytes of members, members) of those of the tasks that succeeded; the folder."""
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         archive, n = None, 0
         for pdf in batches:
             for doc, text in zip(pdf["id"], pdf["text"], strict=True):
-                archive = archive or _Archive(folder)
+                archive = archive or _Archive(f"{folder}/archives")
                 payload, size = padded(text)
-                archive.add(f"{n:08d}-{size}-{doc}.png", to_png(payload))
+                archive.add(f"{n:08d}-{size}-{'null' if doc is None else 'id-' + doc}.png", to_png(payload))
                 n += 1
                 if archive.at >= ROLL_BYTES or len(archive.directory) >= ROLL_MEMBERS:
                     yield pd.DataFrame([archive.close()], columns=["path", "bytes", "members"])
@@ -142,8 +144,9 @@ def write_archives(docs: DataFrame, folder: str) -> list[tuple[str, int, int]]:
         if archive:
             yield pd.DataFrame([archive.close()], columns=["path", "bytes", "members"])
 
-    out = docs.selectExpr("coalesce(cast(doc_id as string), 'null') AS id", "text").mapInPandas(rows, "path string, bytes long, members long")
-    return [tuple(x) for x in out.collect()]
+    out = docs.selectExpr("cast(doc_id as string) AS id", "text").mapInPandas(rows, "path string, bytes long, members long")
+    out.write.parquet(f"{folder}/manifest")
+    return folder
 
 
 def directory(archive, size: int) -> list[tuple[int, int, int, str]]:
@@ -170,64 +173,104 @@ class Range(InputPartition):
 
 
 class MediaReader(DataSourceReader):
-    """Members whose header lies in a byte range, each checked, and tried again by its offset."""
+    """Members whose header lies in a byte range, each checked, and tried again by its offset. It holds the folder's name alone."""
 
     def __init__(self, options):
-        self.paths = [x for x in options.get("archives", "").split("\n") if x]
-        self.scheme, self.step = options.get("scheme", "file://"), int(options.get("range_bytes", RANGE_BYTES))
+        self.folder, self.step = options["folder"], int(options.get("range_bytes", RANGE_BYTES))
 
     def partitions(self):
-        """Byte ranges from the archives' sizes alone, which the writer has told."""
+        """Byte ranges from the manifest; each carries its own path."""
+        from pyarrow import dataset
+
+        store, top = filesystem(f"{self.folder}/manifest")
+        listed = dataset.dataset(top, filesystem=store, format="parquet", ignore_prefixes=["_", "."], schema=MANIFEST)
         out = []
-        for x in self.paths:
-            path, size = x.rsplit("\t", 1)
-            out += [Range(path, low, low + self.step) for low in range(0, max(1, int(size)), self.step)]
-        return out or [Range("", 0, 0)]
+        for b in listed.to_batches(columns=["path", "bytes"]):
+            for path, size in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                out += [Range(path, low, low + self.step) for low in range(0, max(1, size), self.step)]
+        return sorted(out, key=lambda r: (r.path, r.low)) or [Range("", 0, 0)]
 
     def read(self, partition):
         if not partition.path:
             return
-        store, path = filesystem(self.scheme + partition.path)
-        with store.open_input_file(path) as archive:
-            members = [m for m in directory(archive, archive.size()) if partition.low <= m[0] < partition.high]
-            rows, held, ahead = [], 0, (0, b"")
+        archive = File(self.folder, partition.path)
+        try:
+            members = [m for m in archive.listed() if partition.low <= m[0] < partition.high]
+            rows, held = [], 0
             for offset, size, crc, name in members:
-                need = 30 + len(name.encode()) + size
-                if not (ahead[0] <= offset and offset + need <= ahead[0] + len(ahead[1])):
-                    archive.seek(offset)
-                    ahead = (offset, archive.read(max(need, READ_AHEAD)))
-                image = ahead[1][offset - ahead[0] :][:need][need - size :]
-                rows.append((name, fetch(archive, offset, size, crc, image, need)))
+                rows.append((name, fetch(archive, offset, size, crc, 30 + len(name.encode()) + size)))
                 held += size
                 if held >= BATCH_BYTES:
                     yield batch(rows)
                     rows, held = [], 0
             if rows:
                 yield batch(rows)
+        finally:
+            archive.close()
 
 
-def fetch(archive, offset: int, size: int, crc: int, image: bytes, need: int, tries: int = TRIES) -> bytes:
-    """image if its checksum holds; else the member read again by its offset."""
-    for k in range(tries):
-        if len(image) == size and zlib.crc32(image) == crc:
-            return image
-        time.sleep(0.05 * k)
+class File:
+    """An archive's bytes, read ahead; after a failure it is opened anew."""
+
+    def __init__(self, folder: str, path: str):
+        self.store, self.path = filesystem(folder)[0], path
+        self.file, self.ahead = None, (0, b"")
+
+    def close(self) -> None:
+        if self.file is not None:
+            self.file.close()
+        self.file, self.ahead = None, (0, b"")
+
+    def bytes(self, offset: int, need: int) -> bytes:
+        """need bytes from offset; OSError where they can't be read, after which nothing read ahead is trusted."""
         try:
-            archive.seek(offset)
-            image = archive.read(need)[need - size :]
+            low, held = self.ahead
+            if not (low <= offset and offset + need <= low + len(held)):
+                self.file = self.file or self.store.open_input_file(self.path)
+                self.file.seek(offset)
+                self.ahead = low, held = offset, self.file.read(max(need, READ_AHEAD))
+            return held[offset - low :][:need]
         except OSError:
-            image = b""
-    if len(image) == size and zlib.crc32(image) == crc:
+            self.close()
+            raise
+
+    def listed(self) -> list[tuple[int, int, int, str]]:
+        def once():
+            self.file = self.file or self.store.open_input_file(self.path)
+            return directory(self.file, self.file.size())
+
+        return tried(once, self)
+
+
+def tried(once, archive: File, tries: int = TRIES):
+    """What once gives; on an OSError or a wrong checksum (ValueError) again, with the archive opened anew."""
+    for k in range(tries):
+        try:
+            return once()
+        except (OSError, ValueError, zipfile.BadZipFile) as e:
+            archive.close()
+            if k == tries - 1:
+                raise OSError(f"{archive.path} can't be read") from e
+            time.sleep(0.05 * 2**k)
+
+
+def fetch(archive: File, offset: int, size: int, crc: int, need: int, tries: int = TRIES) -> bytes:
+    """A member by its own offset, read until its checksum holds."""
+
+    def once() -> bytes:
+        image = archive.bytes(offset, need)[need - size :]
+        if len(image) != size or zlib.crc32(image) != crc:
+            raise ValueError("checksum of a member")
         return image
-    raise OSError(f"member at {offset} can't be read")
+
+    return tried(once, archive, tries)
 
 
 def batch(rows: list[tuple[str, bytes]]) -> pa.RecordBatch:
-    names = [n.split("-", 2) for n, _ in rows]
-    ids = [x[2].removesuffix(".png") for x in names]
+    names = [n.removesuffix(".png").split("-", 3) for n, _ in rows]
     return pa.record_batch(
         {
-            "id": pa.array([None if i == "null" else i for i in ids], pa.string()),
+            "id": pa.array([x[3] if len(x) > 3 else None for x in names], pa.string()),
             "n_bytes": pa.array([int(x[1]) for x in names], pa.int64()),
             "media": pa.array([d for _, d in rows], pa.binary()),
         }
@@ -246,16 +289,19 @@ class ArchiveMedia(DataSource):
         return MediaReader(self.options)
 
 
-def read_archives(spark: SparkSession, folder: str, archives: list[tuple[str, int, int]]) -> DataFrame:
+def read_archives(spark: SparkSession, folder: str) -> DataFrame:
+    """id, n_bytes, media of all members of the archives of a folder's manifest."""
     spark.dataSource.register(ArchiveMedia)
-    scheme = folder.split("://")[0] + "://" if "://" in folder else "file://"
-    return spark.read.format("archive_media").options(archives="\n".join(f"{p}\t{n}" for p, n, _ in archives), scheme=scheme).load()
+    return spark.read.format("archive_media").options(folder=folder).load()
 
 
 def media_features(docs: DataFrame, folder: str | None = None) -> DataFrame:
-    """Stores the texts as images, reads them back, and describes what was read; media itself is in read_archives()."""
+    """Stores the texts as images, reads them back, and describes what was read.
+
+    With a folder the archives stay there, for read_archives(); without, they are removed once they are described.
+    """
     spark = docs.sparkSession
-    folder = folder or common.new_path(spark, "media")
+    where = folder or common.new_path(spark, "media")
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -267,12 +313,16 @@ def media_features(docs: DataFrame, folder: str | None = None) -> DataFrame:
             told = pd.DataFrame(out, columns=["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"], index=pdf.index)
             yield pd.concat([pdf[["id", "n_bytes"]], told], axis=1)
 
-    read = read_archives(spark, folder, write_archives(docs, folder))
+    read = read_archives(spark, write_archives(docs, where))
     told = read.mapInPandas(
         rows,
         "id string, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string",
     )
-    return told.selectExpr(f"cast(id as {kind}) AS doc_id", "* except (id)")
+    told = told.selectExpr(f"cast(id as {kind}) AS doc_id", "* except (id)")
+    if folder is None:
+        told = common.durable(told, "features")
+        remove(where)
+    return told
 
 
 def remove(folder: str) -> None:

@@ -97,43 +97,78 @@ def test_png_round_trip_and_readers():
         media.from_png(b"nothing")
 
 
+def stored(folder, n, names=lambda i: f"id-{-i}"):
+    """A folder with one archive of n members and its manifest."""
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    a = media._Archive(f"{folder}/archives")
+    for i in range(n):
+        a.add(f"{i:08d}-{i}-{names(i)}.png", bytes([i]) * i * 10)
+    told = a.close()
+    (folder / "manifest").mkdir()
+    pq.write_table(pa.Table.from_pylist([dict(zip(media.MANIFEST.names, told, strict=True))], media.MANIFEST), folder / "manifest/part-0.parquet")
+    (folder / "manifest/_SUCCESS").touch()
+    return told
+
+
 def test_archives_are_zip_files(tmp_path):
-    a = media._Archive(str(tmp_path))
-    for i in range(5):
-        a.add(f"{i:08d}-{i}-{-i}.png", bytes([i]) * i * 10)
-    path, _, n = a.close()
+    path, _, n = stored(tmp_path, 5)
     with zipfile.ZipFile(path) as z:
-        assert n == 5 and z.testzip() is None and z.read("00000003-3--3.png") == b"\3" * 30
+        assert n == 5 and z.testzip() is None and z.read("00000003-3-id--3.png") == b"\3" * 30
     with open(path, "rb") as f:
-        size = f.seek(0, 2)
-        listed = media.directory(f, size)
-    assert [x[3] for x in listed] == [f"{i:08d}-{i}-{-i}.png" for i in range(5)]
-    rows = list(media.MediaReader({"archives": f"{path}\t{size}", "range_bytes": "100"}).read(media.Range(path, 0, size)))
+        listed = media.directory(f, f.seek(0, 2))
+    assert [x[3] for x in listed] == [f"{i:08d}-{i}-id-{-i}.png" for i in range(5)]
+    reader = media.MediaReader({"folder": str(tmp_path), "range_bytes": "100"})
+    rows = list(reader.read(media.Range(path, 0, 10**6)))
     assert rows[0]["id"].to_pylist() == ["0", "-1", "-2", "-3", "-4"]
-    parts = media.MediaReader({"archives": f"{path}\t{size}", "range_bytes": "100"}).partitions()
-    assert sum(b.num_rows for p in parts for b in media.MediaReader({}).read(p)) == 5
+    parts = reader.partitions()
+    assert len(parts) > 1 and sum(b.num_rows for p in parts for b in reader.read(p)) == 5
 
 
-class Flaky(io.BytesIO):
-    def __init__(self, data, fail):
-        super().__init__(data)
-        self.fail = fail
+class Flaky:
+    """A file system whose files fail, or give damaged bytes, for the first reads."""
 
-    def read(self, n=-1):
-        if self.fail:
-            self.fail -= 1
-            raise OSError("gone")
-        return super().read(n)
+    def __init__(self, store, fail, damage):
+        self.store, self.fail, self.damage, self.opened = store, fail, damage, 0
 
+    def open_input_file(self, path):
+        self.opened += 1
+        return FlakyFile(self, self.store.open_input_file(path))
 
-def test_members_are_tried_again_by_offset():
-    data = b"head" + b"x" * 10
-    crc = zlib.crc32(b"x" * 10)
-    assert media.fetch(Flaky(data, 2), 0, 10, crc, b"damaged", 14) == b"x" * 10
-    with pytest.raises(OSError):
-        media.fetch(Flaky(data, 99), 0, 10, crc, b"", 14)
-    with pytest.raises(OSError):
-        media.fetch(Flaky(b"head" + b"y" * 10, 0), 0, 10, crc, b"", 14)
+
+class FlakyFile:
+    def __init__(self, top, file):
+        self.top, self.file = top, file
+
+    def __getattr__(self, name):
+        return getattr(self.file, name)
+
+    def read(self, n):
+        if self.top.fail:
+            self.top.fail -= 1
+            raise OSError("gone")
+        data = self.file.read(n)
+        if self.top.damage and data[:4] == media.LOCAL:
+            self.top.damage -= 1
+            return data[:-1] + b"?"
+        return data
+
+
+@pytest.mark.parametrize(("fail", "damage", "well"), [(0, 0, True), (2, 0, True), (3, 2, True), (0, 3, True), (99, 0, False), (0, 99, False)])
+def test_members_are_read_again_by_offset(tmp_path, monkeypatch, fail, damage, well):
+    path, *_ = stored(tmp_path, 4, lambda i: "null" if i == 2 else "id-null" if i == 1 else f"id-{i}")
+    monkeypatch.setattr(media, "READ_AHEAD", 1)
+    monkeypatch.setattr(media.time, "sleep", lambda s: None)
+    store = Flaky(media.filesystem(path)[0], fail, damage)
+    monkeypatch.setattr(media, "filesystem", lambda uri: (store, uri))
+    reader = media.MediaReader({"folder": str(tmp_path)})
+    if not well:
+        with pytest.raises(OSError):
+            list(reader.read(media.Range(path, 0, 10**6)))
+        return
+    rows = [r for b in reader.read(media.Range(path, 0, 10**6)) for r in b.to_pylist()]
+    assert [(r["id"], r["media"]) for r in rows] == [("0", b""), ("null", b"\1" * 10), (None, b"\2" * 20), ("3", b"\3" * 30)]
 
 
 def test_secret_spans():

@@ -163,6 +163,16 @@ def test_media(spark, cases, empty):
         assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
     assert got[4]["media_sha256"] == got[5]["media_sha256"] and got[4]["feature"] == got[5]["feature"]
     assert media.media_features(cases).count() == 11 and media.media_features(empty).count() == 0
+    named = spark.createDataFrame([("null", "a"), (None, "b"), ("x/y-z.png", "c")], "doc_id string, text string")
+    assert {(r["doc_id"], r["n_bytes"]) for r in media.media_features(named).collect()} == {("null", 1), (None, 1), ("x/y-z.png", 1)}
+
+
+def test_media_stays_where_a_folder_is_given(spark, cases, tmp_path):
+    media.media_features(cases, str(tmp_path)).count()
+    read = media.read_archives(spark, str(tmp_path))
+    assert {media.from_png(r["media"]) for r in read.collect()} == {media.padded(t)[0] for t in CASES}
+    media.remove(str(tmp_path))
+    assert not tmp_path.exists()
 
 
 def test_secrets(spark, cases, empty):
