@@ -9,21 +9,24 @@ that the best path is the library's own result. Both are max-plus sums.
 Texts of up to CHUNK characters are one chunk. Longer ones are cut anywhere. The
 states at a cut are the pieces that start before it and reach it; a chunk gives
 a transfer matrix of best sums from the states at its left cut to those at its
-right cut. Matrices are combined associatively along the document, which fixes
-the state at each cut, and each chunk is then traced back by itself. No piece
-reaches over the start of a word or an unknown character, so a whole word within
-a chunk is one arc, and the distinct words of a batch are segmented together.
+right cut. Matrices are combined associatively, FAN neighbours at a time, up to
+one a document, which fixes its last state; the states at the cuts inside follow
+level by level downwards, and each chunk is then traced back by itself. No group
+holds more than FAN matrices, however long the document is. No piece reaches
+over the start of a word or an unknown character, so a whole word within a chunk
+is one arc, and the distinct words of a batch are segmented together.
 
 Cases: null text is empty text, which has no piece; unknown characters fall back
-to bytes; a U+2581 in a text decodes as a blank, as in the library; null ids
-and repeated rows are kept; an empty table gives an empty result; columns other
-than doc_id and text are ignored.
+to bytes; a U+2581 in a text decodes as a blank, as in the library; of a unigram
+model's paths of equal sums, a text in chunks may get another than in one chunk
+(a merge model has one path); null ids and repeated rows are kept; an empty table gives an empty result; columns other than doc_id and text
+are ignored.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pandas as pd
@@ -35,27 +38,37 @@ from . import common
 from .wordbpe import NONE, Pairs, merge_all, spread
 
 CHUNK = 32_768
+FAN = 64  # matrices that are combined at once
 LONGEST = 32  # characters of a word that is segmented in a batch with others
 SPACE = "▁"
 OTHER = 1 << 20  # symbol numbers of unknown characters start here
 BATCH = 1_000_000
+AT_ONCE = 32  # chunks of a batch
+UNIGRAM, UNKNOWN = 1, 10.0  # fixed values of the library: a model type, and by how much an unknown character is below the least score
 State = tuple[int, int]  # start and end of a piece, counted from the cut
 
 
 class Pieces:
-    """A SentencePiece BPE model with byte fallback, read from its file."""
+    """A SentencePiece model, BPE or unigram, with byte fallback, read from its file."""
 
     def __init__(self, path: str | None = None):
         import public_tokenizers
         import sentencepiece
-
-        sp = sentencepiece.SentencePieceProcessor(model_file=path or public_tokenizers.path("piece_bpe_32k.model"))
+        from sentencepiece import sentencepiece_model_pb2
+
+        path = path or public_tokenizers.path("piece_bpe_32k.model")
+        sp = sentencepiece.SentencePieceProcessor(model_file=path)
+        spec = sentencepiece_model_pb2.ModelProto()
+        with open(path, "rb") as f:
+            spec.ParseFromString(f.read())
+        self.unigram = spec.trainer_spec.model_type == UNIGRAM
         n = sp.vocab_size()
         self.text = [sp.id_to_piece(i) for i in range(n)]
         self.bytes = {int(self.text[i][3:5], 16): i for i in range(n) if sp.is_byte(i)}
         usable = [i for i in range(n) if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i))]
         self.ids = {self.text[i]: i for i in usable}
         self.score = {self.text[i]: sp.get_score(i) for i in usable}
+        self.lost = min(self.score.values()) - UNKNOWN
         self.most = max(map(len, self.ids))
         self.dummy = sp.encode("a", out_type=str)[0].startswith(SPACE)
         if any(SPACE in p.lstrip(SPACE) for p in self.ids):
@@ -91,7 +104,9 @@ class Pieces:
             s[at : at + 2] = [s[at] + s[at + 1]]
 
     def fits(self, a: str | None, b: str) -> bool:
-        """Whether b may follow a, which is what merging the two leaves."""
+        """Whether b may follow a, which is what merging the two leaves; in a unigram model it always may."""
+        if self.unigram:
+            return True
         if a is None:
             return len(b) == 1 or self.fits("", b)
         if (a, b) not in self.agree:
@@ -100,6 +115,10 @@ class Pieces:
             self.agree[a, b] = self.merged(a + b) == ([a, b] if a else [b])
         return self.agree[a, b]
 
+    def weight(self, piece: str) -> float:
+        """What an arc adds to a path's sum."""
+        return self.score.get(piece, self.lost) if self.unigram else 0.0
+
     def arcs(self, text: str, at: int) -> list[int]:
         """Ends of the pieces that start at a place; a character is always one."""
         return [at + 1, *(e for e in range(at + 2, min(len(text), at + self.most) + 1) if text[at:e] in self.ids)]
@@ -125,7 +144,7 @@ class Pieces:
                         sums = np.where(better, best[s], sums)
                         via = [s if y else x for x, y in zip(via, better, strict=True)]
                 if np.isfinite(sums).any():
-                    best[at, e], before[at, e] = sums, via
+                    best[at, e], before[at, e] = sums + self.weight(piece), via
                     ending.setdefault(e, []).append((at, e))
         return {s: v for s, v in best.items() if s is not None}, before
 
@@ -147,6 +166,8 @@ class Pieces:
             sums, _ = self.walk(text, left, low, marks[0])
             head = np.max([v for s, v in sums.items() if s[1] == marks[0]] or [np.full(len(left), -np.inf)], axis=0)
             tail, _ = self.walk(text, [None], marks[-1], high)
+            if self.unigram:
+                head = head + sum(map(self.weight, map(self.text.__getitem__, self.encode_words([text[marks[0] : marks[-1]]])[0].tolist())))
             matrix = head[:, None] + np.array([tail.get(s, np.array([-np.inf]))[0] for s in right])
         else:
             sums, _ = self.walk(text, left, low, high)
@@ -198,6 +219,8 @@ class Pieces:
         double = np.zeros(len(point), np.int64)
         double[1:] = space[1:] & space[:-1]
         apart = np.flatnonzero((size > LONGEST) | (np.add.reduceat(double, start) > 0))
+        if self.unigram:
+            apart = np.arange(len(start))
         short = np.minimum(size, LONGEST)
         place = spread(np.zeros(len(start), np.int64), short)
         value = (point[spread(start, short)].astype(np.uint64) + np.uint64(1)) * self.odd[place]
@@ -228,7 +251,7 @@ class Pieces:
                 counts[part] = n
         for i in np.flatnonzero(apart):
             word = point[start[i] : start[i] + size[i]].tobytes().decode("utf-32-le")
-            found = self.back(word, None, 0, len(word), None) if len(word) > 2 * LONGEST else [x for p in self.merged(word) for x in self.ids_of(p)]
+            found = self.back(word, None, 0, len(word), None) if self.unigram or len(word) > 2 * LONGEST else [x for p in self.merged(word) for x in self.ids_of(p)]
             parts.append(np.array(found, np.int32))
             order.append(np.array([i]))
             counts[i] = len(found)
@@ -303,9 +326,11 @@ def chunk_rows(docs: DataFrame, path: str | None, chunk: int) -> DataFrame:
                 t = m.normal(text)
                 n = max(1, len(t) // chunk)
                 cuts = [len(t) * k // n for k in range(n + 1)]
-                for k in range(n):
-                    a, b = max(0, cuts[k] - m.most), min(len(t), cuts[k + 1] + m.most)
-                    yield pd.DataFrame({"row": [row], "doc_id": [doc], "k": [k], "last": [k == n - 1], "low": [cuts[k] - a], "high": [cuts[k + 1] - a], "part": [t[a:b]]})
+                for first in range(0, n, AT_ONCE):
+                    ks = range(first, min(n, first + AT_ONCE))
+                    ends = [(max(0, cuts[k] - m.most), min(len(t), cuts[k + 1] + m.most)) for k in ks]
+                    yield pd.DataFrame({"row": row, "doc_id": doc, "k": ks, "last": [k == n - 1 for k in ks], "low": [cuts[k] - a for k, (a, _) in zip(ks, ends)],
+                                        "high": [cuts[k + 1] - a for k, (a, _) in zip(ks, ends)], "part": [t[a:b] for a, b in ends]})
 
     long = docs.where(F.char_length("text") > chunk)
     long = common.texts(long).withColumn("row", F.monotonically_increasing_id())
@@ -319,26 +344,78 @@ def plus(a: tuple, b: tuple) -> tuple:
     return a[0], b[1], np.max(a[2][:, :, None] + b[2][at][None], axis=1)
 
 
-def settle(parts: list[tuple]) -> list[tuple[State | None, State]]:
-    """The state at each chunk's left and right cut on the best path of the document."""
-    sums = [parts[0]]
-    for p in parts[1:]:
-        sums.append(plus(sums[-1], p))
-    state = sums[-1][1][int(np.argmax(sums[-1][2][0]))]
-    out = []
+def settle(parts: list[tuple], start: State | None, goal: State) -> list[tuple[State | None, State]]:
+    """The state at each part's left and right cut on the best path from start, a state at the first cut, to goal, one at the last."""
+    reach = [np.where([x == start for x in parts[0][0]], 0.0, -np.inf)]
+    for k, (left, right, matrix) in enumerate(parts):
+        if k:
+            place = {x: i for i, x in enumerate(parts[k - 1][1])}
+            reach[k] = reach[k][[place[x] for x in left]]
+        reach.append(np.max(reach[k][:, None] + matrix, axis=0))
+    out: list[tuple[State | None, State]] = []
+    state = goal
     for k in range(len(parts) - 1, -1, -1):
         left, right, matrix = parts[k]
-        if k:
-            through = [sums[k - 1][2][0][sums[k - 1][1].index(s)] for s in left]
-            at = left[int(np.argmax(np.array(through) + matrix[:, right.index(state)]))]
-        else:
-            at = None
+        at = left[int(np.argmax(reach[k] + matrix[:, right.index(state)]))]
         out.append((at, state))
         state = at
     return out[::-1]
 
 
-def encode(docs: DataFrame, path: str | None = None, chunk: int = CHUNK) -> DataFrame:
+def best_end(part: tuple) -> State:
+    """The last state of a whole document's best path."""
+    return part[1][int(np.argmax(part[2][0]))]
+
+
+def _read(pdf: pd.DataFrame) -> list[tuple]:
+    """Transfers from rows in order; a document's first one starts at None."""
+    out = []
+    for r in pdf.itertuples():
+        left, right = ([(int(a), int(b)) for a, b in np.reshape(x, (-1, 2))] for x in (r.left, r.right))
+        out.append(([None] if r.k == 0 else left, right, np.reshape(r.matrix, (len(left), len(right)))))
+    return out
+
+
+def _row(row: int, k: int, part: tuple) -> tuple:
+    return row, k, [x for s in part[0] for x in (s or (0, 0))], [x for s in part[1] for x in s], part[2].ravel()
+
+
+MATRICES = "row long, k int, left array<int>, right array<int>, matrix array<double>"
+STATES = "row long, k int, a array<int>, b array<int>"
+
+
+def states_at_cuts(matrices: DataFrame, fan: int = FAN) -> DataFrame:
+    """row, k, a, b: the states at the left and right cut of each chunk, from the chunks' matrices, by a tree of products of fan of them."""
+    levels = [matrices]
+    n = matrices.agg(F.max("k")).first()[0]
+    group = F.expr(f"k div {fan}").cast("int")
+
+    def product(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("k")
+        return pd.DataFrame([_row(pdf["row"].iloc[0], pdf["g"].iloc[0], reduce(plus, _read(pdf)))], columns=["row", "k", "left", "right", "matrix"])
+
+    def last(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pd.DataFrame({"row": pdf["row"], "k": 0, "a": [[0, 0]] * len(pdf), "b": [list(best_end(p)) for p in _read(pdf)]})
+
+    def inside(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("k")
+        first = pdf.iloc[0]
+        told = settle(_read(pdf), None if first["k"] == 0 else tuple(map(int, first["a"])), tuple(map(int, first["b"])))
+        return pd.DataFrame({"row": pdf["row"].to_numpy(), "k": pdf["k"].to_numpy(), "a": [list(x or (0, 0)) for x, _ in told], "b": [list(y) for _, y in told]})
+
+    while n:  # the greatest number of a chunk; 0 where each document is one
+        up = levels[-1].withColumn("g", group).groupBy("row", "g").applyInPandas(product, MATRICES)
+        levels.append(common.durable(up, "products"))
+        n //= fan
+    states = levels[-1].mapInPandas(last, STATES)
+    for level in reversed(levels[:-1]):
+        outer = states.select("row", F.col("k").alias("g"), "a", "b")
+        states = level.withColumn("g", group).join(outer, ["row", "g"]).groupBy("row", "g").applyInPandas(inside, STATES)
+    return states
+
+
+def encode(docs: DataFrame, path: str | None = None, chunk: int = CHUNK, fan: int = FAN) -> DataFrame:
     """doc_id, part, ids, round_trip: the ids of each text, in parts where it is long (part counts from 0)."""
 
     def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -351,21 +428,9 @@ def encode(docs: DataFrame, path: str | None = None, chunk: int = CHUNK) -> Data
     def transfers(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m = pieces(path)
         for pdf in batches:
-            out = []
-            for r in pdf.itertuples():
-                left, right, matrix = m.transfer(r.part, r.low, r.high, r.k == 0, r.last)
-                out.append((r.row, r.k, [x for s in left for x in (s or (0, 0))], [x for s in right for x in s], matrix.ravel()))
+            out = [_row(r.row, r.k, m.transfer(r.part, r.low, r.high, r.k == 0, r.last)) for r in pdf.itertuples()]
             yield pd.DataFrame(out, columns=["row", "k", "left", "right", "matrix"])
 
-    def combine(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("k")
-        parts = []
-        for r in pdf.itertuples():
-            left, right = ([(int(a), int(b)) for a, b in np.reshape(x, (-1, 2))] for x in (r.left, r.right))
-            parts.append(([None] if r.k == 0 else left, right, np.reshape(r.matrix, (len(left), len(right)))))
-        told = settle(parts)
-        return pd.DataFrame({"row": pdf["row"].to_numpy(), "k": pdf["k"].to_numpy(), "a": [list(x or (0, 0)) for x, _ in told], "b": [list(y) for _, y in told]})
-
     def traced(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m = pieces(path)
         for pdf in batches:
@@ -380,13 +445,12 @@ def encode(docs: DataFrame, path: str | None = None, chunk: int = CHUNK) -> Data
     schema = "row long, doc_id string, part int, ids array<int>, round_trip boolean"
     short = common.texts(docs.where(F.coalesce(F.char_length("text"), F.lit(0)) <= chunk)).mapInPandas(whole, schema)
     cut = common.durable(chunk_rows(docs, path, chunk), "chunks")
-    matrices = cut.mapInPandas(transfers, "row long, k int, left array<int>, right array<int>, matrix array<double>")
-    states = matrices.groupBy("row").applyInPandas(combine, "row long, k int, a array<int>, b array<int>")
-    long = cut.join(states, ["row", "k"]).mapInPandas(traced, schema)
+    matrices = common.durable(cut.mapInPandas(transfers, MATRICES), "matrices")
+    long = cut.join(states_at_cuts(matrices, fan), ["row", "k"]).mapInPandas(traced, schema)
     return common.typed(short.unionByName(long), docs)
 
 
-def report(docs: DataFrame, path: str | None = None, chunk: int = CHUNK) -> DataFrame:
+def report(docs: DataFrame, path: str | None = None, chunk: int = CHUNK, fan: int = FAN) -> DataFrame:
     """doc_id, n_ids, ids_sum, ids_weighted (sum of id by place), parts, round_trip of each text."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -395,7 +459,7 @@ def report(docs: DataFrame, path: str | None = None, chunk: int = CHUNK) -> Data
             n, s, w = (pa.array([t[i] for t in told], pa.int64()) for i in range(3))
             yield pa.record_batch({"doc_id": b.column("doc_id"), "row": b.column("row"), "part": b.column("part"), "n": n, "s": s, "w": w, "ok": b.column("round_trip")})
 
-    found = encode(docs, path, chunk).withColumn("doc_id", F.col("doc_id").cast("string"))
+    found = encode(docs, path, chunk, fan).withColumn("doc_id", F.col("doc_id").cast("string"))
     found = common.durable(found.mapInArrow(rows, "doc_id string, row long, part int, n long, s long, w long, ok boolean"), "digests")  # both kinds of rows are read from it
     one = found.where("row IS NULL").selectExpr("doc_id", "n AS n_ids", "s AS ids_sum", "w AS ids_weighted", "1L AS parts", "ok AS round_trip")
     many = found.where("row IS NOT NULL").groupBy("row", "doc_id").agg(F.sort_array(F.collect_list(F.struct("part", "n", "s", "w"))).alias("p"), F.bool_and("ok").alias("round_trip"))

@@ -1,4 +1,4 @@
-import io
+import functools
 import random
 import zipfile
 import zlib
@@ -62,17 +62,63 @@ def test_pieces_are_the_library_s_however_they_are_cut():
     assert [m.decode(x.tolist()).decode() for x in ids] == [t.replace("▁", " ") for t in texts]
     for t in [*noise(5, 30, most=200), *texts[-2:], "the of and  it was  " * 30]:
         for chunk in (35, 60, 150):
-            s = m.normal(t)
-            n = max(1, len(s) // chunk)
-            cuts = [len(s) * k // n for k in range(n + 1)]
-            parts, contexts = [], []
-            for k in range(n):
-                a, b = max(0, cuts[k] - m.most), min(len(s), cuts[k + 1] + m.most)
-                contexts.append((s[a:b], cuts[k] - a, cuts[k + 1] - a))
-                parts.append(m.transfer(*contexts[-1], k == 0, k == n - 1))
-            if s:
-                found = [i for c, (left, right) in zip(contexts, pieces.settle(parts), strict=True) for i in m.trace(c[0], left, right, c[1], c[2])]
-                assert found == sp.encode(t)
+            if t:
+                assert by_chunks(m, t, chunk) == sp.encode(t)
+
+
+def by_chunks(m, t, chunk, fan=3):
+    """Ids of a text by transfers, a tree of products, states from the top down, and a trace of each chunk."""
+    s = m.normal(t)
+    n = max(1, len(s) // chunk)
+    cuts = [len(s) * k // n for k in range(n + 1)]
+    contexts = []
+    for k in range(n):
+        a, b = max(0, cuts[k] - m.most), min(len(s), cuts[k + 1] + m.most)
+        contexts.append((s[a:b], cuts[k] - a, cuts[k + 1] - a))
+    levels = [[m.transfer(*c, k == 0, k == n - 1) for k, c in enumerate(contexts)]]
+    while len(levels[-1]) > 1:
+        levels.append([functools.reduce(pieces.plus, levels[-1][i : i + fan]) for i in range(0, len(levels[-1]), fan)])
+    states = [(None, pieces.best_end(levels[-1][0]))]
+    for level in levels[-2::-1]:
+        states = [x for i, (a, b) in enumerate(states) for x in pieces.settle(level[i * fan : (i + 1) * fan], a, b)]
+    return [i for c, (left, right) in zip(contexts, states, strict=True) for i in m.trace(c[0], left, right, c[1], c[2])]
+
+
+@pytest.fixture(scope="module")
+def unigram(tmp_path_factory):
+    """A unigram model of a few pieces with scores whose sums are exact, written by hand; nothing is trained."""
+    from sentencepiece import sentencepiece_model_pb2
+
+    kind = sentencepiece_model_pb2.ModelProto.SentencePiece
+    m = sentencepiece_model_pb2.ModelProto()
+    m.trainer_spec.model_type, m.trainer_spec.byte_fallback = 1, True
+    m.normalizer_spec.name, m.normalizer_spec.remove_extra_whitespaces, m.normalizer_spec.add_dummy_prefix, m.normalizer_spec.escape_whitespaces = "identity", False, True, True
+    m.pieces.add(piece="<unk>", score=0, type=kind.UNKNOWN)
+    for b in range(256):
+        m.pieces.add(piece=f"<0x{b:02X}>", score=0, type=kind.BYTE)
+    rng = np.random.default_rng(9)
+    words = {"▁", *"abcdé", "▁a", "▁ab", "▁abc", "ab", "abc", "bc", "bcd", "cd", "cda", "da", "dab", "aa", "aaa", "bb", "▁the", "abcd", "bcda"}
+    for w in sorted(words):
+        m.pieces.add(piece=w, score=-float(rng.integers(2000, 12000)) / 1024, type=kind.NORMAL)
+    path = tmp_path_factory.mktemp("unigram") / "m.model"
+    path.write_bytes(m.SerializeToString())
+    return str(path)
+
+
+def test_a_unigram_model_s_best_paths_are_the_library_s(unigram):
+    import sentencepiece
+
+    m, sp = pieces.Pieces(unigram), sentencepiece.SentencePieceProcessor(model_file=unigram)
+    total = lambda ids: sum(m.score.get(m.text[i], 0.0) for i in ids) + m.lost * sum(m.text[i].startswith("<0x") and m.bytes.get(int(m.text[i][3:5], 16)) == i and int(m.text[i][3:5], 16) & 0xC0 != 0x80 for i in ids)  # noqa: E731 - a lead byte is an unknown character
+    texts = [*noise(8, 150, "aabbccdé  xz\n", 90), "abcda" * 60, "a" * 200, " ab" * 50]
+    assert [x.tolist() for x in m.encode(texts)] == [sp.encode(t) for t in texts]
+    for t in texts:
+        for chunk in (12, 40):
+            if t:  # equal sums have many paths (a+aa, aa+a): the sum is the library's, and so is the text
+                found = by_chunks(m, t, chunk)
+                assert total(found) == total(sp.encode(t)) and m.decode(found).decode() == t
+    plain = ["abcd" * 40, "the cdab é" * 20, " abc bcda" * 30]
+    assert [by_chunks(m, t, 30) for t in plain] == [sp.encode(t) for t in plain]
 
 
 def test_max_plus_product_is_associative():

@@ -223,7 +223,10 @@ def test_pieces(spark, empty):
     sp = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
     texts = [None, "", "Hello  world", "x" * 300, "thequick" * 90 + " and the other " * 30]
     docs = documents(spark, texts)
-    got = {r["doc_id"]: r for r in pieces.report(docs, chunk=100).collect()}
+    null = spark.createDataFrame([(None, texts[4], None, None, None, None, None, None)] * 2, DOCS)
+    found = pieces.report(docs.unionByName(null), chunk=100, fan=3).collect()
+    got = {r["doc_id"]: r for r in found}
+    assert sorted(r["ids_sum"] for r in found if r["doc_id"] is None) == [got[4]["ids_sum"]] * 2 and len(found) == 7
     for i, t in enumerate(texts):
         ids = sp.encode(t or "")
         r = got[i]
