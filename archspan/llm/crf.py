@@ -3,17 +3,21 @@
 Words are labelled by forward-backward over affix, n-gram and lexicon features
 with learned transitions, so that a text may switch language between words; a
 document's language is the one with the largest mean marginal. The model is
-fitted by gradient ascent on a bounded sample of labelled documents
-(SAMPLE_DOCS, the smallest hashes of ids); each word of a sampled document
-carries the document's label.
+fitted by gradient ascent on a bounded sample of labelled documents (of each
+language PER_LANGUAGE, the smallest hashes of ids); each word of a sampled
+document carries the document's label. Besides, passages of sampled documents of
+different languages are joined, so that transitions learn how often a text
+switches and not only that it stays.
 
 Long texts are cut in blocks of words: a block's transfer matrix carries the
 state across it, the matrices of a document are chained from both ends, and the
 marginals inside each block then follow from its own ends. This is exact.
 
 Cases: null text, or text without a letter: language 'und', score 0; null ids
-and repeated rows are kept; without labelled rows each language is 'und';
-an empty table gives an empty result; other columns are ignored.
+and repeated rows are kept, and of the texts of a repeated id the least is
+learned from; of equal means the first language by name wins; without labelled
+rows each language is 'und'; very long texts are labelled whole; an empty table
+gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,13 +27,15 @@ from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
 from .wordbpe import LETTER, classes, spread
 
-SAMPLE_DOCS = 1000
+PER_LANGUAGE = 250
+JOINED = 0.5  # joined passages, a sampled document
+PASSAGE = (5, 40)  # words of a passage
 HASHED = 1 << 17
 BLOCK = 128
 ROUNDS = 20
@@ -103,24 +109,27 @@ def features(w: Words, lexicon: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarr
     return np.concatenate([a for a, _ in out]), np.concatenate([b for _, b in out])
 
 
-def transfer(psi: np.ndarray, length: np.ndarray, trans: np.ndarray) -> np.ndarray:
-    """Matrices that carry a state across blocks, each scaled to a largest entry of 1. psi: block, place, label."""
+def transfer(psi: np.ndarray, length: np.ndarray, trans: np.ndarray, opens: np.ndarray) -> np.ndarray:
+    """Matrices that carry a state across blocks, each scaled to a largest entry of 1. psi: block, place, label. A block that opens a text is entered without a step."""
     n, t, k = psi.shape
     m = np.broadcast_to(np.eye(k), (n, k, k)).copy()
     for i in range(t):
-        m = np.where((i < length)[:, None, None], (m @ trans) * psi[:, i, None, :], m)
+        step = m @ trans
+        if not i:
+            step = np.where(opens[:, None, None], m, step)
+        m = np.where((i < length)[:, None, None], step * psi[:, i, None, :], m)
         m /= m.max(axis=(1, 2), keepdims=True)
     return m
 
 
-def marginals(psi: np.ndarray, length: np.ndarray, trans: np.ndarray, first: np.ndarray, last: np.ndarray):
-    """Marginals of places in blocks, given the weights of the state before and after. Places beyond length: psi of 1s and no step."""
+def marginals(psi: np.ndarray, length: np.ndarray, trans: np.ndarray, entry: np.ndarray, last: np.ndarray):
+    """Marginals of places in blocks, given the weights with which the first place is entered and of the state at the end. Places beyond length: no step."""
     n, t, k = psi.shape
     alpha, beta = np.empty((t, n, k)), np.empty((t, n, k))
-    a = first
+    a = entry
     for i in range(t):
         on = (i < length)[:, None]
-        a = np.where(on, (a @ trans) * psi[:, i], a)
+        a = np.where(on, (a @ trans if i else a) * psi[:, i], a)
         a = a / a.sum(1, keepdims=True)
         alpha[i] = a
     b = last
@@ -170,10 +179,12 @@ class Crf:
         starts = np.flatnonzero(np.append(True, text[1:] != text[:-1]))
         sizes = np.diff(np.append(starts, len(text)))
         first, last = np.full((len(text), k), 1 / k), np.full((len(text), k), 1 / k)
+        opens = np.zeros(len(text), bool)
+        opens[starts] = True
         if sizes.max() > 1:
             many = np.flatnonzero(np.repeat(sizes > 1, sizes))
             chain = np.zeros((len(text), k, k))
-            chain[many] = transfer(psi[many], length[many], trans)
+            chain[many] = transfer(psi[many], length[many], trans, opens[many])
             for j in range(1, sizes.max()):  # all texts that have a block j at once
                 at = starts[sizes > j] + j
                 v = (first[at - 1, None, :] @ chain[at - 1])[:, 0]
@@ -182,7 +193,7 @@ class Crf:
                 at = starts[sizes > j] + j
                 v = (chain[at] @ last[at][:, :, None])[:, :, 0]
                 last[at - 1] = v / v.sum(1, keepdims=True)
-        found, _, _ = marginals(psi, length, trans, first, last)
+        found, _, _ = marginals(psi, length, trans, np.where(opens[:, None], first, first @ trans), last)
         return found.transpose(1, 0, 2)[np.arange(ids.shape[1])[None, :] < length[:, None]]
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
@@ -214,13 +225,32 @@ class Crf:
         return [(int(start[a]), int(end[b]), self.labels[best[a]]) for a, b in zip(cut, np.append(cut[1:], len(best)) - 1, strict=True)]
 
 
+def joined(texts: list[str], langs: list[str], share: float = JOINED) -> list[list[tuple[str, str]]]:
+    """Samples of two to four passages, each of another language than the one before."""
+    rng = np.random.default_rng(5)
+    by = {k: [t.split() for t, x in zip(texts, langs, strict=True) if x == k] for k in sorted(set(langs))}
+    by = {k: [w for w in v if w] for k, v in by.items()}
+    names, out = [k for k in by if by[k]], []
+    for _ in range(int(share * len(texts)) if len(names) > 1 else 0):
+        sample, last = [], None
+        for _ in range(rng.integers(2, 5)):
+            last = str(rng.choice([k for k in names if k != last]))
+            words = by[last][rng.integers(len(by[last]))]
+            at = rng.integers(len(words))
+            sample.append((" ".join(words[at : at + rng.integers(*PASSAGE)]), last))
+        out.append(sample)
+    return out
+
+
 def train(texts: list[str], langs: list[str], rounds: int = ROUNDS) -> Crf:
-    """Maximum conditional likelihood, L2-regularised, by Adagrad on all blocks of the sample."""
+    """Maximum conditional likelihood, L2-regularised, by Adagrad on all blocks of the sample and of passages joined from it."""
+    samples = [[(t, x)] for t, x in zip(texts, langs, strict=True)] + joined(texts, langs)
     labels = sorted(set(langs))
     k = len(labels)
-    w = find_words(texts)
-    lang = np.searchsorted(labels, langs)
-    pair = np.unique(np.repeat(np.arange(len(texts)), w.per_text) * max(1, len(w.key)) + w.number)
+    w = find_words([t for s in samples for t, _ in s])
+    lang = np.searchsorted(labels, [x for s in samples for _, x in s])
+    own = np.arange(len(texts))
+    pair = np.unique(np.repeat(own, w.per_text[own]) * max(1, len(w.key)) + w.number[: w.per_text[own].sum()])
     held = np.zeros((len(w.key), k))
     np.add.at(held, (pair % max(1, len(w.key)), lang[pair // max(1, len(w.key))]), 1)
     sure = (held.sum(1) >= 3) & (held.max(1, initial=0) >= 0.8 * held.sum(1))
@@ -228,12 +258,17 @@ def train(texts: list[str], langs: list[str], rounds: int = ROUNDS) -> Crf:
     if k < 2 or not len(w.number):
         return model
     owner, which = features(w, model.lexicon)
-    ids, length, text = grid(w.number, w.per_text)
-    gold = lang[text]
+    sizes = np.array([len(s) for s in samples])
+    per_sample = np.add.reduceat(w.per_text, np.cumsum(sizes) - sizes)
+    ids, length, text = grid(w.number, per_sample)
     there = np.arange(ids.shape[1])[None, :] < length[:, None]
-    total, flat_word = there.sum(), ids[there]
+    total, flat_word, flat_gold = there.sum(), ids[there], np.repeat(lang, w.per_text)
+    gold = np.full(ids.shape, -1)
+    gold[there] = flat_gold
+    counts_gold = np.zeros((k, k))
+    both = there[:, 1:]
+    np.add.at(counts_gold, (gold[:, :-1][both], gold[:, 1:][both]), 1)
     sums_w, sums_m = np.full(model.weights.shape, 1e-12), np.full((k, k), 1e-12)
-    counts_gold = np.diag(np.bincount(gold, length - 1, k))
     even = np.full((len(text), k), 1 / k)
     for _ in range(rounds):
         trans = np.exp(model.moves - model.moves.max())
@@ -244,9 +279,8 @@ def train(texts: list[str], langs: list[str], rounds: int = ROUNDS) -> Crf:
             on = i < length
             both = alpha[i - 1][on][:, :, None] * trans * (psi[on, i] * beta[i][on])[:, None, :]
             expect += (both / both.sum((1, 2), keepdims=True)).sum(0)
-        error = -found.transpose(1, 0, 2)
-        error[np.arange(len(text)), :, gold] += 1
-        error = error[there]
+        error = -found.transpose(1, 0, 2)[there]
+        error[np.arange(len(error)), flat_gold] += 1
         by_word = np.stack([np.bincount(flat_word, error[:, j], len(w.key)) for j in range(k)], 1)
         grad = np.stack([np.bincount(which, by_word[owner, j], HASHED) for j in range(k)], 1) / total - 1e-6 * model.weights
         sums_w += grad**2
@@ -257,11 +291,14 @@ def train(texts: list[str], langs: list[str], rounds: int = ROUNDS) -> Crf:
     return model
 
 
-def fit(docs: DataFrame, where, sample: int = SAMPLE_DOCS) -> Crf:
-    """A model from at most sample documents of those that where allows and that have text and lang."""
+def fit(docs: DataFrame, where, per_language: int = PER_LANGUAGE) -> Crf:
+    """A model from at most per_language documents of each language, of those that where allows and that have text and lang."""
     chosen = docs.where(where).where("lang IS NOT NULL AND text IS NOT NULL").select("doc_id", "text", "lang")
-    ids = chosen.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = chosen.join(F.broadcast(ids.distinct()), "doc_id", "left_semi").limit(2 * sample).toPandas().sort_values(["doc_id", "text", "lang"])
+    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
+    ids = chosen.select("lang", "doc_id").distinct().withColumn("n", F.row_number().over(order)).where(F.col("n") <= per_language).drop("n")
+    same = [chosen["doc_id"].eqNullSafe(F.col("__id")), chosen["lang"] == F.col("__lang")]
+    rows = chosen.join(F.broadcast(ids.select(F.col("doc_id").alias("__id"), F.col("lang").alias("__lang"))), same, "left_semi")
+    rows = rows.groupBy("lang", "doc_id").agg(F.min("text").alias("text")).toPandas().sort_values(["doc_id", "lang"])
     if rows.empty:
         return Crf([], (np.zeros(0, np.uint64), np.zeros(0, np.int64)))
     return train(rows["text"].tolist(), rows["lang"].tolist())
