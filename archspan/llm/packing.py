@@ -8,8 +8,10 @@ that the work depends on the number of distinct lengths (at most the capacity)
 and not on the number of pieces. Pieces take their places in the patterns by
 their rank among the pieces of their length.
 
-Cases: null or empty text is the end id alone; only pieces of longer documents
-are cut; repeated rows and null ids are pieces of their own; an empty table
+Cases: null or empty text is the end id alone; only longer documents are cut,
+into as many pieces as they need; pieces of one length are taken in the order of
+their tasks and places, and of equally full combinations the one of the longer
+pieces; repeated rows and null ids are pieces of their own; an empty table
 gives an empty result; columns other than doc_id and text are ignored.
 """
 

@@ -5,10 +5,13 @@ gradient histograms, and are kept as flat arrays that numpy walks for a batch
 of documents at once. The model is fitted on at most SAMPLE_ROWS labelled
 documents (the smallest hashes of ids); all documents are scored.
 
-Cases: null text counts as empty text, which is scored too; null ids and
-repeated rows are kept; null labels aren't learned from; without labelled rows
-each score is 0.5; an empty table gives an empty result; other columns are
-ignored.
+Cases: null text counts as empty text, which is scored too; very long texts are
+scored whole; null ids and repeated rows are kept; null labels aren't learned
+from; of several labels of one id the least counts, and of several texts the
+least; a statistic equal to a cut goes left, and of equal gains the first
+statistic and cut are taken; without labelled rows each score is 0.5, and where
+either label is missing all documents are accepted, since nothing tells them
+apart; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -78,6 +81,11 @@ class Trees:
     def __init__(self, base: float):
         self.base, self.column, self.cut, self.value = base, np.zeros((0, 1), int), np.zeros((0, 1)), np.zeros((0, 1))
 
+    @property
+    def learned(self) -> bool:
+        """Whether documents of both labels were there."""
+        return len(self.column) > 0
+
     def raw(self, x: np.ndarray) -> np.ndarray:
         out = np.full(len(x), self.base)
         every = np.arange(len(x))
@@ -142,7 +150,8 @@ def fit(docs: DataFrame, labels: DataFrame, where, sample: int = SAMPLE_ROWS) ->
         for pdf in batches:
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "label": pdf["label"], "x": [statistics(t) for t in pdf["text"]]})
 
-    told = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").withColumn("doc_id", F.col("doc_id").cast("string")).mapInPandas(rows, "doc_id string, label int, x array<double>")
+    one = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))  # SAMPLE_ROWS at most
+    told = one.withColumn("doc_id", F.col("doc_id").cast("string")).mapInPandas(rows, "doc_id string, label int, x array<double>")
     found = told.toPandas().sort_values("doc_id")
     return grow(np.array(found["x"].tolist(), float).reshape(-1, len(STATISTICS)), found["label"].to_numpy(float))
 
@@ -160,7 +169,9 @@ def score(docs: DataFrame, model: Trees, threshold: float = THRESHOLD) -> DataFr
 
 
 def accepted(docs: DataFrame, model: Trees, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of docs, all columns, whose score reaches threshold."""
+    """The rows of docs, all columns, whose score reaches threshold; all rows where the model has seen one label alone or none."""
+    if not model.learned:
+        return docs
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

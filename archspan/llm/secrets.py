@@ -5,9 +5,11 @@ of key-like characters that a tiktoken vocabulary can only cut into short
 tokens (few characters per token) is a random string, unless it has the shape
 of a known digest or of an identifier.
 
-Cases: null text is empty text; empty text has no span; repeated rows give
-repeated results; an empty table gives an empty result; columns other than
-doc_id and text are ignored; a null doc_id is kept. Texts are scanned whole.
+Cases: null text is empty text; empty text has no span; very long texts are
+scanned whole; spans that start together are told in the order of kinds, and a
+random string that overlaps a base span is none; repeated rows give repeated
+results; an empty table gives an empty result; columns other than doc_id and
+text are ignored; a null doc_id is kept.
 """
 
 from __future__ import annotations
