@@ -377,6 +377,24 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     return out.select("doc_id", "n_shingles", "component_id", (F.col("doc_id").eqNullSafe(F.col("component_id")) | F.col("doc_id").isNull()).alias("kept"))
 
 
+def one_of_each(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """docs with one row of each group of near-duplicates: the row of the least id, null ids last. Rows without words are in no group, and all stay.
+
+    Where ids repeat or are null, rows are told apart by a number of their own, so that what stays is decided by text and not by id.
+    """
+    kind = docs.schema["doc_id"].dataType
+    odd = docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 OR doc_id IS NULL")
+    if odd.isEmpty():
+        gone = near_duplicates(docs, words, percent).where("NOT kept").select(F.col("doc_id").cast(kind).alias("doc_id"))
+        return docs.join(common.small(common.durable(gone, "gone")), "doc_id", "left_anti").select(docs.columns)
+    rows = common.durable(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
+    found = near_duplicates(rows.select(F.col("__row").alias("doc_id"), "text"), words, percent).select(F.col("doc_id").alias("__row"), "component_id")
+    ids = rows.select("__row", F.col("doc_id").cast("bigint").alias("id")).join(found, "__row")
+    least = ids.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull(), "id", "__row"))["__row"].alias("__row"))
+    gone = ids.select("__row").join(least, "__row", "left_anti")
+    return rows.join(common.small(common.durable(gone, "gone")), "__row", "left_anti").select(docs.columns)
+
+
 def links_of_shared_ids(sets: DataFrame) -> DataFrame | None:
     """Links between the classes that rows of one repeated id belong to; None where ids are unique."""
     ids = sets.where("n_shingles > 0 AND doc_id IS NOT NULL").select("doc_id", "f1", "f2")

@@ -1,4 +1,5 @@
 import functools
+import itertools
 import random
 import zipfile
 import zlib
@@ -270,6 +271,163 @@ def test_crf_labels_and_blocks():
     assert crf.Crf([], (np.zeros(0, np.uint64), np.zeros(0, np.int64))).predict(["abc"]) == [("und", 0.0)]
 
 
+def test_marginals_equal_those_over_all_label_paths():
+    """All labellings of short texts, each weighed by the product of its emissions and transitions."""
+    rng = random.Random(3)
+    langs = ["a", "b"] * 30
+    m = crf.train([words_of(x, rng, 30) for x in langs], langs, 8)
+    m.labels, k = ["a", "b", "c"], 3  # a third label with weights of its own
+    m.weights = np.concatenate([m.weights, m.weights[:, :1] * 0.4 - 0.02], 1)
+    m.moves = np.random.default_rng(4).normal(size=(k, k))
+    old = crf.BLOCK
+    try:
+        for crf.BLOCK in (2, 3, 128):
+            for text in (words_of("a", rng, 1), words_of("a", rng, 4) + " " + words_of("b", rng, 3), words_of("b", rng, 6)):
+                w = crf.find_words([text])
+                owner, which = crf.features(w, m.lexicon)
+                psi, trans = m.emit(owner, which, len(w.key))[w.number], np.exp(m.moves)
+                want = np.zeros((len(psi), k))
+                for path in itertools.product(range(k), repeat=len(psi)):
+                    p = np.prod([psi[i, y] for i, y in enumerate(path)]) * np.prod([trans[x, y] for x, y in zip(path, path[1:])])
+                    want[np.arange(len(psi)), path] += p
+                want /= want.sum(1, keepdims=True)
+                assert np.allclose(m.label_words(w), want, atol=1e-9)
+                mean = want.mean(0)
+                assert m.predict([text]) == [(m.labels[mean.argmax()], pytest.approx(mean.max()))]
+    finally:
+        crf.BLOCK = old
+
+
+def test_transitions_learn_to_switch():
+    rng = random.Random(5)
+    langs = list("ab" * 40)
+    texts = [words_of(x, rng, 60) for x in langs]
+    samples = crf.joined(texts, langs)
+    assert len(samples) == 40 and all(len(s) >= 2 and all(x[1] != y[1] for x, y in zip(s, s[1:])) for s in samples)
+    m = crf.train(texts, langs, 40)
+    stay, switch = m.moves[0, 0] - m.moves[0, 1], sum(len(s) - 1 for s in samples)
+    words = sum(len(t.split()) for t in texts) + sum(len(t.split()) for s in samples for t, _ in s)
+    assert 0.3 * switch / words < 1 / (1 + np.exp(stay)) < 0.5  # switching stays possible, at about its share in the sample or above
+    text = " ".join(words_of("ab"[i % 2], rng, 6) for i in range(8))
+    assert len(m.runs(text)) >= 6  # short runs are told apart
+
+
+def plain_tree(x, g, h, rows, depth, least):
+    """The best tree by trying each statistic and each value between rows, without histograms: (statistic, cut, left, right) or the leaf's value."""
+    best = (1e-9, None)
+    if depth:
+        for c in range(x.shape[1]):
+            for cut in np.unique(x[rows, c])[:-1]:
+                left = rows[x[rows, c] <= cut]
+                if len(left) < least or len(rows) - len(left) < least:
+                    continue
+                (a, b), (s, t) = (g[left].sum(), h[left].sum()), (g[rows].sum(), h[rows].sum())
+                gain = a**2 / (b + 1) + (s - a) ** 2 / (t - b + 1) - s**2 / (t + 1)
+                if gain > best[0] * (1 + 1e-12):
+                    best = (gain, (c, cut))
+    if best[1] is None:
+        return -quality.RATE * g[rows].sum() / (h[rows].sum() + 1)
+    c, cut = best[1]
+    on = x[rows, c] <= cut
+    return c, cut, plain_tree(x, g, h, rows[on], depth - 1, least), plain_tree(x, g, h, rows[~on], depth - 1, least)
+
+
+def walk(tree, row):
+    while isinstance(tree, tuple):
+        tree = tree[2] if row[tree[0]] <= tree[1] else tree[3]
+    return tree
+
+
+def test_trees_equal_plain_boosting():
+    """Few values a statistic, so that quantile bins hold each value and the histogram search must find the exact splits."""
+    rng = np.random.default_rng(12)
+    x = rng.integers(0, 9, (300, 4)).astype(float)
+    y = ((x[:, 0] + x[:, 1] > 9) ^ (rng.random(300) < 0.1)).astype(float)
+    m = quality.grow(x, y, trees=4)
+    score = np.full(300, m.base)
+    for _ in range(4):
+        p = 1 / (1 + np.exp(-score))
+        tree = plain_tree(x, p - y, np.maximum(p * (1 - p), 1e-6), np.arange(300), quality.DEPTH, quality.LEAST_ROWS)
+        score += [walk(tree, r) for r in x]
+    assert np.allclose(m.raw(x), score, atol=1e-9)
+    fresh = rng.integers(0, 9, (200, 4)).astype(float)
+
+    def one(row):  # the flat arrays, one row and node at a time
+        out = m.base
+        for column, cut, value in zip(m.column, m.cut, m.value):
+            at = 0
+            while at < len(column):
+                at = 2 * at + (1 if row[column[at]] <= cut[at] else 2)
+            out += value[at - len(column)]
+        return out
+
+    assert np.allclose(m.raw(fresh), [one(r) for r in fresh])
+
+
+def plain_secrets(text):
+    """The base spans by the contract's words, scanned place by place."""
+    keep = lambda c, more="": c.isascii() and c.isalnum() or c in more
+    out, at = [], 0
+    while at < len(text):  # assign
+        word = next((w for w in ("password", "passwd", "secret", "token", "api_key", "apikey") if text[at : at + len(w)].isascii() and text[at : at + len(w)].lower() == w), None)
+        end = None
+        if word:
+            tries = [at + len(word)] + ([at + len(word) + 1] if text[at + len(word) : at + len(word) + 1] in ("'", '"') else [])
+            for i in reversed(tries):
+                while text[i : i + 1] == " ":
+                    i += 1
+                if text[i : i + 1] not in (":", "="):
+                    continue
+                i += 1
+                while text[i : i + 1] == " ":
+                    i += 1
+                for j in ([i + 1] if text[i : i + 1] in ("'", '"') else []) + [i]:
+                    e = j
+                    while e < len(text) and keep(text[e], "+/_.=-"):
+                        e += 1
+                    if e > j:
+                        end = (j, e)
+                        break
+                if end:
+                    break
+        if end:
+            if end[1] - end[0] >= 8:
+                out.append((at, 0, end[1]))
+            at = end[1]
+        else:
+            at += 1
+    at = 0
+    while (at := text.find("AKIA", at)) >= 0:
+        e = at + 4
+        while e < len(text) and ("A" <= text[e] <= "Z" or "0" <= text[e] <= "9"):
+            e += 1
+        if e == at + 4:
+            at += 1
+            continue
+        if e - at >= 16:
+            out.append((at, 1, e))
+        at = e
+    at = 0
+    while at < len(text):
+        e = at
+        while e < len(text) and text[e] in "0123456789abcdef":
+            e += 1
+        if e - at >= 32:
+            out.append((at, 2, e))
+        at = max(e, at + 1)
+    return sorted(out)
+
+
+def test_base_spans_equal_a_plain_scan():
+    rng = random.Random(15)
+    bits = ["password", "PassWd", "secret", "token", "api_key", "APIKEY", "'", '"', " ", "  ", ":", "=", "AKIA", "ABCD1234", "Z", "0", "deadbeef", "0123456789abcdef" * 2, "x", "é", "ſ", "K", "\n", "\t", "-", ".", "/", "+", "_", "abcdefgh", "12345678", "AK", "IA"]
+    for _ in range(20_000):
+        text = "".join(rng.choice(bits) for _ in range(rng.randrange(14)))
+        base, every = secrets.spans(text)
+        assert base == plain_secrets(text), text
+        assert [x for x in every if x[1] < 3] == base
+
+
 def plain_shingles(text, n):
     import re
 

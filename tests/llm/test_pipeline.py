@@ -82,6 +82,50 @@ def test_one_of_a_group_of_copies_stays_whole(spark):
     assert left.count(exact) == 1 and sum(t in near for t in left) == 1 and "" not in left
 
 
+LONG = "A long text has many words, and none of them is a secret. " * 20_000
+COPY = " ".join(f"word{i}" for i in range(40))
+CASES = [(1, None), (2, ""), (3, " "), (None, COPY), (None, COPY), (4, LONG), (4, "Another text under the same id is a document of its own, it is said."), (5, COPY), (5, COPY), (6, COPY + " more"), (7, "token=abcdefgh12345 x"), (8, "x\ny\nz")]
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, __row int, score double, component_id string, kept boolean, piece int"
+
+
+def folder(spark, tmp_path, labels):
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    return str(tmp_path)
+
+
+def test_stages_on_nulls_repeats_long_texts_and_clashing_columns(spark, tmp_path):
+    sf = folder(spark, tmp_path, [(1, None, 0)])  # no label to learn from: all documents stay
+    docs = spark.createDataFrame([(i, t, None, None if k % 2 else "s", None, k, 0.5, "c", False, 3) for k, (i, t) in enumerate(CASES)], SCHEMA)
+    key = lambda df: sorted(((r["doc_id"], r["text"]) for r in df.collect()), key=str)
+    stages = dict(corpus_pipeline.STAGES)
+    for name in ("quality_classifier", "line_dedup", "secret_scans", "near_duplicates"):
+        out = common.durable(stages[name](spark, docs.drop("__row") if name == "near_duplicates" else docs, sf), "cases")
+        assert out.columns == [c for c in docs.columns if name != "near_duplicates" or c != "__row"]
+        if name == "near_duplicates":  # of COPY and COPY + " more" the row of the least id stays, once
+            assert key(out) == sorted([c for c in CASES if not (c[1] or "").startswith(COPY)] + [(5, COPY)], key=str)
+        elif name == "secret_scans":
+            assert key(out) == sorted([(i, "token=[REDACTED] x" if i == 7 else t) for i, t in CASES], key=str)
+        else:
+            assert key(out) == sorted(CASES, key=str)
+    packed = stages["best_fit_packing"](spark, docs, sf).collect()
+    assert sum(r["piece"] == 0 for r in packed) == len(CASES) and sum(r["length"] == 1 for r in packed) == 3
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), sf).count() == 0, name
+
+
+def test_rejected_documents_go_and_one_label_alone_rejects_none(spark, tmp_path):
+    good = [f"The cat number {i} sat on the mat. It was a fine day." for i in range(80)]
+    bad = [f"|| x{i} || y || z || ||" for i in range(80)]
+    docs = spark.createDataFrame(list(enumerate(good + bad)) + [(3, bad[0]), (None, bad[1]), (None, good[1])], "doc_id long, text string")
+    (tmp_path / "a").mkdir()
+    (tmp_path / "b").mkdir()
+    both = folder(spark, tmp_path / "a", [(i, int(i < 80), 0) for i in range(160)])
+    out = sorted(r["text"] for r in corpus_pipeline.quality_classifier(spark, docs, both).collect())
+    assert out == sorted([*good, good[1]])
+    one = folder(spark, tmp_path / "b", [(i, 0, 0) for i in range(160)])
+    assert corpus_pipeline.quality_classifier(spark, docs, one).count() == docs.count()
+
+
 def test_run_gives_the_last_stage(spark):
     out = corpus_pipeline.run(spark, SF)
     assert out.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"] and out.count() > 0
