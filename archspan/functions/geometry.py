@@ -8,6 +8,7 @@ before they filter on it.
 
 from __future__ import annotations
 
+import hashlib
 import os
 import subprocess
 import tempfile
@@ -65,25 +66,38 @@ RESULTS = {
     "PointOf": "binary",
     "Triangles": "array<binary>",
     "DetectStep": "array<binary>",
+    "Readable": "boolean",
+    "OnePolygon": "binary",
 }
 
 
 def build() -> Path:
-    """The kernel's jar; compiled where it is missing."""
-    jar = KERNEL / "geo.jar"
-    if jar.exists():
-        return jar
+    """The kernel's jar; compiled where it is missing or made from another source, which a digest in it tells. Only the driver compiles; Spark ships the jar."""
     import zipfile
 
     import pyspark
 
-    out = Path(tempfile.mkdtemp(prefix="archspan-"))
     source = KERNEL / "src/archspan/Geo.java"
+    digest = hashlib.sha256(source.read_bytes()).hexdigest()
+
+    def current(jar: Path) -> bool:
+        if not jar.exists():
+            return False
+        with zipfile.ZipFile(jar) as z:
+            return "source.sha256" in z.namelist() and z.read("source.sha256").decode() == digest
+
+    jar = KERNEL / "geo.jar"
+    if current(jar):
+        return jar
+    out = Path(tempfile.mkdtemp(prefix="archspan-"))
     subprocess.run(["javac", "--release", "17", "-nowarn", "-cp", f"{Path(pyspark.__file__).parent}/jars/*", "-d", str(out), str(source)], check=True)
     target = jar if os.access(KERNEL, os.W_OK) else out / "geo.jar"
-    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
+    part = Path(f"{target}.{os.getpid()}")
+    with zipfile.ZipFile(part, "w", zipfile.ZIP_DEFLATED) as z:
         for c in sorted(out.rglob("*.class")):
             z.write(c, c.relative_to(out))
+        z.writestr("source.sha256", digest)
+    os.replace(part, target)
     return target
 
 
@@ -93,7 +107,7 @@ def name_of(cls: str) -> str:
 
 def register(spark: SparkSession) -> SparkSession:
     """Makes the st_* functions known to a session."""
-    if not spark.catalog.functionExists("st_num_points"):
+    if not spark.catalog.functionExists("st_one_polygon"):
         spark.sql(f"ADD JAR '{build()}'")
         for cls, kind in RESULTS.items():
             spark.udf.registerJavaFunction(name_of(cls), f"archspan.Geo${cls}", kind)

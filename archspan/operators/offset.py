@@ -26,7 +26,12 @@ def _foot(x: Column, y: Column, line: Column) -> Column:
 
 
 def offset_ring(ring: Column, d: float, tolerance: float = 1e-6) -> Column:
-    """Vertices of the ring after the offset: neighbours' lines meet; beyond the miter limit, and between parallels that don't coincide, a connector of two feet."""
+    """Vertices of the ring after the offset."""
+    return F.flatten(offset_corners(ring, d, tolerance))
+
+
+def offset_corners(ring: Column, d: float, tolerance: float = 1e-6) -> Column:
+    """For each vertex of the ring what becomes of it: neighbours' lines meet; beyond the miter limit, and between parallels that don't coincide, a connector of two feet."""
     n = F.size(ring)
 
     def resolved(c: Column) -> Column:
@@ -45,11 +50,7 @@ def offset_ring(ring: Column, d: float, tolerance: float = 1e-6) -> Column:
         )
         return bind(sides, lambda s: bind(lines(s), resolved))
 
-    return F.flatten(F.transform(F.sequence(F.lit(0), n - 1), corner))
-
-
-def _once(df: DataFrame, name: str, value: Column) -> DataFrame:
-    return once(df, **{name: F.struct(value.alias("value"))})
+    return F.transform(F.sequence(F.lit(0), n - 1), corner)
 
 
 def closed(points: Column) -> Column:
@@ -61,41 +62,122 @@ def skip_reason(ring: Column) -> Column:
     """Why a ring can't be moved, before anything is computed."""
     no_length = F.exists(ring, lambda s: (s["x1"] == s["x2"]) & (s["y1"] == s["y2"]))
     open_ = F.exists(F.sequence(F.lit(0), F.size(ring) - 1), lambda i: (F.get(ring, i)["x2"] != F.get(ring, (i + 1) % F.size(ring))["x1"]) | (F.get(ring, i)["y2"] != F.get(ring, (i + 1) % F.size(ring))["y1"]))
-    return F.when(F.size(ring) < 3, "invalid_input_polygon").when(open_, "edge_matching_failed").when(no_length, "geometry_offset_failed").when(~F.exists(ring, lambda s: s["movable"]), "no_movable_edges")
+    return F.when(F.size(ring) < 3, "invalid_input_polygon").when(open_, "edge_matching_failed").when(no_length, "geometry_offset_failed")
+
+
+def chains(ring: Column) -> Column:
+    """array of struct(first, n): the runs of movable segments around a ring; none where all or none are movable."""
+    n = F.size(ring)
+    moves = lambda i: F.get(ring, i % n)["movable"]
+    starts = F.filter(F.sequence(F.lit(0), n - 1), lambda i: moves(i) & ~moves(i + n - 1))
+    return F.transform(starts, lambda i: F.struct(i.alias("first"), F.array_min(F.filter(F.sequence(F.lit(1), n), lambda k: ~moves(i + k))).alias("n")))
+
+
+def patches(ring: Column, corners: Column, d: float) -> Column:
+    """array of struct(geom, x, y): for each chain the area between it and its new place, and a sample point halfway out from its first segment. corners: offset_corners of the ring."""
+    n = F.size(ring)
+    at = lambda i: F.get(ring, i % n)
+
+    def patch(c: Column) -> Column:
+        places = F.sequence(c["first"], c["first"] + c["n"])
+        old = F.transform(places, lambda i: F.struct(at(i)["x1"].alias("x"), at(i)["y1"].alias("y")))
+        new = F.flatten(F.transform(places, lambda i: F.get(corners, i % n)))
+        s = at(c["first"])
+        length = F.sqrt((s["x2"] - s["x1"]) ** 2 + (s["y2"] - s["y1"]) ** 2)
+        x, y = (s["x1"] + s["x2"]) / 2 + (s["y2"] - s["y1"]) / length * (d / 2), (s["y1"] + s["y2"]) / 2 - (s["x2"] - s["x1"]) / length * (d / 2)
+        return F.struct(st("make_valid", st("polygon_of", closed(F.concat(old, F.reverse(new))))).alias("geom"), x.alias("x"), y.alias("y"))
+
+    return F.transform(chains(ring), patch)
 
 
-def offset_polygons(rings: DataFrame, d: float, strategy: str = "linework") -> DataFrame:
-    """rings with geom and skip_reason; rings: any columns and `ring`, counter-clockwise. Distance 0 is the polygon itself.
+def patched(old: Column, all_patches: Column) -> Column:
+    """old with each patch joined, or cut away where its sample point lies on old, one behind the other."""
 
-    linework: the ring is rebuilt from its support lines. boolean_patch: the old polygon and the patches between
-    moved chains and their new places are joined (moved outwards) or cut away (inwards), which keeps what lies
-    between; a ring that is movable as a whole has no chain ends and is rebuilt.
+    def apply(g: Column, p: Column) -> Column:
+        inside = st("covers", old, st("point_of", p["x"], p["y"]))
+        return F.when(st("area", p["geom"]) <= 1e-9, g).when(inside, st("difference", g, p["geom"])).otherwise(st("union_all", F.array(g, p["geom"])))
+
+    return F.aggregate(all_patches, old, apply)
+
+
+def ring_polygon(ring: Column) -> Column:
+    return st("polygon_of", closed(F.transform(ring, lambda s: F.struct(s["x1"].alias("x"), s["y1"].alias("y")))))
+
+
+def _less(shell: Column, holes: Column) -> Column:
+    return F.when(F.size(holes) == 0, shell).otherwise(st("difference", shell, st("union_all", holes)))
+
+
+def offset_polygons(rings: DataFrame, d: float, strategy: str = "boolean_patch") -> DataFrame:
+    """rings with geom and skip_reason. rings: any columns and `ring`, the shell, counter-clockwise; or `rings`, the shell and holes, each counter-clockwise.
+
+    Movable edges move away from what their own ring encloses, so holes grow. Distance 0 is the polygon itself.
+
+    boolean_patch: the areas between moved chains and their new places are joined to the old polygon, or cut away, as a
+    sample point of each tells; all else stays as it is. A ring that is movable as a whole has no chain ends and fails.
+    linework: rings are rebuilt from their support lines.
+
+    Reasons: invalid_input_polygon, edge_matching_failed (a ring isn't closed), no_movable_edges, geometry_offset_failed
+    (the result isn't one valid polygon), value_error (no distance).
     """
     if strategy not in ("linework", "boolean_patch"):
         raise ValueError("unknown strategy")
-    out = rings.withColumn("reason", skip_reason(F.col("ring")))
-    ok = F.col("reason").isNull() if d else F.lit(True)
-    old = st("polygon_of", closed(F.transform("ring", lambda s: F.struct(s["x1"].alias("x"), s["y1"].alias("y")))))
+    own = rings.columns
+    out = rings.withColumn("__all", F.col("rings") if "rings" in own else F.array("ring"))
+    first = lambda reasons: F.get(F.filter(reasons, lambda r: r.isNotNull()), F.lit(0))
+    movable = F.exists("__all", lambda r: F.exists(r, lambda s: s["movable"]))
+    out = once(out, __reason=F.coalesce(F.when(F.lit(d != d), "value_error"), first(F.transform("__all", skip_reason)), F.when(~movable, "no_movable_edges")))
+    ok = F.col("__reason").isNull() if d else ~F.coalesce(F.col("__reason") == "invalid_input_polygon", F.lit(False))
+    old = F.transform("__all", ring_polygon)
+    out = once(out, __old=F.when(ok, _less(F.get(old, F.lit(0)), F.slice(old, 2, F.size(old)))))
     if not d:
-        return out.withColumn("geom", old).withColumn("skip_reason", F.lit(None).cast("string")).drop("reason")
-    out = _once(out, "v", F.when(ok, offset_ring(F.col("ring"), d)))
-    new = st("polygon_of", closed(F.col("v.value")))
-    if strategy == "boolean_patch":
-        quad = lambda s: st("polygon_of", F.array(s["x1"], s["y1"], s["x2"], s["y2"], *(_far(s, d)), s["x1"], s["y1"]))
-        quads = F.transform(F.filter("ring", lambda s: s["movable"]), quad)
-        whole = F.forall("ring", lambda s: s["movable"])
-        joined = st("union_all", F.concat(F.array(old, new), quads)) if d > 0 else st("intersection", old, new)
-        new = F.when(whole, new).otherwise(joined)
-    out = _once(out, "r", F.when(ok, new))
-    g = F.col("r.value")
+        return out.withColumn("geom", F.col("__old")).withColumn("skip_reason", F.lit(None).cast("string")).select(*own, "geom", "skip_reason")
+    moved = once(out, __corners=F.when(ok, F.transform("__all", lambda r: offset_corners(r, d))))
+    if strategy == "linework":
+        new = F.transform("__corners", lambda c: st("polygon_of", closed(F.flatten(c))))
+        moved = once(moved, __new=_less(F.get(new, F.lit(0)), F.slice(new, 2, F.size(new))))
+    else:
+        moved = once(moved, __patches=F.flatten(F.zip_with("__all", "__corners", lambda r, c: patches(r, c, d))))
+        whole = F.exists("__all", lambda r: F.forall(r, lambda s: s["movable"]))
+        moved = once(moved, __new=F.when(ok & ~whole, patched(F.col("__old"), F.col("__patches"))))
+    g = F.col("__new")
     good = g.isNotNull() & st("is_valid", g) & (st("num_parts", g) == 1) & (st("area", g) > 1e-9)
-    out = _once(out, "s", F.coalesce("reason", F.when(~good, "geometry_offset_failed")))
-    return out.withColumn("skip_reason", F.col("s.value")).withColumn("geom", F.when(F.col("skip_reason").isNull(), g)).drop("reason", "v", "r", "s")
+    moved = once(moved, skip_reason=F.coalesce("__reason", F.when(~F.coalesce(good, F.lit(False)), "geometry_offset_failed")))
+    return moved.withColumn("geom", F.when(F.col("skip_reason").isNull(), st("one_polygon", g))).select(*own, "geom", "skip_reason")
+
 
+def offset_edges(polygons: DataFrame, offsets: DataFrame, key: str = "key") -> DataFrame:
+    """key, geom, error: the strict offset of single edges of a shell. polygons: key, ring (counter-clockwise); offsets: key, edge, distance.
 
-def _far(s: Column, d: float) -> list[Column]:
-    m = planar.offset(s["x1"], s["y1"], s["x2"], s["y2"], d)
-    return [m["x2"], m["y2"], m["x1"], m["y1"]]
+    Errors: an edge index outside the shell, two offsets of one edge, an edge without length, neighbours that are
+    parallel, a result that isn't valid. A polygon without offsets stays as it is.
+    """
+    given = offsets.groupBy(key).agg(F.collect_list(F.struct("edge", "distance")).alias("__given"))
+    p = polygons.select(key, "ring").join(given, key, "left").withColumn("__given", F.coalesce("__given", F.array().cast("array<struct<edge: int, distance: double>>")))
+    n = F.size("ring")
+    edges = F.transform("__given", lambda o: o["edge"])
+    no_length = F.exists("ring", lambda s: (s["x1"] == s["x2"]) & (s["y1"] == s["y2"]))
+    error = (
+        F.when(n < 3, "the shell has fewer than three edges")
+        .when(F.exists(edges, lambda e: (e < 0) | (e >= n)), "an edge index is outside the shell")
+        .when(F.size(F.array_distinct(edges)) < F.size(edges), "an edge has two offsets")
+        .when((F.size(edges) > 0) & no_length, "an edge has no length")
+    )
+    p = once(p, __error=error)
+    by = lambda i: F.coalesce(F.get(F.filter("__given", lambda o: o["edge"] == i), F.lit(0))["distance"], F.lit(0.0))
+
+    def line(s: Column, i: Column) -> Column:
+        return bind(F.struct(s.alias("s"), by(i).alias("d"), F.sqrt((s["x2"] - s["x1"]) ** 2 + (s["y2"] - s["y1"]) ** 2).alias("n")), lambda v: F.struct(
+            (v["s"]["x1"] + (v["s"]["y2"] - v["s"]["y1"]) / v["n"] * v["d"]).alias("px"), (v["s"]["y1"] - (v["s"]["x2"] - v["s"]["x1"]) / v["n"] * v["d"]).alias("py"),
+            ((v["s"]["x2"] - v["s"]["x1"]) / v["n"]).alias("ux"), ((v["s"]["y2"] - v["s"]["y1"]) / v["n"]).alias("uy")))
+
+    p = once(p, __lines=F.when(F.col("__error").isNull() & (F.size(edges) > 0), F.transform("ring", line)))
+    pairs = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct(F.get("__lines", (i + n - 1) % n).alias("a"), F.get("__lines", i).alias("b")))
+    p = once(p, __points=F.when(F.col("__lines").isNotNull(), F.transform(pairs, lambda c: planar.meet(*[c["a"][k] for k in ("px", "py", "ux", "uy")], *[c["b"][k] for k in ("px", "py", "ux", "uy")]))))
+    parallel = F.exists("__points", lambda q: q.isNull())
+    p = once(p, __geom=F.when(F.col("__points").isNull(), ring_polygon(F.col("ring"))).when(~parallel, st("polygon_of", closed(F.col("__points")))))
+    wrong = F.coalesce("__error", F.when(parallel, "neighbouring edges are parallel"), F.when(~st("is_valid", "__geom"), "the result is not valid"))
+    return once(p, error=wrong).select(key, F.when(F.col("error").isNull(), F.col("__geom")).alias("geom"), "error")
 
 
 def classified_ring(ring: DataFrame, movable: DataFrame, fixed: DataFrame, tolerance: float = 1e-3) -> DataFrame:

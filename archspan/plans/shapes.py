@@ -166,7 +166,7 @@ _OFFSET = oracle("SELECT pid, CASE WHEN pid % 3 = 0 THEN NULL ELSE (w + 1) * (h
 def d12_offset_linework(spark, d):
     """Right and top sides move out by one."""
     register(spark)
-    return offset.offset_polygons(_rings(spark, d), 1.0).select("pid", F.round(st("area", "geom"), 6).alias("area"), "skip_reason")
+    return offset.offset_polygons(_rings(spark, d), 1.0, "linework").select("pid", F.round(st("area", "geom"), 6).alias("area"), "skip_reason")
 
 
 @query(_OFFSET)
@@ -175,11 +175,80 @@ def d11_offset_patches(spark, d):
     return offset.offset_polygons(_rings(spark, d), 1.0, "boolean_patch").select("pid", F.round(st("area", "geom"), 6).alias("area"), "skip_reason")
 
 
-@query(oracle("SELECT CASE WHEN pid % 3 = 0 THEN 'no_movable_edges' ELSE 'offset' END AS outcome, count(*) AS n FROM footprint GROUP BY 1"))
+def _ring(points, movable):
+    """Segments around points, counter-clockwise; movable: a column for each segment."""
+    return F.array(*[F.struct(p[0].alias("x1"), p[1].alias("y1"), q[0].alias("x2"), q[1].alias("y2"), m.alias("movable")) for p, q, m in zip(points, points[1:] + points[:1], movable, strict=True)])
+
+
+def _holed(spark, d):
+    """Rectangles with a square hole: the left and right sides are two chains, and the hole's right side moves in every other one."""
+    f = table(spark, d, "footprint")
+    x, y, w, h = F.col("x0"), F.col("y0"), F.col("w"), F.col("h")
+    yes, no, odd = F.lit(True), F.lit(False), F.col("pid") % 2 == 1
+    shell = _ring([(x, y), (x + w, y), (x + w, y + h), (x, y + h)], [no, yes, no, yes])
+    hole = _ring([(x + 2, y + 2), (x + 4, y + 2), (x + 4, y + 4), (x + 2, y + 4)], [no, odd, no, no])
+    return f.select("pid", F.array(shell, hole).alias("rings"))
+
+
+_HOLED = oracle("SELECT pid, (w + 1) * h - 2 * (2 + 0.5e0 * (pid % 2)) AS area, true AS valid FROM footprint")
+
+
+@query(_HOLED)
+def d11_holes_and_chains(spark, d):
+    register(spark)
+    return offset.offset_polygons(_holed(spark, d), 0.5).select("pid", F.round(st("area", "geom"), 6).alias("area"), st("is_valid", "geom").alias("valid"))
+
+
+@query(_HOLED)
+def d12_holes_by_linework(spark, d):
+    register(spark)
+    return offset.offset_polygons(_holed(spark, d), 0.5, "linework").select("pid", F.round(st("area", "geom"), 6).alias("area"), st("is_valid", "geom").alias("valid"))
+
+
+@query(oracle("SELECT pid, (w - 0.5e0) * h + 3 * 2 AS area FROM footprint"))
+def d11_chains_of_a_concave_ring(spark, d):
+    """A step is cut into the top; its floor moves up by three, and beside it the right side moves in: two runs with different distances, one behind the other."""
+    register(spark)
+    f = table(spark, d, "footprint")
+    x, y, w, h = F.col("x0"), F.col("y0"), F.col("w"), F.col("h")
+    yes, no = F.lit(True), F.lit(False)
+    points = [(x, y), (x + w, y), (x + w, y + h), (x + 5, y + h), (x + 5, y + h - 4), (x + 3, y + h - 4), (x + 3, y + h), (x, y + h)]
+    up = offset.offset_polygons(f.select("pid", "x0", "y0", "w", "h", _ring(points, [no, no, no, no, yes, no, no, no]).alias("ring")), 3.0)
+    area_up = up.select("pid", st("area", "geom").alias("up"))
+    back = offset.offset_polygons(f.select("pid", _ring(points, [no, yes, no, no, no, no, no, no]).alias("ring")), -0.5)
+    both = area_up.join(back.select("pid", st("area", "geom").alias("back")), "pid").join(f.select("pid", "w", "h"), "pid")
+    return both.select("pid", F.round(F.col("up") + F.col("back") - (F.col("w") * F.col("h") - 8) + 8, 6).alias("area"))
+
+
+@query(oracle("""SELECT CASE pid % 6 WHEN 0 THEN 'no_movable_edges' WHEN 1 THEN 'offset' WHEN 2 THEN 'edge_matching_failed' WHEN 3 THEN 'geometry_offset_failed' WHEN 4 THEN 'invalid_input_polygon'
+ELSE 'geometry_offset_failed' END AS outcome, count(*) AS n FROM footprint GROUP BY 1"""))
 def d14_skip_reasons(spark, d):
+    """Rings that can't be moved: nothing movable, a gap, an edge without length, two edges, and all edges movable."""
+    register(spark)
+    x, y, w, h, k = F.col("x0"), F.col("y0"), F.col("w"), F.col("h"), F.col("pid") % 6
+    pts = [(x, y), (x + w, y), (x + w, y + h), (x, y + h)]
+    some = _ring(pts, [F.lit(False), k != 0, F.lit(False), F.lit(False)])
+    gap = F.transform(some, lambda s, i: F.when(i == 2, s.withField("x2", s["x2"] + 1)).otherwise(s))
+    point = _ring([*pts, pts[3]], [F.lit(True), *[F.lit(False)] * 4])
+    every = F.transform(some, lambda s: s.withField("movable", F.lit(True)))
+    ring = F.when(k == 2, gap).when(k == 3, point).when(k == 4, F.slice(some, 1, 2)).when(k == 5, every).otherwise(some)
+    out = offset.offset_polygons(table(spark, d, "footprint").select("pid", ring.alias("ring")), 0.5)
+    return out.select(F.coalesce("skip_reason", F.lit("offset")).alias("outcome")).groupBy("outcome").agg(F.count("*").alias("n"))
+
+
+@query(oracle("""SELECT pid, CASE pid % 6 WHEN 0 THEN w * h WHEN 1 THEN (w + 2) * h WHEN 2 THEN w * (h + 1.5e0) END AS area,
+CASE pid % 6 WHEN 3 THEN 'an edge has two offsets' WHEN 4 THEN 'an edge index is outside the shell' WHEN 5 THEN 'neighbouring edges are parallel' END AS error FROM footprint"""))
+def m5_strict_edge_offsets(spark, d):
     register(spark)
-    out = offset.offset_polygons(_rings(spark, d), 0.5).select(F.coalesce("skip_reason", F.lit("offset")).alias("outcome"))
-    return out.groupBy("outcome").agg(F.count("*").alias("n"))
+    f = table(spark, d, "footprint")
+    x, y, w, h, k = F.col("x0"), F.col("y0"), F.col("w"), F.col("h"), F.col("pid") % 6
+    no = F.lit(False)
+    pts = [(x, y), (x + w, y), (x + w, y + h), (x, y + h)]
+    ring = F.when(k == 5, _ring([*pts[:1], (x + 1, y), *pts[1:]], [no] * 5)).otherwise(_ring(pts, [no] * 4))
+    given = lambda *pairs: F.array(*[F.struct(F.lit(e).alias("edge"), F.lit(v).alias("distance")) for e, v in pairs])
+    asked = F.when(k == 1, given((1, 2.0))).when(k == 2, given((0, 0.5), (2, 1.0))).when(k == 3, given((1, 1.0), (1, 2.0))).when(k == 4, given((9, 1.0))).when(k == 5, given((2, 1.0)))
+    out = offset.offset_edges(f.select("pid", ring.alias("ring")), f.select("pid", F.inline(asked)), "pid")
+    return out.select("pid", F.round(st("area", "geom"), 6).alias("area"), "error")
 
 
 @query(oracle("SELECT pid, w * h AS area FROM footprint"))

@@ -88,6 +88,24 @@ def test_moved_edges_lie_on_the_new_boundary(spark):
     assert r[0] and max(r["d"]) < 1e-6
 
 
+def test_broken_geometry_costs_its_row_alone(spark):
+    register(spark)
+    square, bow = "POLYGON((0 0,2 0,2 2,0 2,0 0))", "POLYGON((0 0,2 2,2 0,0 2,0 0))"
+    rows = spark.createDataFrame([(1, square, square), (2, bow, square), (3, None, square)], "k int, a string, b string")
+    g = rows.select("k", st("from_text", "a").alias("a"), st("from_text", "b").alias("b"))
+    cut = g.where("k = 1").select(F.lit(4).alias("k"), F.expr("substring(a, 1, 20)").alias("a"), "b").unionByName(g.where("k = 1").select(F.lit(5).alias("k"), F.lit(b"").alias("a"), "b"))
+    every = g.unionByName(cut)
+    told = every.select("k", st("readable", "a").alias("ok"), st("is_empty", st("difference", "a", "b")).alias("gone"), st("area", "a").alias("area"), (st("snap", "a", "b", 0.1) == F.col("a")).alias("same"),
+                        F.size(st("detect_step", "a", "b", 0.01)).alias("parts"), st("is_valid", "a").alias("valid"), st("length", st("line_difference", "a", "b", 0.001)).alias("off")).collect()
+    by = {r["k"]: r for r in told}
+    assert [by[k]["ok"] for k in range(1, 6)] == [True, True, None, False, False]
+    assert by[1]["gone"] and by[4]["gone"] and by[5]["gone"] and by[3]["gone"] is None
+    assert by[1]["area"] == 4 and by[4]["area"] is None and by[4]["same"] and by[4]["parts"] == 0 and by[2]["valid"] is False and by[4]["off"] == 0
+    joined = every.select(F.col("k").cast("string").alias("identificatie"), F.col("a").alias("registry"), F.col("b").alias("topo"))
+    assert detect.differences(joined).count() <= 2 and detect.snapped_differences(joined.where("registry IS NOT NULL")).count() <= 1
+    assert every.where(~st("readable", "a")).count() == 2  # such rows can be counted
+
+
 def test_points_in_concave_ring(spark):
     pts = [(0, 0), (8, 0), (8, 4), (4, 2), (0, 4)]
     rng = np.random.default_rng(1)
