@@ -2,10 +2,12 @@
 
 Each round points the larger neighbours of a node to the smallest one around it
 (large star), then the smaller ones (small star), until the edges are stars
-around components' least nodes. Minima are combined before they are shuffled. The
-edges of a node with more than its share of all edges are dealt in parts, in
-which minima are taken first, so that a hub is many tasks' work. Each round ends
-in a table in the shared folder; the table before it is removed.
+around components' least nodes. Minima are combined before they are shuffled.
+Up to FEW edges, the nodes' minima are broadcast to the edges (of that size
+alone); beyond, both are shuffled, and the edges of a node with more than its
+share of all edges are dealt in parts, in which minima are taken first, so that
+a hub is many tasks' work. Each round ends in a table in the shared folder; the
+table before it is removed.
 """
 
 from __future__ import annotations
@@ -16,6 +18,7 @@ from pyspark.sql import functions as F
 from . import common
 
 ROUNDS = 60
+FEW = 250_000  # edges, so at most twice as many minima: 8 MB
 LEAST_HUB = 256  # edges from which a node may be a hub
 MOST_HUBS = 100_000  # a node is a hub beyond this share of all edges, so there are at most twice as many: a small broadcast
 
@@ -25,15 +28,23 @@ def _state(edges: DataFrame) -> tuple:
     return row["n"], row["x"], row["s"]
 
 
-def _star(pairs: DataFrame, large: bool, n: int) -> DataFrame:
-    """pairs (u, v), both ways for the large star, v < u for the small star; n: how many edges there are."""
+def _near(pairs: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
+    """(u, m), the least around each node or itself; and pairs with the m of their u. n: how many edges there are."""
+    if n <= FEW:
+        least = pairs.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        return least, pairs.join(F.broadcast(least), "u")
     part = max(LEAST_HUB, n // MOST_HUBS)
     hubs = pairs.groupBy("u").agg(F.count("*").alias("d")).where(F.col("d") > part).select(F.col("u").alias("hub"), F.ceil(F.col("d") / part).cast("int").alias("parts"))
     dealt = pairs.join(F.broadcast(hubs), F.col("u") == F.col("hub"), "left")
     dealt = dealt.select("u", "v", F.when(F.col("parts").isNull(), 0).otherwise(F.pmod(F.xxhash64("v"), F.col("parts"))).cast("int").alias("part"))
     by_part = dealt.groupBy("u", "part").agg(F.min("v").alias("m"))
     least = by_part.groupBy("u").agg(F.min("m").alias("m")).select("u", F.least("u", "m").alias("m"))
-    near = dealt.join(by_part.select("u", "part").join(least, "u"), ["u", "part"])
+    return least, dealt.join(by_part.select("u", "part").join(least, "u"), ["u", "part"])
+
+
+def _star(pairs: DataFrame, large: bool, n: int) -> DataFrame:
+    """pairs (u, v), both ways for the large star, v < u for the small star."""
+    least, near = _near(pairs, n)
     if large:
         return near.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct()
     there = near.where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -51,9 +62,11 @@ def connected_components(edges: DataFrame) -> DataFrame:
             break
         before = state
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = common.durable(_star(both, True, state[0]), "large")
+        large = _star(both, True, state[0])
+        if state[0] > FEW:
+            large = common.durable(large, "large")
         old, now = now, common.durable(_star(large, False, state[0]), "edges")
-        common.forget(old, large)
+        common.forget(old, *([large] if state[0] > FEW else []))
     else:
         raise RuntimeError("components did not settle")
     centres = now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()

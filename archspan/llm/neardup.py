@@ -45,6 +45,8 @@ PERCENT = 80
 ROWS = 4  # registers of a band
 SMALL = 64
 BLOCK = 512
+HOT_BUCKET = 256  # classes from which a bucket may be hot
+HOT_BUCKETS = 100_000  # and its share of all bands, so that there are no more than these: a small broadcast
 DEVIATIONS = 5  # of the estimate, below the threshold, up to which pairs are confirmed
 PAIRS_AT_ONCE = 40_000
 EXACT_BLOCK = 256  # sets whose intersections are taken at once
@@ -170,6 +172,17 @@ def forest(a: np.ndarray, b: np.ndarray, weight: np.ndarray) -> np.ndarray:
     return np.array(out, np.int64)
 
 
+def dealt_in_blocks(bands: DataFrame) -> DataFrame:
+    """key, size, node, block of the bands of buckets with several classes. Rows of hot buckets, of which there are few, stay where they are; the others are shuffled by key."""
+    hot = max(HOT_BUCKET, bands.count() // HOT_BUCKETS)
+    buckets = common.durable(bands.groupBy("key").agg(F.count("*").alias("size"), F.min("node").alias("least")).where("size > 1"), "sizes")
+    large, others = F.broadcast(buckets.where(F.col("size") > hot)), buckets.where(F.col("size") <= hot)
+    met = bands.join(large, "key", "left_anti").join(others, "key").unionByName(bands.join(large, "key"))
+    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    own = F.when(F.col("node") == F.col("least"), F.sequence(F.lit(0), blocks - 1)).otherwise(F.array(F.pmod(F.xxhash64("node"), blocks).cast("int")))
+    return met.select("key", "size", "node", F.explode(own).alias("block"))
+
+
 def told(c: dict[str, np.ndarray], a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
     x, y = c["node"][a], c["node"][b]
     return pa.record_batch({"a": pa.array(np.minimum(x, y), pa.int64()), "b": pa.array(np.maximum(x, y), pa.int64())})
@@ -352,11 +365,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     classes = common.durable(one.join(by_set.select("f1", "f2", "node"), ["f1", "f2", "node"]).dropDuplicates(["f1", "f2", "node"]).drop("f1", "f2"), "nodes")
 
     bands = common.durable(band_keys(classes), "bands")
-    buckets = bands.groupBy("key").agg(F.count("*").alias("size"), F.min("node").alias("least")).where("size > 1")
-    dealt = bands.join(buckets, "key")
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    own = F.when(F.col("node") == F.col("least"), F.sequence(F.lit(0), blocks - 1)).otherwise(F.array(F.pmod(F.xxhash64("node"), blocks).cast("int")))
-    dealt = common.durable(dealt.select("key", "size", "node", F.explode(own).alias("block")), "buckets")
+    dealt = common.durable(dealt_in_blocks(bands), "buckets")
     pairs = common.durable(candidates(dealt.join(classes, "node"), percent), "pairs")
 
     links = common.durable(confirm(pairs, texts_of(pairs, docs), words, percent), "links")

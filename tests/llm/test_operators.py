@@ -63,6 +63,7 @@ def near_copies(n, seed=1):
 def test_near_duplicates_against_brute_force(spark, monkeypatch, small):
     monkeypatch.setattr(neardup, "SMALL", small)
     monkeypatch.setattr(neardup, "BLOCK", 4 * small)
+    monkeypatch.setattr(neardup, "HOT_BUCKET", 20)
     monkeypatch.setattr(neardup, "EXACT_BLOCK", 16)
     monkeypatch.setattr(neardup, "SHINGLES", 2000)
     texts = near_copies(90) + ["", None, "one two", "One  two", "one two three"]
@@ -118,7 +119,10 @@ def test_near_duplicate_cases(spark, cases, empty):
     assert {(r["doc_id"], r["component_id"]) for r in neardup.near_duplicates(twice).collect()} == {(1, 0), (2, 0), (0, 0), (3, 3)}
 
 
-def test_connected_components(spark):
+@pytest.mark.parametrize("few", [10**6, 0])  # minima broadcast, or hubs dealt in parts
+def test_connected_components(spark, monkeypatch, few):
+    monkeypatch.setattr(components, "FEW", few)
+    monkeypatch.setattr(components, "LEAST_HUB", 8)
     rng = np.random.default_rng(5)
     edges = [(i, i + 1) for i in range(100, 160)] + [(0, i) for i in range(1, 50)] + [tuple(map(int, e)) for e in rng.integers(200, 260, (30, 2))] + [(5, 5), (None, 3)]
     got = {r["node"]: r["component"] for r in components.connected_components(spark.createDataFrame(edges, "u long, v long")).collect()}
