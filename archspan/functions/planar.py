@@ -120,3 +120,35 @@ def dequantised(vertices: Column, scale: Column, translate: Column) -> Column:
 def octree_depth(budget: Column, n: Column) -> Column:
     """The deepest level whose expected points stay within a budget; a level holds four times its parent's."""
     return F.greatest(F.lit(0), F.floor(F.log(F.lit(4.0), F.greatest(F.lit(1.0), budget / n)))).cast("int")
+
+
+def inside_by_angle(x: Column, y: Column, edges: Column) -> Column:
+    """Whether the angles under which a point sees its ring's edges add up to a full turn."""
+    seen = lambda e: F.atan2(cross(e["x1"] - x, e["y1"] - y, e["x2"] - x, e["y2"] - y), (e["x1"] - x) * (e["x2"] - x) + (e["y1"] - y) * (e["y2"] - y))
+    return F.abs(F.aggregate(edges, F.lit(0.0), lambda a, e: a + seen(e))) > F.pi()
+
+
+def inside_by_winding(x: Column, y: Column, edges: Column) -> Column:
+    """Whether the ring winds around a point: edges that pass its height upwards on its right, less those downwards."""
+    side = lambda e: cross(e["x2"] - e["x1"], e["y2"] - e["y1"], x - e["x1"], y - e["y1"])
+    turn = lambda e: F.when((e["y1"] <= y) & (e["y2"] > y) & (side(e) > 0), 1).when((e["y1"] > y) & (e["y2"] <= y) & (side(e) < 0), -1).otherwise(0)
+    return F.aggregate(edges, F.lit(0), lambda a, e: a + turn(e)) != 0
+
+
+def inside_by_fan(x: Column, y: Column, edges: Column) -> Column:
+    """Whether an odd number of the triangles from the ring's first point to its edges hold a point."""
+    o = F.get(edges, F.lit(0))
+
+    def holds(e: Column) -> Column:
+        one, two = (cross(e[f"x{k}"] - o["x1"], e[f"y{k}"] - o["y1"], x - o["x1"], y - o["y1"]) >= 0 for k in (1, 2))  # a point on a diagonal is on the same side of it for both its triangles
+        b = cross(e["x2"] - e["x1"], e["y2"] - e["y1"], x - e["x1"], y - e["y1"])
+        return (one & ~two & (b > 0)) | (~one & two & (b < 0))
+
+    return F.aggregate(edges, F.lit(0), lambda n, e: n + holds(e).cast("int")) % 2 == 1
+
+
+def inside_by_slabs(x: Column, y: Column, edges: Column) -> Column:
+    """Whether a point lies between an odd and an even border of its slab: the borders are the edges that cross the slab, from left to right."""
+    crossing = F.filter(edges, lambda e: (F.least(e["y1"], e["y2"]) <= y) & (y < F.greatest(e["y1"], e["y2"])))
+    borders = F.array_sort(F.transform(crossing, lambda e: e["x1"] + (y - e["y1"]) / (e["y2"] - e["y1"]) * (e["x2"] - e["x1"])))
+    return F.size(F.filter(borders, lambda b: b <= x)) % 2 == 1

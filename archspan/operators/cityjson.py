@@ -92,10 +92,31 @@ def levels(features: DataFrame) -> DataFrame:
 
 
 def with_attributes(features: DataFrame, values: DataFrame, column: str = "value") -> DataFrame:
-    """Lines with attributes from values (id, name, value) added to the feature's own object; of one name's values the least wins, names that are there stay, and lines without values pass through as they are."""
+    """id, the line, and changed: the whole feature with attributes from values (id, name, value) added to its own object; of one name's values the least wins and names that are there stay.
+
+    changed is null for lines without values, which pass through as they are. Other members of a changed line keep their types.
+    """
     one = values.groupBy("id", "name").agg(F.min("value").alias("value")).groupBy("id").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("name", "value")))).alias("__new"))
     out = features.withColumn("id", F.col("feature.id")).join(one, "id", "left")
-    own = F.try_element_at(F.col("feature.CityObjects"), F.col("id"))["attributes"]
-    fresh = F.map_filter("__new", lambda k, v: own.isNull() | ~F.map_contains_key(own, k))
-    text = F.to_json(F.struct(F.col("feature.type").alias("type"), F.col("id").alias("id"), F.map_concat(F.coalesce(own, F.create_map().cast("map<string, string>")), fresh).alias("attributes")))
-    return out.withColumn("changed", F.when(F.col("__new").isNotNull(), text)).select("id", column, "changed")
+    members = lambda v: v.cast("map<string, variant>")
+    put = lambda m, k, v: F.map_concat(F.map_filter(m, lambda n, _: n != k), F.map_from_arrays(F.array(k), F.array(v)))
+    obj = lambda m: F.to_variant_object(m)
+    none = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<variant>"))
+    line = once(out, __top=F.when(F.col("__new").isNotNull(), members(F.parse_json(column))))
+    line = once(line, __objects=members(F.try_element_at("__top", F.lit("CityObjects"))))
+    line = once(line, __own=F.coalesce(members(F.try_element_at("__objects", "id")), none))
+    line = once(line, __attributes=F.coalesce(members(F.try_element_at("__own", F.lit("attributes"))), none))
+    fresh = F.transform_values(F.map_filter("__new", lambda k, v: ~F.map_contains_key("__attributes", k)), lambda k, v: v.cast("variant"))
+    own = put(F.col("__own"), F.lit("attributes"), obj(F.map_concat("__attributes", fresh)))
+    top = put(F.col("__top"), F.lit("CityObjects"), obj(put(F.col("__objects"), F.col("id"), obj(own))))
+    return line.withColumn("changed", F.when(F.col("__top").isNotNull(), F.to_json(obj(top)))).select("id", column, "changed")
+
+
+def carved_buildings(features: DataFrame, attribute: str = "add_underpass_success", area: str = "underpass_area") -> DataFrame:
+    """id, area of features with a building part whose attribute is 1 or true: the greatest area among their outer ceilings, 0 where none is told; features of one id together, largest first."""
+    f = features.where("feature IS NOT NULL").select(F.col("feature.id").alias("id"), F.map_values("feature.CityObjects").alias("o"))
+    done = F.exists("o", lambda o: (o["type"] == "BuildingPart") & F.coalesce(F.try_element_at(o["attributes"], F.lit(attribute)), F.lit("")).isin("1", "true"))
+    surfaces = F.flatten(F.flatten(F.transform(F.filter("o", lambda o: o["geometry"].isNotNull()), lambda o: F.transform(F.filter(o["geometry"], lambda g: g["semantics"]["surfaces"].isNotNull()), lambda g: g["semantics"]["surfaces"]))))
+    areas = F.transform(F.filter(surfaces, lambda s: F.try_element_at(s, F.lit("type")) == "OuterCeilingSurface"), lambda s: F.try_element_at(s, F.lit(area)).try_cast("double"))
+    out = f.where(done & F.col("id").isNotNull()).select("id", F.coalesce(F.array_max(areas), F.lit(0.0)).alias("area"))
+    return out.groupBy("id").agg(F.max("area").alias("area")).orderBy(F.desc("area"), "id")

@@ -47,3 +47,32 @@ def by_geometry(e: DataFrame) -> DataFrame:
 def attach(objects: DataFrame, values: DataFrame, key: str, column: str) -> tuple[DataFrame, DataFrame]:
     """objects with column by key, and the keys of values without an object."""
     return objects.join(values.select(key, column), key, "left"), values.join(objects, key, "left_anti").select(key)
+
+
+# Names of a report's members, and what they are called in a converted one.
+RENAMED = {
+    "type": "type",
+    "val3dity_version": "val3dityVersion",
+    "input_file": "inputFile",
+    "input_file_type": "inputFileType",
+    "time": "time",
+    "validity": "validity",
+    "features_overview": "featuresOverview",
+    "primitives_overview": "primitivesOverview",
+    "all_errors": "allErrors",
+}
+
+
+def renamed(column: Column) -> Column:
+    """JSON text of the members of a report that have a new name, under it; members that are absent stay absent, and values keep their types."""
+    m = F.parse_json(column).cast("map<string, variant>")
+    names = F.create_map(*[F.lit(x) for pair in RENAMED.items() for x in pair])
+    kept = F.map_filter(m, lambda k, v: F.map_contains_key(names, k))
+    return F.to_json(F.to_variant_object(F.transform_keys(kept, lambda k, v: F.element_at(names, k))))
+
+
+def scalar_parameters(column: Column) -> Column:
+    """JSON text of the parameters that are numbers, truth values or texts; {} where there is no object of parameters."""
+    p = F.try_variant_get(F.try_parse_json(column), "$.parameters", "map<string, variant>")
+    kept = F.map_filter(p, lambda k, v: F.schema_of_variant(v).rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT|BOOLEAN|STRING)"))
+    return F.coalesce(F.to_json(F.to_variant_object(kept)), F.lit("{}"))

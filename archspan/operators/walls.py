@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import planar
+from ..functions.geometry import boxes_meet, st
 
 
 def extruded(edges: DataFrame, z: DataFrame, key: str) -> DataFrame:
@@ -50,3 +51,61 @@ def trimmed_mean(values: Column, share: float = 0.15) -> Column:
     k = F.floor(F.size(s) * share).cast("int")
     kept = F.slice(s, k + 1, F.size(s) - 2 * k)
     return F.aggregate(kept, F.lit(0.0), lambda a, x: a + x) / F.size(kept)
+
+
+def critical_edges(underpasses: DataFrame, buildings: DataFrame, tolerance: float, simplify: float, least: float, size: float = 100.0) -> DataFrame:
+    """edge_id, underpass_id, building_id, x1, y1, x2, y2: edges of underpasses that meet a building at all, which lie within tolerance of their own building's boundary.
+
+    underpasses: underpass_id, building_id, geom; buildings: building_id, geom. Outer rings are simplified first and edges
+    shorter than least left out; ids run by underpass and place. An underpass counts once however many buildings it meets.
+    """
+    from .sequences import numbered
+    from .spatial import spatial_join
+
+    left = underpasses.select("underpass_id", "building_id", F.col("geom").alias("l_geom"), st("bounds", "geom").alias("l_bounds"))
+    right = buildings.select(F.col("geom").alias("r_geom"), st("bounds", "geom").alias("r_bounds"))
+    meets = spatial_join(left, right, size, lambda _: st("intersects", "l_geom", "r_geom")).select("underpass_id").distinct()
+    own = buildings.select("building_id", st("buffer", st("boundary", "geom"), tolerance).alias("near"))
+    rings = left.join(meets, "underpass_id", "left_semi").join(own, "building_id").select("underpass_id", "building_id", "near", st("coordinates", st("exterior_ring", st("simplify", "l_geom", simplify))).alias("c"))
+    places = F.sequence(F.lit(0), F.floor(F.size("c") / 2).cast("int") - 2)
+    e = rings.select("underpass_id", "building_id", "near", "c", F.explode(places).alias("seq"))
+    e = e.select("underpass_id", "building_id", "near", "seq", *[F.get("c", 2 * F.col("seq") + k).alias(n) for k, n in enumerate(("x1", "y1", "x2", "y2"))])
+    e = e.where(F.sqrt((F.col("x2") - F.col("x1")) ** 2 + (F.col("y2") - F.col("y1")) ** 2) >= least)
+    line = st("line_of", F.array("x1", "y1", "x2", "y2"))
+    kept = e.where(st("intersects", line, "near")).drop("near")
+    return numbered(kept, ["underpass_id", "seq"], "edge_id").select("edge_id", "underpass_id", "building_id", "x1", "y1", "x2", "y2")
+
+
+def critical_walls(edges: DataFrame, faces: DataFrame, tolerance: float, extend: float, size: float = 100.0) -> DataFrame:
+    """edge_id, underpass_id, building_id, x1, y1, x2, y2, z0, z1, area: an upright wall on each edge, as high as the faces of its own building within tolerance of it.
+
+    faces: building_id, geom (from above), z0, z1. Walls are made longer by extend at either end. Of two walls of which one
+    lies along the other, the larger stays, or the one of the greater id.
+    """
+    from .relational import larger_containers
+
+    f = faces.select("building_id", F.col("geom").alias("face"), st("bounds", "geom").alias("box"), F.col("z0").alias("f0"), F.col("z1").alias("f1"))
+    near = st("buffer", st("line_of", F.array("x1", "y1", "x2", "y2")), tolerance)
+    met = edges.withColumn("near", near).join(f, "building_id").where(boxes_meet(st("bounds", "near"), F.col("box")) & st("intersects", "near", "face"))
+    w = met.groupBy("edge_id", "underpass_id", "building_id", "x1", "y1", "x2", "y2").agg(F.min("f0").alias("z0"), F.max("f1").alias("z1"))
+    n = F.sqrt((F.col("x2") - F.col("x1")) ** 2 + (F.col("y2") - F.col("y1")) ** 2)
+    w = w.withColumn("n", n).where("n > 0").withColumn("ux", (F.col("x2") - F.col("x1")) / F.col("n") * extend).withColumn("uy", (F.col("y2") - F.col("y1")) / F.col("n") * extend)
+    ends = {"x1": F.col("x1") - F.col("ux"), "y1": F.col("y1") - F.col("uy"), "x2": F.col("x2") + F.col("ux"), "y2": F.col("y2") + F.col("uy")}
+    w = w.withColumns({**ends, "area": (F.col("n") + 2 * extend) * (F.col("z1") - F.col("z0"))}).drop("n", "ux", "uy")
+    line = st("line_of", F.array("x1", "y1", "x2", "y2"))
+    own = w.withColumn("bounds", F.array(F.least("x1", "x2"), F.least("y1", "y2"), F.greatest("x1", "x2"), F.greatest("y1", "y2"))).withColumn("line", line).withColumn("every", F.lit(1))
+    along = lambda a, b: st("covers", st("buffer", a, 1e-6), b)
+    larger = (F.col("o_area") > F.col("i_area")) | ((F.col("o_area") == F.col("i_area")) & (F.col("o_edge_id") > F.col("i_edge_id")))
+    inside = larger & (along(F.col("o_line"), F.col("i_line")) | along(F.col("i_line"), F.col("o_line")))
+    return larger_containers(own, "edge_id", "every", "bounds", inside, size).select(w.columns)
+
+
+def by_image(visible: DataFrame, cameras: DataFrame) -> DataFrame:
+    """image_id, wall_ids in order, and the camera's place: an image's walls together."""
+    place = cameras.select("image_id", "cx", "cy", "cz")
+    return visible.groupBy("image_id").agg(F.sort_array(F.collect_list("wall_id")).alias("wall_ids")).join(place, "image_id")
+
+
+def footprints_with_cameras(footprints: DataFrame, cameras: DataFrame) -> DataFrame:
+    """Footprints with their camera's columns, null where the image has no camera."""
+    return footprints.join(cameras, "image_id", "left")

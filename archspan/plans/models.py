@@ -72,11 +72,16 @@ def d44_solid_selection(spark, d):
     return f.select(F.col("feature.id").alias("id"), cityjson.solid(F.col("feature")).isNotNull().alias("found"))
 
 
-@query(oracle("""SELECT concat('b', pid) AS id, CASE WHEN pid % 3 = 0 THEN concat('{"type":"CityJSONFeature","id":"b', pid, '","attributes":{"identificatie":"', identificatie, '","storeys":"', pid % 4, '","underpass_z":"', pid % 9, '"}}') END AS changed FROM footprint"""))
+@query(oracle("""SELECT concat('b', pid) AS id, pid % 3 = 0 AS is_changed, CASE WHEN pid % 3 = 0 THEN CAST(pid % 4 AS VARCHAR) END AS storeys, CASE WHEN pid % 3 = 0 THEN CAST(pid % 9 AS VARCHAR) END AS underpass_z,
+CASE WHEN pid % 3 = 0 THEN 2 END AS n_objects, CASE WHEN pid % 3 = 0 THEN 8 END AS n_vertices, CASE WHEN pid % 3 = 0 AND pid % 6 <> 0 THEN w * h * 0.25e0 END AS area FROM footprint"""))
 def k14_x11_attributes_merged(spark, d):
     f = _features(spark, d)
     values = table(spark, d, "footprint").where("pid % 3 = 0").select(F.concat(F.lit("b"), "pid").alias("id"), F.explode(F.create_map(F.lit("underpass_z"), (F.col("pid") % 9).cast("string"), F.lit("storeys"), F.lit("99"))).alias("name", "value"))
-    return cityjson.with_attributes(f, values).select("id", "changed")
+    out = cityjson.parse(cityjson.with_attributes(f, values), "changed")
+    own = F.try_element_at(F.col("feature.CityObjects"), F.col("id"))["attributes"]
+    told = out.select("id", F.col("changed").isNotNull().alias("is_changed"), own["storeys"].alias("storeys"), own["underpass_z"].alias("underpass_z"), F.when(F.col("feature").isNotNull(), F.size("feature.CityObjects")).alias("n_objects"), F.when(F.col("feature").isNotNull(), F.size("feature.vertices")).alias("n_vertices"))
+    areas = cityjson.underpass_areas(cityjson.faces(out, SCALE, MOVE)).select("id", "area")
+    return told.join(areas, "id", "left")
 
 
 @query("SELECT s_suppkey, 'CityJSON' AS type, '2.0' AS version, false AS has_extensions, (s_suppkey % 4 + 1) * 0.25e0 AS scale_x FROM supplier")
