@@ -172,15 +172,18 @@ def forest(a: np.ndarray, b: np.ndarray, weight: np.ndarray) -> np.ndarray:
     return np.array(out, np.int64)
 
 
-def dealt_in_blocks(bands: DataFrame) -> DataFrame:
-    """key, size, node, block of the bands of buckets with several classes. Rows of hot buckets, of which there are few, stay where they are; the others are shuffled by key."""
-    hot = max(HOT_BUCKET, bands.count() // HOT_BUCKETS)
-    buckets = common.durable(bands.groupBy("key").agg(F.count("*").alias("size"), F.min("node").alias("least")).where("size > 1"), "sizes")
+def with_buckets(rows: DataFrame, buckets: DataFrame, hot: int) -> DataFrame:
+    """rows joined by key with buckets (key, size, ...). Rows of buckets of more than hot rows, of which there are few, stay where they are; the others are shuffled."""
     large, others = F.broadcast(buckets.where(F.col("size") > hot)), buckets.where(F.col("size") <= hot)
-    met = bands.join(large, "key", "left_anti").join(others, "key").unionByName(bands.join(large, "key"))
+    return rows.join(large, "key", "left_anti").join(others, "key").unionByName(rows.join(large, "key"))
+
+
+def dealt_in_blocks(bands: DataFrame, hot: int) -> DataFrame:
+    """key, size, node, block of the bands of buckets with several classes."""
+    buckets = common.durable(bands.groupBy("key").agg(F.count("*").alias("size"), F.min("node").alias("least")).where("size > 1"), "sizes")
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     own = F.when(F.col("node") == F.col("least"), F.sequence(F.lit(0), blocks - 1)).otherwise(F.array(F.pmod(F.xxhash64("node"), blocks).cast("int")))
-    return met.select("key", "size", "node", F.explode(own).alias("block"))
+    return with_buckets(bands, buckets, hot).select("key", "size", "node", F.explode(own).alias("block"))
 
 
 def told(c: dict[str, np.ndarray], a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
@@ -317,12 +320,13 @@ def across(dealt: DataFrame, percent: int) -> DataFrame:
     return dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(rows, "u long, v long").distinct()
 
 
-def open_families(dealt: DataFrame, found: DataFrame) -> DataFrame | None:
+def open_families(dealt: DataFrame, found: DataFrame, hot: int) -> DataFrame | None:
     """(family, node, component): classes that meet in large buckets of several components; None where there are none."""
-    large = dealt.where(F.col("size") > SMALL).select("key", "node").distinct()
+    large = dealt.where(F.col("size") > SMALL).select("key", "size", "node").distinct()
     large = large.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    mixed_keys = large.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("node").alias("least")).where("lo <> hi")
-    there = common.durable(large.join(mixed_keys.select("key", "least"), "key").select("node", "least", "component").distinct(), "open")
+    mixed_keys = large.groupBy("key", "size").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("node").alias("least")).where("lo <> hi")
+    mixed_keys = common.durable(mixed_keys.select("key", "size", "least"), "mixed")
+    there = common.durable(with_buckets(large.select("key", "node", "component"), mixed_keys, hot).select("node", "least", "component").distinct(), "open")
     if there.isEmpty():
         return None
     family = connected_components(there.select(F.col("node").alias("u"), F.col("least").alias("v"))).withColumnRenamed("component", "family")
@@ -365,7 +369,8 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     classes = common.durable(one.join(by_set.select("f1", "f2", "node"), ["f1", "f2", "node"]).dropDuplicates(["f1", "f2", "node"]).drop("f1", "f2"), "nodes")
 
     bands = common.durable(band_keys(classes), "bands")
-    dealt = common.durable(dealt_in_blocks(bands), "buckets")
+    hot = max(HOT_BUCKET, bands.count() // HOT_BUCKETS)
+    dealt = common.durable(dealt_in_blocks(bands, hot), "buckets")
     pairs = common.durable(candidates(dealt.join(classes, "node"), percent), "pairs")
 
     links = common.durable(confirm(pairs, texts_of(pairs, docs), words, percent), "links")
@@ -373,7 +378,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
         links = links.unionByName(shared)
     found = connected_components(links)
 
-    if (members := open_families(dealt, found)) is not None:
+    if (members := open_families(dealt, found, hot)) is not None:
         texts = texts_of(members.select(F.col("node").alias("a"), F.col("node").alias("b")), docs)
         left = reachable(member_sets(members, texts, words), percent)
         links = links.unionByName(common.durable(across(blocks_of(left, percent), percent), "more"))
