@@ -160,3 +160,13 @@ def rd_to_wgs84(x: Column, y: Column) -> tuple[Column, Column]:
     east = {(1, 0): 5260.52916, (1, 1): 105.94684, (1, 2): 2.45656, (3, 0): -0.81885, (1, 3): 0.05594, (3, 1): -0.05607, (0, 1): 0.01199, (3, 2): -0.00256, (1, 4): 0.00128, (0, 2): 0.00022, (2, 0): -0.00022, (5, 0): 0.00026}
     total = lambda t: sum((F.pow(p, F.lit(i)) * F.pow(q, F.lit(j)) * c for (i, j), c in t.items()), F.lit(0.0))
     return 5.38720621 + total(east) / 3600, 52.15517440 + total(north) / 3600
+
+
+def wgs84_to_rd(lon: Column, lat: Column) -> tuple[Column, Column]:
+    """Dutch grid coordinates of longitude and latitude by the published polynomial approximation."""
+    p, q = 0.36 * (lat - 52.15517440), 0.36 * (lon - 5.38720621)
+    # Coefficients by powers of p and q, in metres.
+    east = {(0, 1): 190094.945, (1, 1): -11832.228, (2, 1): -114.221, (0, 3): -32.391, (1, 0): -0.705, (3, 1): -2.34, (1, 3): -0.608, (0, 2): -0.008, (2, 3): 0.148}
+    north = {(1, 0): 309056.544, (0, 2): 3638.893, (2, 0): 73.077, (1, 2): -157.984, (3, 0): 59.788, (0, 1): 0.433, (2, 2): -6.439, (1, 1): -0.032, (0, 4): 0.092, (1, 4): -0.054}
+    total = lambda t: sum((F.pow(p, F.lit(i)) * F.pow(q, F.lit(j)) * c for (i, j), c in t.items()), F.lit(0.0))
+    return 155000 + total(east), 463000 + total(north)

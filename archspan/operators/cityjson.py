@@ -74,6 +74,12 @@ def underpass_areas(f: DataFrame) -> DataFrame:
     return f.where("kind = 'OuterCeilingSurface' AND source IS NOT NULL").groupBy("id", "source").agg(F.sum(face_area(F.col("rings"))).alias("area"))
 
 
+def last_of_source(f: DataFrame) -> DataFrame:
+    """id, source, rings of the outer ceilings: of faces that name one source the last one counts."""
+    kept = f.where("kind = 'OuterCeilingSurface' AND source IS NOT NULL")
+    return kept.groupBy("id", "source").agg(F.max_by("rings", "face").alias("rings"))
+
+
 def statistics(features: DataFrame) -> DataFrame:
     """kind, value of what the features hold: counts of features, objects, geometries and vertices, and of objects and geometries by type."""
     one = lambda kind, n=1: F.struct(F.lit(kind).alias("kind") if isinstance(kind, str) else kind.alias("kind"), F.lit(n).cast("long").alias("n") if isinstance(n, int) else n.cast("long").alias("n"))

@@ -1,4 +1,4 @@
 """Registered queries."""
 
-from . import carving, models, points, reports, sequences, shapes, stores  # noqa: F401
+from . import carving, files, models, points, reports, sequences, shapes, stores  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401

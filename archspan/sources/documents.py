@@ -41,6 +41,24 @@ def write_geojson_lines(features: DataFrame, column: str, path: str) -> None:
     features.select(F.col(column).alias("value")).write.mode("overwrite").text(path)
 
 
+def write_geojson_collections(features: DataFrame, column: str, path: str) -> None:
+    """Files that are each a whole FeatureCollection: one a partition, its features streamed."""
+
+    def rows(batches):
+        import pandas as pd
+
+        first = True
+        yield pd.DataFrame({"value": ['{"type":"FeatureCollection","features":[']})
+        for pdf in batches:
+            texts = pdf["value"].tolist()
+            if texts:
+                yield pd.DataFrame({"value": [t if first and not i else "," + t for i, t in enumerate(texts)]})
+                first = False
+        yield pd.DataFrame({"value": ["]}"]})
+
+    features.select(F.col(column).alias("value")).where("value IS NOT NULL").mapInPandas(rows, "value string").write.mode("overwrite").text(path)
+
+
 def read_cameras(spark: SparkSession, path: str) -> DataFrame:
     """Tab-separated camera rows; ids stay text."""
     return spark.read.schema(CAMERA).csv(path, sep="\t", header=False)

@@ -8,7 +8,9 @@ from __future__ import annotations
 
 import glob
 import os
+import re
 import struct
+import uuid
 from typing import NamedTuple
 
 import numpy as np
@@ -151,11 +153,26 @@ def write(path: str, x: np.ndarray, y: np.ndarray, z: np.ndarray, scale: float =
     r = np.zeros(len(x), np.dtype({"names": ["X", "Y", "Z"], "formats": ["<i4"] * 3, "offsets": [0, 4, 8], "itemsize": 20}))
     for n, a in zip("XYZ", (x, y, z), strict=True):
         r[n] = np.rint(np.asarray(a) / scale)
-    with open(f"{path}.part", "wb") as f:
+    part = f"{path}.{uuid.uuid4().hex}.part"
+    with open(part, "wb") as f:
         f.write(bytes(h) + record + r.tobytes())
-    os.replace(f"{path}.part", path)
+    os.replace(part, path)
 
 
 def write_by_key(points: DataFrame, key: str, folder: str) -> None:
     """Points as Parquet by key: the committer makes each file whole or absent."""
     points.repartition(key).withColumn("__k", F.col(key)).drop(key).withColumnRenamed("__k", key).write.mode("overwrite").partitionBy(key).parquet(folder)
+
+
+def write_files_by_key(points: DataFrame, key: str, folder: str, scale: float = 0.001) -> DataFrame:
+    """key, file, n: a LAS file for each key, in a folder that executors share. A file has its name only when complete, so a task that is run again replaces it whole."""
+    import pandas as pd
+
+    def one(pdf):
+        os.makedirs(folder, exist_ok=True)
+        k = pdf[key].iloc[0]
+        path = os.path.join(folder, re.sub(r"[^A-Za-z0-9._-]+", "_", str(k)).strip("._") + ".las")
+        write(path, *(pdf[c].to_numpy(float) for c in "xyz"), scale)
+        return pd.DataFrame({key: [k], "file": [path], "n": [len(pdf)]})
+
+    return points.select(key, "x", "y", "z").groupBy(key).applyInPandas(one, f"{key} {points.schema[key].dataType.simpleString()}, file string, n long")
