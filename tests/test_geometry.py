@@ -130,12 +130,41 @@ def test_points_in_concave_ring(spark):
 def test_spatial_join_has_each_pair_once(spark):
     rng = np.random.default_rng(2)
     lo = rng.uniform(0, 50, (60, 2))
-    box = np.concatenate([lo, lo + rng.uniform(0, 20, (60, 2))], 1)
+    box = np.concatenate([lo, lo + rng.uniform(0, 20, (60, 2)) * np.repeat([0.01, 1, 60], 20)[:, None]], 1)  # some are points nearly, some larger than all others together
     df = spark.createDataFrame([(i, b.tolist()) for i, b in enumerate(box)], "id int, b array<double>")
     out = spatial.spatial_join(df.select(F.col("id").alias("a"), F.col("b").alias("l_bounds")), df.select(F.col("id").alias("b"), F.col("b").alias("r_bounds")), 7.0)
     got = sorted((r["a"], r["b"]) for r in out.collect())
     want = sorted((i, j) for i in range(60) for j in range(60) if (box[i, :2] <= box[j, 2:]).all() and (box[j, :2] <= box[i, 2:]).all())
     assert got == want
+    semi = spatial.spatial_join(df.where("id < 20").select(F.col("id").alias("a"), F.col("b").alias("l_bounds")), df.where("id >= 40").select(F.col("id").alias("b"), F.col("b").alias("r_bounds")), 7.0, how="left_semi")
+    assert sorted(r["a"] for r in semi.collect()) == sorted({i for i, j in want if i < 20 and j >= 40})
+
+
+def test_points_in_polygons_of_very_different_sizes(spark):
+    rng = np.random.default_rng(5)
+    rings = []
+    for k, size in enumerate((0.4, 3, 30, 900)):
+        for i in range(3):
+            a = np.sort(rng.uniform(0, 2 * np.pi, 9))
+            r = size * rng.uniform(0.4, 1, 9)
+            c = rng.uniform(-20, 20, 2)
+            rings.append((3 * k + i, np.stack([c[0] + r * np.cos(a), c[1] + r * np.sin(a)], 1)))
+    edges_ = [(k, *map(float, p), *map(float, q)) for k, ring in rings for p, q in zip(ring, np.roll(ring, -1, 0))]
+    edge = spark.createDataFrame(edges_, "pid int, x1 double, y1 double, x2 double, y2 double")
+    xy = np.concatenate([rng.uniform(-30, 30, (1500, 2)), rng.uniform(-900, 900, (500, 2))])
+    points = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(xy)], "point_id int, x double, y double")
+
+    def holds(ring, x, y):
+        odd = False
+        for (x1, y1), (x2, y2) in zip(ring, np.roll(ring, -1, 0)):
+            if (y1 > y) != (y2 > y) and x < (x2 - x1) * (y - y1) / (y2 - y1) + x1:
+                odd = not odd
+        return odd
+
+    want = {(i, k) for i, (x, y) in enumerate(xy) for k, ring in rings if holds(ring, x, y)}
+    for prepared in (True, False):
+        got = spatial.points_in_polygons(points, spatial.ring_edges(edge, "pid"), 1.0, prepared).select("point_id", "pid").collect()
+        assert sorted(map(tuple, got)) == sorted(want)
 
 
 def test_largest_component():
