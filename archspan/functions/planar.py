@@ -106,10 +106,13 @@ def surface_kind(n: Column, z: Column, ground: Column) -> Column:
     return F.when(F.abs(n["z"]) < 0.3, "WallSurface").when(n["z"] > 0, "RoofSurface").when(F.abs(z - ground) <= 0.5, "GroundSurface").otherwise("OuterCeilingSurface")
 
 
+NORMAL, PLANE = 5e-4, 2e-2  # fixed values: how far two normals' dot product and two planes may be apart
+
+
 def coplanar(n: Column, d: Column, m: Column, e: Column) -> Column:
     """Whether two planes (unit normal, distance) are one, within the fixed tolerances."""
     dot = n["x"] * m["x"] + n["y"] * m["y"] + n["z"] * m["z"]
-    return (1 - dot <= 5e-4) & (F.abs(d - e) <= 2e-2)
+    return (1 - dot <= NORMAL) & (F.abs(d - e) <= PLANE)
 
 
 def dequantised(vertices: Column, scale: Column, translate: Column) -> Column:

@@ -74,6 +74,38 @@ def underpass_areas(f: DataFrame) -> DataFrame:
     return f.where("kind = 'OuterCeilingSurface' AND source IS NOT NULL").groupBy("id", "source").agg(F.sum(face_area(F.col("rings"))).alias("area"))
 
 
+def inferred_kinds(new: DataFrame, sources: DataFrame, houses: DataFrame) -> DataFrame:
+    """id, face, kind of new faces: that of the first source surface of the same plane whose area holds the face's centroid, else by normal and height.
+
+    new: id, face, points (an outer ring of struct(x, y, z)); sources: id, face, kind, rings, as faces() gives them;
+    houses: id, min_z. A model's surfaces are one row's array; faces without an area are judged by height alone.
+    """
+    from .carving import drop_axis, flattened
+
+    def unit(v: Column) -> Column:
+        return bind(planar.norm(v), lambda n: F.struct(*[F.when(n > 0, v[c] / n).otherwise(0.0).alias(c) for c in "xyz"]))
+
+    def segments(ring: Column) -> Column:
+        nth = lambda i: F.get(ring, i % F.size(ring))
+        return F.transform(F.sequence(F.lit(0), F.size(ring) - 1), lambda i: F.struct(nth(i)["x"].alias("x1"), nth(i)["y"].alias("y1"), nth(i + 1)["x"].alias("x2"), nth(i + 1)["y"].alias("y2")))
+
+    s = sources.where(F.size(F.get("rings", F.lit(0))) >= 3).select("id", "face", "kind", "rings", unit(planar.newell(F.get("rings", F.lit(0)))).alias("n"))
+    s = once(s, n=F.col("n"), p=F.get(F.get("rings", F.lit(0)), F.lit(0)), axis=drop_axis(F.col("n"))).where(planar.norm(F.col("n")) > 0)
+    edges = F.flatten(F.transform(F.filter("rings", lambda r: F.size(r) >= 3), lambda r: segments(flattened(r, F.col("axis")))))
+    held = s.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("face", "kind", "n", "p", "axis", edges.alias("edges")))).alias("known"))
+    mean = lambda c: F.aggregate("points", F.lit(0.0), lambda a, p: a + p[c]) / F.size("points")
+    f = once(new, n=unit(planar.newell(F.col("points"))), c=F.struct(*[mean(k).alias(k) for k in "xyz"])).join(held, "id", "left").join(houses.select("id", "min_z"), "id", "left")
+    dot = lambda a, b: a["x"] * b["x"] + a["y"] * b["y"] + a["z"] * b["z"]
+
+    def fits(k: Column) -> Column:
+        off = F.struct(*[(F.col("c")[a] - k["p"][a]).alias(a) for a in "xyz"])
+        at = F.get(flattened(F.array(F.col("c")), k["axis"]), F.lit(0))
+        return (F.abs(F.abs(dot(F.col("n"), k["n"])) - 1) <= planar.NORMAL) & (F.abs(dot(off, k["n"])) <= planar.PLANE) & planar.inside(at["x"], at["y"], k["edges"])
+
+    kind = F.get(F.filter("known", fits), F.lit(0))["kind"]
+    return f.select("id", "face", F.coalesce(kind, planar.surface_kind(F.col("n"), F.col("c.z"), F.col("min_z"))).alias("kind"))
+
+
 def last_of_source(f: DataFrame) -> DataFrame:
     """id, source, rings of the outer ceilings: of faces that name one source the last one counts."""
     kept = f.where("kind = 'OuterCeilingSurface' AND source IS NOT NULL")

@@ -334,13 +334,16 @@ def _walls(pair: np.ndarray, cell: np.ndarray, bin_: np.ndarray, low: np.ndarray
 def estimate_heights(points: DataFrame, polygons: DataFrame, key: str, least: int = 100, most: int = 5_000_000) -> DataFrame:
     """key, status, point_count, underpass_z, underpass_dh, top_area, bottom_area, peaks, error for each polygon (key, bounds).
 
-    Points are counted first, so that groups over the limit, whose size isn't bounded, and those under it never reach
+    polygons may tell `tiles`, how many tiles their bounds meet, and `valid`; those without tiles, or that aren't valid,
+    aren't worked on. Points are counted first, so that groups over the limit, whose size isn't bounded, and those under it never reach
     the estimator. It takes whole groups of a partition, many at once.
     """
     from .relational import status_ladder
 
     n = points.groupBy(key).agg(F.count("*").alias("n"))
-    tasks = n.where((F.col("n") >= least) & (F.col("n") <= most)).join(polygons.select(key, "bounds"), key)
+    valid = F.coalesce("valid", F.lit(False)) if "valid" in polygons.columns else F.lit(True)
+    tiles = F.coalesce("tiles", F.lit(0)) if "tiles" in polygons.columns else F.lit(1)
+    tasks = n.where((F.col("n") >= least) & (F.col("n") <= most)).join(polygons.where(valid & (tiles > 0)).select(key, "bounds"), key)
     kind = points.schema[key].dataType.simpleString()
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -355,6 +358,8 @@ def estimate_heights(points: DataFrame, polygons: DataFrame, key: str, least: in
 
     dealt = points.join(tasks.drop("n"), key).select(key, "x", "y", "z", "bounds").repartition(key).sortWithinPartitions(key)
     told = dealt.mapInArrow(rows, f"{key} {kind}, underpass_z double, underpass_dh double, top_area double, bottom_area double, peaks {PEAK}, error string")
-    out = polygons.select(key).join(n, key, "left").withColumn("point_count", F.coalesce("n", F.lit(0))).drop("n").join(told, key, "left")
-    ladder = status_ladder(F.col("point_count"), F.lit(1), most, least)
-    return out.withColumn("status", F.when(ladder != "task", ladder).when(F.col("error").isNotNull(), "failed").otherwise("success"))
+    out = polygons.select(key, valid.alias("__valid"), tiles.alias("__tiles")).join(n, key, "left").withColumn("point_count", F.coalesce("n", F.lit(0))).drop("n").join(told, key, "left")
+    ladder = F.when(~F.col("__valid"), "invalid_geometry").otherwise(status_ladder(F.col("point_count"), F.col("__tiles"), most, least))
+    out = out.withColumn("__ladder", ladder).drop("__valid", "__tiles")
+    ladder = F.col("__ladder")
+    return out.withColumn("status", F.when(ladder != "task", ladder).when(F.col("error").isNotNull(), "failed").otherwise("success")).drop("__ladder")

@@ -89,3 +89,20 @@ def markdown(df: DataFrame, columns: list[str]) -> DataFrame:
     """One text column: a table row for each row."""
     cells = [F.coalesce(F.col(c).cast("string"), F.lit("null")) for c in columns]
     return df.select(F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |")).alias("line"))
+
+
+def number(value: Column, digits: int = 0) -> Column:
+    """A number with commas between thousands, or null as a word; digits that are zeros at the end go."""
+    text = F.format_number(F.round(value, digits), digits)
+    return F.coalesce(F.regexp_replace(text, r"(\.\d*?)0+$", "$1") if digits else text, F.lit("null"))
+
+
+def section(df: DataFrame, title: str, columns: dict[str, Column], order: list[Column], numeric: set[str], place: int) -> DataFrame:
+    """place, ord, line: a titled markdown table of df's rows in order. Reports are small: a row a status or bucket."""
+    from pyspark.sql import Window
+
+    head = [f"### {title}", "", "| " + " | ".join(columns) + " |", "|" + "|".join("---:" if c in numeric else "---" for c in columns) + "|"]
+    top = df.sparkSession.createDataFrame([(place, i - len(head), t) for i, t in enumerate(head)], "place int, ord int, line string")
+    rows = df.withColumn("__ord", F.row_number().over(Window.orderBy(*order)))
+    cells = F.concat_ws(" | ", *[F.coalesce(c.cast("string"), F.lit("null")) for c in columns.values()])
+    return top.unionByName(rows.select(F.lit(place).alias("place"), (F.col("__ord") - 1).alias("ord"), F.concat(F.lit("| "), cells, F.lit(" |")).alias("line")))

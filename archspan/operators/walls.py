@@ -45,6 +45,30 @@ def assessment(rows: DataFrame, truth: str, methods: list[str]) -> DataFrame:
     return stacked.groupBy("method").agg(F.count("v").alias("n"), F.count_if(F.col("v").isNull()).alias("n_null"), F.avg(F.abs(e)).alias("mae"), F.sqrt(F.avg(e * e)).alias("rmse"), F.avg(F.try_divide(F.abs(e), F.col("t"))).alias("relative"))
 
 
+def comparison(results: DataFrame, truth: DataFrame, images: DataFrame, size: float = 100.0) -> DataFrame:
+    """underpass_id, surface_id, method, estimated, real: results that meet a true surface and lie within an image's footprint, once each.
+
+    results: underpass_id, method, estimated, geom; truth: surface_id, real, geom; images: geom.
+    """
+    from .spatial import spatial_join
+
+    r = results.select("underpass_id", "method", "estimated", F.col("geom").alias("l_geom"), st("bounds", "geom").alias("l_bounds"))
+    t = truth.select("surface_id", "real", F.col("geom").alias("r_geom"), st("bounds", "geom").alias("r_bounds"))
+    met = spatial_join(r, t, size, lambda _: st("intersects", "l_geom", "r_geom")).drop("r_geom", "r_bounds")
+    i = images.select(F.col("geom").alias("r_geom"), st("bounds", "geom").alias("r_bounds"))
+    seen = spatial_join(met.select("underpass_id", "l_geom", "l_bounds").dropDuplicates(["underpass_id"]), i, size, lambda _: st("within", "l_geom", "r_geom")).select("underpass_id").distinct()
+    return met.join(seen, "underpass_id", "left_semi").select("underpass_id", "surface_id", "method", "estimated", "real").distinct()
+
+
+def compared(pairs: DataFrame) -> DataFrame:
+    """method, n, n_null, n_null_everywhere, mae, rmse, relative of comparison(): the nulls of a method are those that not all methods share."""
+    null = F.col("estimated").isNull()
+    everywhere = pairs.groupBy("underpass_id", "surface_id").agg(F.bool_and(null).alias("all_null"))
+    e = F.abs(F.col("estimated") - F.col("real"))
+    told = pairs.join(everywhere, ["underpass_id", "surface_id"])
+    return told.groupBy("method").agg(F.count("*").alias("n"), F.count_if(null & ~F.col("all_null")).alias("n_null"), F.count_if("all_null").alias("n_null_everywhere"), F.avg(e).alias("mae"), F.sqrt(F.avg(e * e)).alias("rmse"), F.avg(F.try_divide(e, F.col("real"))).alias("relative"))
+
+
 def trimmed_mean(values: Column, share: float = 0.15) -> Column:
     """Mean without the given share at either end."""
     s = F.array_sort(values)

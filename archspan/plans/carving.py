@@ -127,3 +127,35 @@ def d17_containment_variants(spark, d):
     tests = {"crossing": planar.inside, "angle": planar.inside_by_angle, "winding": planar.inside_by_winding, "fan": planar.inside_by_fan, "slabs": planar.inside_by_slabs}
     told = p.select("pid", *[f(F.col("x"), F.col("y"), F.col("e")).alias(n) for n, f in tests.items()])
     return told.groupBy("pid").agg(*[F.count_if(n).alias(n) for n in tests]).where("crossing + angle + winding + fan + slabs > 0")
+
+
+@query(oracle("""SELECT concat('b', pid) AS id, f.face, CASE WHEN f.face = 7 THEN 'OuterCeilingSurface' WHEN f.face = 0 THEN 'OuterCeilingSurface' WHEN f.face = 1 THEN 'RoofSurface' ELSE 'WallSurface' END AS kind
+FROM footprint, (SELECT CAST(unnest([0, 1, 2, 3, 4, 5, 7]) AS INT) AS face) f WHERE pid % 6 <> 0"""))
+def d38_inferred_semantics(spark, d):
+    """Halves of a model's faces take the kind of the face that they lie on; a level face in between, turned down, takes its kind from its height."""
+    f = cityjson.faces(_features(spark, d), [0.5, 0.5, 0.25], [100.0, 200.0, 0.0])
+    ring = F.col("rings")[0]
+    middle = lambda a, b: F.struct(*[((a[c] + b[c]) / 2).alias(c) for c in "xyz"])
+    half = F.array(ring[0], middle(ring[0], ring[1]), middle(ring[2], ring[3]), ring[3])
+    raised = F.transform(ring, lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y"), (p["z"] + 0.6).alias("z")))
+    new = f.select("id", "face", half.alias("points")).unionByName(f.where("face = 0").select("id", F.lit(7).alias("face"), raised.alias("points")))
+    return cityjson.inferred_kinds(new, f, f.select("id").distinct().withColumn("min_z", F.lit(0.0)))
+
+
+@query(oracle("""WITH r AS (SELECT pid, w, h, CASE WHEN pid % 5 <> 0 AND pid % 10 <> 3 THEN 2.5e0 + pid % 4 END AS cc, CASE WHEN pid % 7 <> 0 AND pid % 10 <> 3 THEN 3e0 END AS depth, 2e0 + pid % 3 AS real FROM footprint WHERE pid % 100 < 50),
+m AS (SELECT pid, 'cc' AS method, cc AS v, real, cc IS NULL AND depth IS NULL AS nowhere FROM r UNION ALL SELECT pid, 'depth', depth, real, cc IS NULL AND depth IS NULL FROM r)
+SELECT method, count(*) AS n, count(*) FILTER (WHERE v IS NULL AND NOT nowhere) AS n_null, count(*) FILTER (WHERE nowhere) AS n_null_everywhere, round(avg(abs(v - real)), 9) AS mae, round(sqrt(avg((v - real) ** 2)), 9) AS rmse, round(avg(abs(v - real) / real), 9) AS relative FROM m GROUP BY method"""))
+def d35_assessment_by_place(spark, d):
+    """Estimates meet true surfaces by place; images, which overlap, cover the western half."""
+    register(spark)
+    f = table(spark, d, "footprint")
+    x, y, k = F.col("x0"), F.col("y0"), F.col("pid")
+    box = rectangle(x + 1, y + 1, x + 3, y + 3)
+    lost = k % 10 == 3
+    cc = f.select(k.alias("underpass_id"), F.lit("cc").alias("method"), F.when((k % 5 != 0) & ~lost, F.lit(2.5) + k % 4).alias("estimated"), box.alias("geom"))
+    depth = f.select(k.alias("underpass_id"), F.lit("depth").alias("method"), F.when((k % 7 != 0) & ~lost, F.lit(3.0)).alias("estimated"), box.alias("geom"))
+    truth = f.select(k.alias("surface_id"), (F.lit(2.0) + k % 3).alias("real"), rectangle(x + 2, y + 2, x + 5, y + 5).alias("geom"))
+    strips = f.where("pid % 100 < 50").groupBy("y0").agg(F.count("*").alias("n"))
+    images = strips.select(rectangle(F.lit(0.0), y, F.lit(2000.0), y + 30).alias("geom")).unionByName(strips.select(rectangle(F.lit(0.0), y - 10, F.lit(1000.0), y + 35).alias("geom")))
+    out = walls.compared(walls.comparison(cc.unionByName(depth), truth, images))
+    return out.select("method", "n", "n_null", "n_null_everywhere", *[F.round(c, 9).alias(c) for c in ("mae", "rmse", "relative")])

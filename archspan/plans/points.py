@@ -177,7 +177,7 @@ def d22_all_components(spark, d):
     return heights.component_areas(_layers(spark, d), ["tile", "layer"])
 
 
-@query(oracle("""SELECT f.pid, CASE WHEN coalesce(n, 0) = 0 THEN 'no_points' WHEN n < 25 THEN 'too_few_points' WHEN n > 40 THEN 'too_many_points' ELSE 'task' END AS status, coalesce(n, 0) AS point_count
+@query(oracle("""SELECT f.pid, CASE WHEN f.pid % 17 = 0 THEN 'invalid_geometry' WHEN f.pid % 13 = 0 THEN 'no_laz_tiles' WHEN n > 40 THEN 'too_many_points' WHEN coalesce(n, 0) = 0 THEN 'no_points' WHEN n < 25 THEN 'too_few_points' WHEN n > 40 THEN 'too_many_points' ELSE 'task' END AS status, coalesce(n, 0) AS point_count
 FROM footprint f LEFT JOIN (SELECT pid, count(*) AS n FROM point GROUP BY pid) q USING (pid)"""))
 def d26_batch_status(spark, d):
     out = _estimates(spark, d)
@@ -185,7 +185,7 @@ def d26_batch_status(spark, d):
 
 
 def _estimates(spark, d):
-    f = table(spark, d, "footprint").select("pid", F.expr("array(x0, y0, x0 + 24, y0 + 20) AS bounds"))
+    f = table(spark, d, "footprint").select("pid", F.expr("array(x0, y0, x0 + 24, y0 + 20) AS bounds"), (F.col("pid") % 17 != 0).alias("valid"), F.when(F.col("pid") % 13 == 0, 0).otherwise(1).alias("tiles"))
     return heights.estimate_heights(table(spark, d, "point").select("pid", "x", "y", "z"), f, "pid", 25, 40)
 
 
