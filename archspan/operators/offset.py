@@ -104,8 +104,10 @@ def ring_polygon(ring: Column) -> Column:
     return st("polygon_of", closed(F.transform(ring, lambda s: F.struct(s["x1"].alias("x"), s["y1"].alias("y")))))
 
 
-def _less(shell: Column, holes: Column) -> Column:
-    return F.when(F.size(holes) == 0, shell).otherwise(st("difference", shell, st("union_all", holes)))
+def shell_less_holes(polygons: Column) -> Column:
+    """The first of an array of polygons less the others."""
+    shell, holes = F.get(polygons, F.lit(0)), F.slice(polygons, 2, F.size(polygons))
+    return F.when(F.size(polygons) == 1, shell).otherwise(st("difference", shell, st("union_all", holes)))
 
 
 def offset_polygons(rings: DataFrame, d: float, strategy: str = "boolean_patch") -> DataFrame:
@@ -129,13 +131,13 @@ def offset_polygons(rings: DataFrame, d: float, strategy: str = "boolean_patch")
     out = once(out, __reason=F.coalesce(F.when(F.lit(d != d), "value_error"), first(F.transform("__all", skip_reason)), F.when(~movable, "no_movable_edges")))
     ok = F.col("__reason").isNull() if d else ~F.coalesce(F.col("__reason") == "invalid_input_polygon", F.lit(False))
     old = F.transform("__all", ring_polygon)
-    out = once(out, __old=F.when(ok, _less(F.get(old, F.lit(0)), F.slice(old, 2, F.size(old)))))
+    out = once(out, __old=F.when(ok, shell_less_holes(old)))
     if not d:
         return out.withColumn("geom", F.col("__old")).withColumn("skip_reason", F.lit(None).cast("string")).select(*own, "geom", "skip_reason")
     moved = once(out, __corners=F.when(ok, F.transform("__all", lambda r: offset_corners(r, d))))
     if strategy == "linework":
         new = F.transform("__corners", lambda c: st("polygon_of", closed(F.flatten(c))))
-        moved = once(moved, __new=_less(F.get(new, F.lit(0)), F.slice(new, 2, F.size(new))))
+        moved = once(moved, __new=shell_less_holes(new))
     else:
         moved = once(moved, __patches=F.flatten(F.zip_with("__all", "__corners", lambda r, c: patches(r, c, d))))
         whole = F.exists("__all", lambda r: F.forall(r, lambda s: s["movable"]))
@@ -190,3 +192,42 @@ def classified_ring(ring: DataFrame, movable: DataFrame, fixed: DataFrame, toler
     both = found.join(given, ["key", "s"], "full")
     off = F.abs(F.coalesce("there", F.lit(0)) - F.coalesce("given", F.lit(0)))
     return both.groupBy("key").agg(F.sum(F.coalesce("there", F.lit(0))).alias("n"), F.sum(F.when(F.col("movable") == 1, F.col("there")).otherwise(0)).alias("n_movable"), F.sum(off).alias("unmatched"))
+
+
+def classified_rings(edges: DataFrame, tolerance: float = 1e-3) -> DataFrame:
+    """key, rings, reason: one polygon from the loose edges (x1, y1, x2, y2, movable) of each key, in any order and direction.
+
+    rings: the shell and then the holes, each counter-clockwise, as offset_polygons() takes them; each of their segments is
+    movable as the edge is that it matches. reason is edge_matching_failed where the edges don't make up one polygon, or a
+    segment matches no edge or several, or an edge is left over.
+    """
+    cols = [F.col(c) for c in ("x1", "y1", "x2", "y2")]
+    e = edges.select("key", planar.segment_key(*cols, tolerance).alias("s"), "movable", st("line_of", F.array(*cols)).alias("line"))
+    g = e.groupBy("key").agg(F.collect_list(F.struct("s", "movable")).alias("given"), F.collect_list("line").alias("lines"))
+    g = once(g, g=st("build_area", st("union_lines", "lines")))
+    g = once(g, g=F.when((st("num_parts", "g") == 1) & ~st("is_empty", "g"), st("orient", st("one_polygon", "g"))))
+    outlines = F.concat(F.array(st("coordinates", st("exterior_ring", "g"))), F.transform(st("interior_rings", "g"), lambda r: st("coordinates", r)))
+    g = once(g, xy=F.when(F.col("g").isNotNull(), outlines))
+
+    def segments(c: Column, turn: Column) -> Column:
+        n = F.floor(F.size(c) / 2).cast("int") - 1
+        at = lambda i: (F.get(c, 2 * i), F.get(c, 2 * i + 1))
+
+        def one(i: Column) -> Column:
+            (ax, ay), (bx, by) = at(i), at(i + 1)
+            return F.struct(F.when(turn, bx).otherwise(ax).alias("x1"), F.when(turn, by).otherwise(ay).alias("y1"), F.when(turn, ax).otherwise(bx).alias("x2"), F.when(turn, ay).otherwise(by).alias("y2"))
+
+        every = F.transform(F.sequence(F.lit(0), n - 1), one)
+        return F.when(turn, F.reverse(every)).otherwise(every)
+
+    g = once(g, segs=F.transform("xy", lambda c, k: segments(c, k > 0)))  # holes run clockwise in an oriented polygon
+
+    def matched(s: Column) -> Column:
+        return F.filter("given", lambda v: v["s"] == planar.segment_key(s["x1"], s["y1"], s["x2"], s["y2"], tolerance))
+
+    g = once(g, found=F.transform("segs", lambda r: F.transform(r, lambda s: bind(matched(s), lambda m: F.struct(s["x1"].alias("x1"), s["y1"].alias("y1"), s["x2"].alias("x2"), s["y2"].alias("y2"), F.get(m, F.lit(0))["movable"].alias("movable"), F.size(m).alias("n"))))))
+    flat = F.flatten("found")
+    wrong = F.col("found").isNull() | F.exists(flat, lambda s: s["n"] != 1) | (F.size(flat) != F.size("given"))
+    g = once(g, reason=F.when(F.coalesce(wrong, F.lit(True)), "edge_matching_failed"))
+    rings = F.transform("found", lambda r: F.transform(r, lambda s: s.dropFields("n")))
+    return g.select("key", F.when(F.col("reason").isNull(), rings).alias("rings"), "reason")

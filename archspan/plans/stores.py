@@ -156,3 +156,16 @@ def t6_order_within_cells(spark, d):
     rows = storage.durable(rows, "ordered")
     before = rows.alias("r").join(rows.groupBy("cx").agg(F.collect_list("at").alias("all")), "cx")
     return before.select("cx", "pid", F.size(F.filter("all", lambda v: v <= F.col("at"))).cast("long").alias("place"))
+
+
+@query(oracle("SELECT tile, count(*) AS n FROM point GROUP BY tile"))
+def s16_cached_result(spark, d):
+    """Counts that the first call makes and the second one reads."""
+    path = storage.new_path(spark, "cached")
+    make = lambda: table(spark, d, "point").groupBy("tile").agg(F.count("*").alias("n"))
+    tables.cached(spark, path, make)
+
+    def never():
+        raise RuntimeError("made twice")
+
+    return tables.cached(spark, path, never)
