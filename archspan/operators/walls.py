@@ -133,3 +133,23 @@ def by_image(visible: DataFrame, cameras: DataFrame) -> DataFrame:
 def footprints_with_cameras(footprints: DataFrame, cameras: DataFrame) -> DataFrame:
     """Footprints with their camera's columns, null where the image has no camera."""
     return footprints.join(cameras, "image_id", "left")
+
+
+IMAGE_SCALE, MOST_WIDE, MOST_HIGH = 4.0, 4096, 4096  # fixed values: by how much a facade may be larger than its image, and its greatest size
+
+
+def facade_size(corners: Column, width: Column, height: Column) -> Column:
+    """struct(width, height) in pixels of the upright image of a facade: the longer of either pair of opposite sides, within limits.
+
+    corners: four struct(u, v), lower left, lower right, upper right, upper left; null where there aren't four finite ones, or
+    where they span far more than the image.
+    """
+    finite = lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))
+    sound = (F.size(corners) == 4) & F.forall(corners, lambda p: finite(p["u"]) & finite(p["v"]))
+    span = lambda k: F.array_max(F.transform(corners, lambda p: p[k])) - F.array_min(F.transform(corners, lambda p: p[k]))
+    fits = (span("u") <= width * IMAGE_SCALE) & (span("v") <= height * IMAGE_SCALE)
+    at = lambda i: F.get(corners, F.lit(i))
+    side = lambda i, j: F.floor(F.sqrt((at(i)["u"] - at(j)["u"]) ** 2 + (at(i)["v"] - at(j)["v"]) ** 2)).cast("int")
+    wide, high = F.greatest(side(2, 3), side(0, 1)), F.greatest(side(2, 1), side(3, 0))
+    bounded = lambda v, most: F.greatest(F.lit(1), F.least(v, F.lit(most)))
+    return F.when(F.coalesce(sound & fits, F.lit(False)), F.struct(bounded(wide, MOST_WIDE).alias("width"), bounded(high, MOST_HIGH).alias("height")))

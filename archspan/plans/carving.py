@@ -159,3 +159,17 @@ def d35_assessment_by_place(spark, d):
     images = strips.select(rectangle(F.lit(0.0), y, F.lit(2000.0), y + 30).alias("geom")).unionByName(strips.select(rectangle(F.lit(0.0), y - 10, F.lit(1000.0), y + 35).alias("geom")))
     out = walls.compared(walls.comparison(cc.unionByName(depth), truth, images))
     return out.select("method", "n", "n_null", "n_null_everywhere", *[F.round(c, 9).alias(c) for c in ("mae", "rmse", "relative")])
+
+
+@query(oracle("SELECT pid, CASE WHEN pid % 7 <> 0 AND pid % 5 <> 0 THEN CAST(w * 10 AS INT) END AS width, CASE WHEN pid % 7 <> 0 AND pid % 5 <> 0 THEN CAST(greatest(1, h * 3 + 2 * (pid % 2)) AS INT) END AS height FROM footprint"))
+def d30_facade_sizes(spark, d):
+    """Projected walls, one side of some longer than the other; some lack a corner, and some span far more than their image."""
+    f = table(spark, d, "footprint")
+    w, h, k = F.col("w") * 10, F.col("h") * 3, F.col("pid")
+    wide = F.when(k % 5 == 0, w + 1e7).otherwise(w)
+    p = lambda u, v: F.struct(u.alias("u"), v.alias("v"))
+    zero = F.lit(0.0)
+    corners = F.array(p(zero, zero), p(wide, zero), p(wide, h + 2 * (k % 2)), p(zero, h + 2 * (k % 2)))
+    some = F.when(k % 7 == 0, F.slice(corners, 1, 3)).otherwise(corners)
+    size = walls.facade_size(some, F.lit(4000), F.lit(3000))
+    return f.select("pid", size.alias("s")).select("pid", "s.width", "s.height")
