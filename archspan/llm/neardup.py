@@ -45,8 +45,7 @@ PERCENT = 80
 ROWS = 4  # registers of a band
 SMALL = 64
 BLOCK = 512
-HOT_BUCKET = 256  # classes from which a bucket may be hot
-HOT_BUCKETS = 100_000  # and its share of all bands, so that there are no more than these: a small broadcast
+HOT, MOST_HOT = 256, 100_000  # rows from which a group may be hot, and how many hot groups there may be
 DEVIATIONS = 5  # of the estimate, below the threshold, up to which pairs are confirmed
 PAIRS_AT_ONCE = 40_000
 EXACT_BLOCK = 256  # sets whose intersections are taken at once
@@ -172,10 +171,15 @@ def forest(a: np.ndarray, b: np.ndarray, weight: np.ndarray) -> np.ndarray:
     return np.array(out, np.int64)
 
 
-def with_buckets(rows: DataFrame, buckets: DataFrame, hot: int) -> DataFrame:
-    """rows joined by key with buckets (key, size, ...). Rows of buckets of more than hot rows, of which there are few, stay where they are; the others are shuffled."""
-    large, others = F.broadcast(buckets.where(F.col("size") > hot)), buckets.where(F.col("size") <= hot)
-    return rows.join(large, "key", "left_anti").join(others, "key").unionByName(rows.join(large, "key"))
+def hot_from(rows: DataFrame) -> int:
+    """The size from which a group of rows may be hot: so large that there are few such groups, a small broadcast."""
+    return max(HOT, rows.count() // MOST_HOT)
+
+
+def joined(rows: DataFrame, groups: DataFrame, keys: list[str], hot: int) -> DataFrame:
+    """rows joined by keys with groups (keys, size, ...), a written table. Rows of groups of more than hot rows stay where they are; the others are shuffled."""
+    large, others = F.broadcast(groups.where(F.col("size") > hot)), groups.where(F.col("size") <= hot)
+    return rows.join(large, keys, "left_anti").join(others, keys).unionByName(rows.join(large, keys))
 
 
 def dealt_in_blocks(bands: DataFrame, hot: int) -> DataFrame:
@@ -183,7 +187,7 @@ def dealt_in_blocks(bands: DataFrame, hot: int) -> DataFrame:
     buckets = common.durable(bands.groupBy("key").agg(F.count("*").alias("size"), F.min("node").alias("least")).where("size > 1"), "sizes")
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     own = F.when(F.col("node") == F.col("least"), F.sequence(F.lit(0), blocks - 1)).otherwise(F.array(F.pmod(F.xxhash64("node"), blocks).cast("int")))
-    return with_buckets(bands, buckets, hot).select("key", "size", "node", F.explode(own).alias("block"))
+    return joined(bands, buckets, ["key"], hot).select("key", "size", "node", F.explode(own).alias("block"))
 
 
 def told(c: dict[str, np.ndarray], a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
@@ -258,10 +262,11 @@ def reachable(members: DataFrame, percent: int) -> DataFrame:
         before = total
         each = members.select("family", "component", "k", F.explode("h").alias("s"))
         shared = each.groupBy("family", "s").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("family", "s")
-        often = each.join(shared, ["family", "s"], "left_semi").groupBy("k").agg(F.count("*").alias("o"))
-        least = members.groupBy("family").agg(F.min("n").alias("least"))
-        other = F.greatest("least", F.ceil(percent * F.col("n") / 100))
-        left = members.join(often, "k").join(least, "family").where((100 + percent) * F.col("o") >= percent * (F.col("n") + other)).select("k", "family", "component", "node", "n", "h")
+        own = each.join(shared, ["family", "s"], "left_anti").groupBy("k").agg(F.count("*").alias("own"))
+        least = common.durable(members.groupBy("family").agg(F.min("n").alias("least"), F.count("*").alias("size")), "least")
+        other, common_ = F.greatest("least", F.ceil(percent * F.col("n") / 100)), F.col("n") - F.coalesce("own", F.lit(0))
+        told = joined(members.join(own, "k", "left"), least, ["family"], hot_from(members))
+        left = told.where((100 + percent) * common_ >= percent * (F.col("n") + other)).select("k", "family", "component", "node", "n", "h")
         old, members = members, common.durable(left, "members")
         common.forget(old)
     return members
@@ -271,10 +276,11 @@ def blocks_of(members: DataFrame, percent: int) -> DataFrame:
     """Members dealt in pairs of blocks: those of one level of sizes with each other, and with those of the next level. right marks the second block of a pair."""
     level = (F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / percent)) + 1e-9) if percent < 100 else 2 * F.col("n")).cast("int")
     m = members.withColumn("level", level)
-    sizes = m.groupBy("family", "level").agg(F.ceil(F.sum("n") / SHINGLES).cast("int").alias("own"))
+    sizes = m.groupBy("family", "level").agg(F.ceil(F.sum("n") / SHINGLES).cast("int").alias("own"), F.count("*").alias("size"))
     upper = sizes.select("family", (F.col("level") - 1).alias("level"), F.col("own").alias("above"))
     lower = sizes.select("family", (F.col("level") + 1).alias("level"), F.col("own").alias("below"))
-    m = m.join(sizes.join(upper, ["family", "level"], "left").join(lower, ["family", "level"], "left"), ["family", "level"])
+    sizes = common.durable(sizes.join(upper, ["family", "level"], "left").join(lower, ["family", "level"], "left"), "levels")
+    m = joined(m, sizes, ["family", "level"], hot_from(members))
     i, none = F.pmod(F.xxhash64("k"), F.col("own")).cast("int"), F.array().cast("array<struct<level: int, i: int, up: boolean, j: int, right: boolean>>")
 
     def place(level, i, up, j, right):
@@ -326,7 +332,7 @@ def open_families(dealt: DataFrame, found: DataFrame, hot: int) -> DataFrame | N
     large = large.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     mixed_keys = large.groupBy("key", "size").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("node").alias("least")).where("lo <> hi")
     mixed_keys = common.durable(mixed_keys.select("key", "size", "least"), "mixed")
-    there = common.durable(with_buckets(large.select("key", "node", "component"), mixed_keys, hot).select("node", "least", "component").distinct(), "open")
+    there = common.durable(joined(large.select("key", "node", "component"), mixed_keys, ["key"], hot).select("node", "least", "component").distinct(), "open")
     if there.isEmpty():
         return None
     family = connected_components(there.select(F.col("node").alias("u"), F.col("least").alias("v"))).withColumnRenamed("component", "family")
@@ -369,7 +375,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     classes = common.durable(one.join(by_set.select("f1", "f2", "node"), ["f1", "f2", "node"]).dropDuplicates(["f1", "f2", "node"]).drop("f1", "f2"), "nodes")
 
     bands = common.durable(band_keys(classes), "bands")
-    hot = max(HOT_BUCKET, bands.count() // HOT_BUCKETS)
+    hot = hot_from(bands)
     dealt = common.durable(dealt_in_blocks(bands, hot), "buckets")
     pairs = common.durable(candidates(dealt.join(classes, "node"), percent), "pairs")
 

@@ -63,7 +63,7 @@ def near_copies(n, seed=1):
 def test_near_duplicates_against_brute_force(spark, monkeypatch, small):
     monkeypatch.setattr(neardup, "SMALL", small)
     monkeypatch.setattr(neardup, "BLOCK", 4 * small)
-    monkeypatch.setattr(neardup, "HOT_BUCKET", 20)
+    monkeypatch.setattr(neardup, "HOT", 20)
     monkeypatch.setattr(neardup, "EXACT_BLOCK", 16)
     monkeypatch.setattr(neardup, "SHINGLES", 2000)
     texts = near_copies(90) + ["", None, "one two", "One  two", "one two three"]
@@ -89,7 +89,7 @@ def family(n, seed=3):
 
 @pytest.mark.parametrize("percent", [80, 90])
 def test_families_of_unlinked_classes_against_brute_force(spark, monkeypatch, percent):
-    for name, value in (("SMALL", 4), ("BLOCK", 8), ("EXACT_BLOCK", 16), ("SHINGLES", 3000)):
+    for name, value in (("SMALL", 4), ("BLOCK", 8), ("EXACT_BLOCK", 16), ("SHINGLES", 3000), ("HOT", 20)):
         monkeypatch.setattr(neardup, name, value)
     blocks = []
     true_across = neardup.across
