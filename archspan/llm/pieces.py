@@ -44,6 +44,7 @@ SPACE = "▁"
 OTHER = 1 << 20  # symbol numbers of unknown characters start here
 BATCH = 1_000_000
 AT_ONCE = 32  # chunks of a batch
+CHUNKS_A_TASK = 32  # that are traced back, so that tasks are alike at every size
 UNIGRAM, UNKNOWN = 1, 10.0  # fixed values of the library: a model type, and by how much an unknown character is below the least score
 State = tuple[int, int]  # start and end of a piece, counted from the cut
 
@@ -445,8 +446,9 @@ def encode(docs: DataFrame, path: str | None = None, chunk: int = CHUNK, fan: in
     schema = "row long, doc_id string, part int, ids array<int>, round_trip boolean"
     short = common.texts(docs.where(F.coalesce(F.char_length("text"), F.lit(0)) <= chunk)).mapInPandas(whole, schema)
     cut = common.durable(chunk_rows(docs, path, chunk), "chunks")
+    tasks = -(-cut.count() // CHUNKS_A_TASK) or 1
     matrices = common.durable(cut.mapInPandas(transfers, MATRICES), "matrices")
-    long = cut.join(states_at_cuts(matrices, fan), ["row", "k"]).mapInPandas(traced, schema)
+    long = cut.repartition(tasks, "row", "k").join(states_at_cuts(matrices, fan), ["row", "k"]).mapInPandas(traced, schema)
     return common.typed(short.unionByName(long), docs)
 
 
