@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import planar
+from ..functions.binding import once
 from ..functions.geometry import rectangle, register, st
 from ..operators import carving, cityjson, relational, walls
 from .models import _features
@@ -49,8 +50,10 @@ def d40_carve_account(spark, d):
 def m12_flattened_faces(spark, d):
     """Faces without the axis of their normal's greatest part, and what they enclose there."""
     f = cityjson.faces(_features(spark, d), [0.5, 0.5, 0.25], [100.0, 200.0, 0.0])
-    axis = carving.drop_axis(planar.newell(F.col("rings")[0]))
-    return f.select("id", "face", axis.alias("axis"), F.round(F.abs(carving.signed_area(carving.flattened(F.col("rings")[0], axis))), 6).alias("area"))
+    f = once(f.select("id", "face", F.col("rings")[0].alias("ring")), normal=planar.newell(F.col("ring")))
+    f = once(f, axis=carving.drop_axis(F.col("normal")))
+    f = once(f, flat=carving.flattened(F.col("ring"), F.col("axis")))
+    return f.select("id", "face", "axis", F.round(F.abs(carving.signed_area(F.col("flat"))), 6).alias("area"))
 
 
 def _sites(spark, d):
