@@ -2,23 +2,26 @@
 
 Each round points the larger neighbours of a node to the smallest one around it
 (large star), then the smaller ones (small star), until the edges are stars
-around components' least nodes. Minima are combined before they are shuffled.
-Up to FEW edges, the nodes' minima are broadcast to the edges (of that size
-alone); beyond, both are shuffled, and the edges of a node with more than its
-share of all edges are dealt in parts, in which minima are taken first, so that
-a hub is many tasks' work. Each round ends in a table in the shared folder; the
-table before it is removed.
+around components' least nodes. Minima are combined before they are shuffled, and
+the edges of a node with more than its share of all edges are dealt in parts, in
+which minima are taken first, so that a hub is many tasks' work. Each round ends
+in a table in the shared folder; the tables before it are removed. Up to FEW
+edges, of which a task holds many times as many, one task labels all nodes.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
 
 ROUNDS = 60
-FEW = 250_000  # edges, so at most twice as many minima: 8 MB
+FEW = 250_000  # edges: 4 MB
 LEAST_HUB = 256  # edges from which a node may be a hub
 MOST_HUBS = 100_000  # a node is a hub beyond this share of all edges, so there are at most twice as many: a small broadcast
 
@@ -28,11 +31,38 @@ def _state(edges: DataFrame) -> tuple:
     return row["n"], row["x"], row["s"]
 
 
+def labelled(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Nodes of edges, and the least node that each can reach."""
+    nodes, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b = at[: len(u)], at[len(u) :]
+    label = np.arange(len(nodes))
+    while len(a):  # labels go to the least around, then to their own label
+        x, y = label[a], label[b]
+        apart = x != y
+        if not apart.any():
+            break
+        a, b = a[apart], b[apart]
+        np.minimum.at(label, np.maximum(x, y)[apart], np.minimum(x, y)[apart])
+        while (label[label] != label).any():
+            label = label[label]
+    return nodes, nodes[label]
+
+
+def _together(edges: DataFrame) -> DataFrame:
+    """node, component of few edges, by one task without a shuffle."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if b.num_rows]
+        if held:
+            t = pa.Table.from_batches(held)
+            nodes, least = labelled(t.column("u").to_numpy(), t.column("v").to_numpy())
+            yield pa.record_batch({"node": pa.array(nodes, pa.int64()), "component": pa.array(least, pa.int64())})
+
+    return edges.coalesce(1).mapInArrow(rows, "node long, component long")
+
+
 def _near(pairs: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
     """(u, m), the least around each node or itself; and pairs with the m of their u. n: how many edges there are."""
-    if n <= FEW:
-        least = pairs.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        return least, pairs.join(F.broadcast(least), "u")
     part = max(LEAST_HUB, n // MOST_HUBS)
     hubs = pairs.groupBy("u").agg(F.count("*").alias("d")).where(F.col("d") > part).select(F.col("u").alias("hub"), F.ceil(F.col("d") / part).cast("int").alias("parts"))
     dealt = pairs.join(F.broadcast(hubs), F.col("u") == F.col("hub"), "left")
@@ -52,9 +82,12 @@ def _star(pairs: DataFrame, large: bool, n: int) -> DataFrame:
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
-    """node, component (the least node that can be reached): nodes of edges (u, v) alone. Null ends and loops are no edges."""
-    kept = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+    """node, component (the least node that can be reached): nodes of edges (u, v) alone. Null ends and loops are no edges, and repeated edges count once."""
+    kept = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     now = common.durable(kept, "edges")
+    if now.schema["u"].dataType.simpleString() == "bigint" and now.count() <= FEW:
+        return _together(now)
+    now = common.durable(now.distinct(), "edges")
     before = None
     for _ in range(ROUNDS):
         state = _state(now)
@@ -62,11 +95,9 @@ def connected_components(edges: DataFrame) -> DataFrame:
             break
         before = state
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _star(both, True, state[0])
-        if state[0] > FEW:
-            large = common.durable(large, "large")
+        large = common.durable(_star(both, True, state[0]), "large")
         old, now = now, common.durable(_star(large, False, state[0]), "edges")
-        common.forget(old, *([large] if state[0] > FEW else []))
+        common.forget(old, large)
     else:
         raise RuntimeError("components did not settle")
     centres = now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()

@@ -49,7 +49,8 @@ HOT, MOST_HOT = 256, 100_000  # rows from which a group may be hot, and how many
 DEVIATIONS = 5  # of the estimate, below the threshold, up to which pairs are confirmed
 PAIRS_AT_ONCE = 40_000
 EXACT_BLOCK = 256  # sets whose intersections are taken at once
-SHINGLES = 500_000  # of a block of a family
+SHINGLES = 500_000  # of a block of a family, at most: with fewer in all, blocks are smaller,
+PARTS, LEAST_SHINGLES = 32, 10_000  # so that there are about so many, but none smaller than this
 PEELS = 4
 COLUMNS = 4096
 
@@ -276,7 +277,9 @@ def blocks_of(members: DataFrame, percent: int) -> DataFrame:
     """Members dealt in pairs of blocks: those of one level of sizes with each other, and with those of the next level. right marks the second block of a pair."""
     level = (F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / percent)) + 1e-9) if percent < 100 else 2 * F.col("n")).cast("int")
     m = members.withColumn("level", level)
-    sizes = m.groupBy("family", "level").agg(F.ceil(F.sum("n") / SHINGLES).cast("int").alias("own"), F.count("*").alias("size"))
+    total = members.agg(F.sum("n")).first()[0] or 0
+    size = min(SHINGLES, max(LEAST_SHINGLES, total // PARTS))
+    sizes = m.groupBy("family", "level").agg(F.ceil(F.sum("n") / size).cast("int").alias("own"), F.count("*").alias("size"))
     upper = sizes.select("family", (F.col("level") - 1).alias("level"), F.col("own").alias("above"))
     lower = sizes.select("family", (F.col("level") + 1).alias("level"), F.col("own").alias("below"))
     sizes = common.durable(sizes.join(upper, ["family", "level"], "left").join(lower, ["family", "level"], "left"), "levels")
@@ -382,14 +385,13 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     links = common.durable(confirm(pairs, texts_of(pairs, docs), words, percent), "links")
     if (shared := links_of_shared_ids(sets)) is not None:
         links = links.unionByName(shared)
-    found = connected_components(links)
+    found = common.durable(connected_components(links), "found")
 
     if (members := open_families(dealt, found, hot)) is not None:
         texts = texts_of(members.select(F.col("node").alias("a"), F.col("node").alias("b")), docs)
         left = reachable(member_sets(members, texts, words), percent)
         links = links.unionByName(common.durable(across(blocks_of(left, percent), percent), "more"))
-        found = connected_components(links)
-    found = common.durable(found, "found")
+        found = common.durable(connected_components(links), "found")
     common.forget(classes, bands, dealt, pairs)
 
     node = by_set.join(found, "node", "left").select("f1", "f2", F.coalesce("component", "node").alias("component_id"))

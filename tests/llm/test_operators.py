@@ -89,7 +89,7 @@ def family(n, seed=3):
 
 @pytest.mark.parametrize("percent", [80, 90])
 def test_families_of_unlinked_classes_against_brute_force(spark, monkeypatch, percent):
-    for name, value in (("SMALL", 4), ("BLOCK", 8), ("EXACT_BLOCK", 16), ("SHINGLES", 3000), ("HOT", 20)):
+    for name, value in (("SMALL", 4), ("BLOCK", 8), ("EXACT_BLOCK", 16), ("SHINGLES", 3000), ("LEAST_SHINGLES", 2000), ("HOT", 20)):
         monkeypatch.setattr(neardup, name, value)
     blocks = []
     true_across = neardup.across
