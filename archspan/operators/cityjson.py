@@ -91,7 +91,7 @@ def inferred_kinds(new: DataFrame, sources: DataFrame, houses: DataFrame) -> Dat
 
     s = sources.where(F.size(F.get("rings", F.lit(0))) >= 3).select("id", "face", "kind", "rings", unit(planar.newell(F.get("rings", F.lit(0)))).alias("n"))
     s = once(s, n=F.col("n"), p=F.get(F.get("rings", F.lit(0)), F.lit(0)), axis=drop_axis(F.col("n"))).where(planar.norm(F.col("n")) > 0)
-    edges = F.flatten(F.transform(F.filter("rings", lambda r: F.size(r) >= 3), lambda r: segments(flattened(r, F.col("axis")))))
+    edges = F.flatten(F.transform(F.filter("rings", lambda r: F.size(r) >= 3), lambda r: bind(flattened(r, F.col("axis")), segments)))
     held = s.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("face", "kind", "n", "p", "axis", edges.alias("edges")))).alias("known"))
     mean = lambda c: F.aggregate("points", F.lit(0.0), lambda a, p: a + p[c]) / F.size("points")
     f = once(new, n=unit(planar.newell(F.col("points"))), c=F.struct(*[mean(k).alias(k) for k in "xyz"])).join(held, "id", "left").join(houses.select("id", "min_z"), "id", "left")
@@ -99,8 +99,9 @@ def inferred_kinds(new: DataFrame, sources: DataFrame, houses: DataFrame) -> Dat
 
     def fits(k: Column) -> Column:
         off = F.struct(*[(F.col("c")[a] - k["p"][a]).alias(a) for a in "xyz"])
-        at = F.get(flattened(F.array(F.col("c")), k["axis"]), F.lit(0))
-        return (F.abs(F.abs(dot(F.col("n"), k["n"])) - 1) <= planar.NORMAL) & (F.abs(dot(off, k["n"])) <= planar.PLANE) & planar.inside(at["x"], at["y"], k["edges"])
+        x, y = F.when(k["axis"] == 0, F.col("c.y")).otherwise(F.col("c.x")), F.when(k["axis"] == 2, F.col("c.y")).otherwise(F.col("c.z"))
+        one = (F.abs(F.abs(dot(F.col("n"), k["n"])) - 1) <= planar.NORMAL) & (F.abs(dot(off, k["n"])) <= planar.PLANE)
+        return F.when(one, bind(F.struct(x.alias("x"), y.alias("y")), lambda at: planar.inside(at["x"], at["y"], k["edges"]))).otherwise(False)
 
     kind = F.get(F.filter("known", fits), F.lit(0))["kind"]
     return f.select("id", "face", F.coalesce(kind, planar.surface_kind(F.col("n"), F.col("c.z"), F.col("min_z"))).alias("kind"))

@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -129,7 +130,7 @@ def component_areas(cells: DataFrame, keys: list[str], size: float = CELL) -> Da
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in whole_groups(batches, "h"):
             k = t.column("k").combine_chunks()
-            _, group = np.unique(np.stack([pa.compute.dictionary_encode(f).indices.to_numpy(zero_copy_only=False) for f in k.flatten()]), axis=1, return_inverse=True)
+            _, group = np.unique(np.stack([pc.dictionary_encode(f).indices.to_numpy(zero_copy_only=False) for f in k.flatten()]), axis=1, return_inverse=True)
             row, col = (t.column(c).to_numpy().astype(np.int64) for c in ("row", "col"))
             code = (row - row.min()) * SIDE + col - col.min() + 1
             order = np.lexsort((code, group))
