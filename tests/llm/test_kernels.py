@@ -2,7 +2,6 @@ import functools
 import itertools
 import random
 import zipfile
-import zlib
 
 import numpy as np
 import pytest
