@@ -304,3 +304,68 @@ def m6_segment_keys(spark, d):
 @query(oracle("SELECT pid, seq FROM edge WHERE sqrt((x2 - x1) ** 2 + (y2 - y1) ** 2) >= 9"))
 def f6_long_edges(spark, d):
     return table(spark, d, "edge").where(edges.long_enough(*[F.col(c) for c in ("x1", "y1", "x2", "y2")], 9.0)).select("pid", "seq")
+
+
+def _corners(f, *points):
+    """The polygon through points (x, y offsets as columns) of footprints."""
+    xy = [c for px, py in [*points, points[0]] for c in (F.col("x0") + px, F.col("y0") + py)]
+    return f.withColumn("geom", st("polygon_of", F.array(*xy)))
+
+
+def _ells(spark, d):
+    """Concave L-shaped polygons, as the edge table has them."""
+    register(spark)
+    w, h, n = F.col("w"), F.col("h"), lambda v: F.lit(float(v))
+    return _corners(table(spark, d, "footprint"), (n(0), n(0)), (w, n(0)), (w, n(4)), (n(4), n(4)), (n(4), h), (n(0), h))
+
+
+@query(oracle("SELECT pid, w * h / 4 AS difference, 2 AS parts, w * h / 4 AS intersection, w * h * 5 / 8 AS union_area, w * h / 2 AS area, 4 AS points FROM footprint"))
+def g1_triangles(spark, d):
+    """Triangles and a rectangle whose far corner is the middle of their long side: what is left has two parts that touch in a point."""
+    register(spark)
+    f = table(spark, d, "footprint")
+    w, h, zero = F.col("w"), F.col("h"), F.lit(0.0)
+    t = _corners(f, (zero, zero), (w, zero), (zero, h)).withColumnRenamed("geom", "t")
+    t = t.withColumn("inner", rectangle(F.col("x0"), F.col("y0"), F.col("x0") + w / 2, F.col("y0") + h / 2)).withColumn("over", rectangle(F.col("x0"), F.col("y0"), F.col("x0") + w / 2, F.col("y0") + h))
+    area = lambda g: F.round(st("area", g), 6)
+    cut = st("difference", "t", "inner")
+    return t.select(
+        "pid", area(cut).alias("difference"), F.size(st("dump", cut)).alias("parts"), area(st("intersection", "t", "inner")).alias("intersection"),
+        area(st("union_all", F.array("t", "over"))).alias("union_area"), area(F.col("t")).alias("area"), st("num_points", "t").alias("points"),
+    )
+
+
+@query(oracle("SELECT identificatie, 2 AS parts, least(w, 2 * w + 4 * (h - 4)) AS least_area, greatest(w, 2 * w + 4 * (h - 4)) AS greatest_area FROM footprint"))
+def d4_parts_of_concave_buildings(spark, d):
+    """A topographic band through an L-shaped building leaves two underpasses of it."""
+    b = _ells(spark, d)
+    topo = b.select("key", rectangle(F.col("x0") - 1, F.col("y0") + 1, F.col("x0") + F.col("w") + 1, F.col("y0") + 2).alias("geom"))
+    parts = detect.snapped_differences(detect.join_registers(b.select("identificatie", "geom"), topo))
+    u = detect.underpasses(parts).select("identificatie", F.round(st("area", "geom"), 6).alias("area"))
+    return u.groupBy("identificatie").agg(F.count("*").cast("int").alias("parts"), F.min("area").alias("least_area"), F.max("area").alias("greatest_area"))
+
+
+@query(oracle("""SELECT pid, round((w - 0.4e0) * 3.6e0 + 3.6e0 * (h - 4) + 0.04e0 * (1 - 4 * sin(pi() / 16)), 6) AS eroded, w * 4 + 4 * (h - 4) AS area, 2 * (w + h) AS length, true AS valid, false AS centre_of_box_inside FROM footprint WHERE w > 8 AND h > 8"""))
+def g8_concave_measures(spark, d):
+    """Erosion, area and outline of concave polygons, whose box has its centre outside of them; the inner corner is rounded in eight steps."""
+    b = _ells(spark, d).where("w > 8 AND h > 8")
+    centre = st("point_of", F.col("x0") + F.col("w") / 2, F.col("y0") + F.col("h") / 2)
+    rounded = lambda g: F.round(g, 6)
+    return b.select(
+        "pid", rounded(st("area", st("buffer", "geom", -0.2))).alias("eroded"), rounded(st("area", "geom")).alias("area"), rounded(st("length", "geom")).alias("length"),
+        st("is_valid", "geom").alias("valid"), st("covers", "geom", centre).alias("centre_of_box_inside"),
+    )
+
+
+@query(oracle("""SELECT CASE WHEN pid % 5 = 0 THEN 'unreadable' WHEN pid % 5 = 1 THEN 'invalid' ELSE 'sound' END AS kind, count(*) AS n, CAST(count(*) FILTER (WHERE pid % 5 > 1 AND cut > 0) AS BIGINT) AS n_left,
+sum(CASE WHEN pid % 5 > 1 THEN cut * h END) AS area FROM footprint GROUP BY 1"""))
+def g1_broken_rows(spark, d):
+    """Every fifth geometry is cut off and every fifth a bow tie: those give empty differences, are told apart, and stop nothing."""
+    b = _buildings(spark, d).join(table(spark, d, "footprint").select("pid", "x0", "y0"), "pid")
+    x, y, w, h, k = F.col("x0"), F.col("y0"), F.col("w"), F.col("h"), F.col("pid") % 5
+    bow = st("polygon_of", F.array(x, y, x + w, y + h, x + w, y, x, y + h, x, y))
+    b = b.withColumn("geom", F.when(k == 0, F.expr("substring(geom, 1, 30)")).when(k == 1, bow).otherwise(F.col("geom")))
+    told = b.select("cut", k.alias("k"), st("readable", "geom").alias("ok"), st("is_valid", "geom").alias("valid"), st("difference", "geom", "topo").alias("d"))
+    kind = F.when(~F.col("ok"), "unreadable").when(~F.col("valid"), "invalid").otherwise("sound")
+    sound = F.col("k") > 1
+    return told.groupBy(kind.alias("kind")).agg(F.count("*").alias("n"), F.count_if(sound & ~st("is_empty", "d")).alias("n_left"), F.sum(F.when(sound, st("area", "d"))).alias("area"))
