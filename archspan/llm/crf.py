@@ -34,6 +34,7 @@ from . import common
 from .wordbpe import LETTER, classes, spread
 
 PER_LANGUAGE = 250
+PARTS = 16  # of a language, in which the sample is drawn first
 JOINED = 0.5  # joined passages, a sampled document
 PASSAGE = (5, 40)  # words of a passage
 HASHED = 1 << 17
@@ -294,8 +295,10 @@ def train(texts: list[str], langs: list[str], rounds: int = ROUNDS) -> Crf:
 def fit(docs: DataFrame, where, per_language: int = PER_LANGUAGE) -> Crf:
     """A model from at most per_language documents of each language, of those that where allows and that have text and lang."""
     chosen = docs.where(where).where("lang IS NOT NULL AND text IS NOT NULL").select("doc_id", "text", "lang")
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = chosen.select("lang", "doc_id").distinct().withColumn("n", F.row_number().over(order)).where(F.col("n") <= per_language).drop("n")
+    ids = chosen.select("lang", "doc_id").distinct().withColumn("part", F.pmod(F.xxhash64(F.lit(7), "doc_id"), F.lit(PARTS)))
+    for keys in (["lang", "part"], ["lang"]):  # first within parts of a language, since one may hold most rows
+        order = Window.partitionBy(*keys).orderBy(F.xxhash64("doc_id"), "doc_id")
+        ids = ids.withColumn("n", F.row_number().over(order)).where(F.col("n") <= per_language).drop("n")
     same = [chosen["doc_id"].eqNullSafe(F.col("__id")), chosen["lang"] == F.col("__lang")]
     rows = chosen.join(F.broadcast(ids.select(F.col("doc_id").alias("__id"), F.col("lang").alias("__lang"))), same, "left_semi")
     rows = rows.groupBy("lang", "doc_id").agg(F.min("text").alias("text")).toPandas().sort_values(["doc_id", "lang"])
