@@ -8,6 +8,19 @@ from pyspark.sql import functions as F
 from ..storage import durable, forget, new_path, shared_dir  # noqa: F401
 
 
+ROWS_A_FILE = 20_000
+
+
+def files_for(rows: int) -> int:
+    """In how many files a table of so many rows is written at most: few for a small table, however many partitions its shuffle has."""
+    return max(8, rows // ROWS_A_FILE)
+
+
+def written(df: DataFrame, tag: str, files: int) -> DataFrame:
+    """durable() in at most so many files; their tasks take several partitions one after the other."""
+    return durable(df.coalesce(files), tag)
+
+
 def small(ids: DataFrame, most: int = 1_000_000) -> DataFrame:
     """ids, a written table of one long a row, marked for broadcast while it has at most most rows (8 MB); beyond that, joins shuffle."""
     return F.broadcast(ids) if ids.count() <= most else ids

@@ -81,10 +81,10 @@ def _star(pairs: DataFrame, large: bool, n: int) -> DataFrame:
     return there.unionByName(least.select("u", F.col("m").alias("v"))).where("u > v").distinct()
 
 
-def connected_components(edges: DataFrame) -> DataFrame:
+def connected_components(edges: DataFrame, files: int | None = None) -> DataFrame:
     """node, component (the least node that can be reached): nodes of edges (u, v) alone. Null ends and loops are no edges, and repeated edges count once."""
     kept = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    now = common.durable(kept, "edges")
+    now = common.written(kept, "edges", files) if files else common.durable(kept, "edges")
     if now.schema["u"].dataType.simpleString() == "bigint" and now.count() <= FEW:
         return _together(now)
     now = common.durable(now.distinct(), "edges")

@@ -82,9 +82,9 @@ def drop_lines(docs: DataFrame, host: str = "source", percent: int = PERCENT, le
     """docs with their boilerplate lines gone from text, but no text gone with all its copies; n_chars, where there is such a column, follows."""
     out = marked(docs, host, percent, least, once=True)
     stripped = (F.col("__dropped") > 0) & (F.trim(F.translate("__clean", "\n", " ")) != "")
-    near = neardup.near_duplicates(common.durable(out.where(stripped).select("doc_id", "text"), "stripped"))
-    first = near.where("NOT kept").select(F.col("component_id").alias("__first")).distinct()
-    out = out.join(common.small(common.durable(first, "first")), F.col("doc_id").cast("bigint") == F.col("__first"), "left")
+    lost = common.durable(out.where(stripped).select("doc_id", "text"), "stripped")
+    first = neardup.near_duplicates(lost).where("NOT kept").select(F.col("component_id").alias("__first")).distinct()
+    out = out.join(common.small(common.written(first, "first", common.files_for(lost.count()))), F.col("doc_id").cast("bigint") == F.col("__first"), "left")
     out = out.withColumn("text", F.when(stripped & F.col("__first").isNull(), F.col("__clean")).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))

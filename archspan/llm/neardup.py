@@ -31,7 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common
@@ -50,8 +50,8 @@ DEVIATIONS = 5  # of the estimate, below the threshold, up to which pairs are co
 PAIRS_AT_ONCE = 40_000
 EXACT_BLOCK = 256  # sets whose intersections are taken at once
 SHINGLES = 500_000  # of a block of a family, at most: with fewer in all, blocks are smaller,
-PARTS, LEAST_SHINGLES = 32, 10_000  # so that there are about so many, but none smaller than this
-PEELS = 4
+PARTS, LEAST_SHINGLES = 8, 10_000  # so that there are about so many, but none smaller than this
+PEEL_FROM, PEELS = 5_000_000, 4  # shingles of all families from which it pays to rule classes out first
 COLUMNS = 4096
 
 
@@ -183,9 +183,9 @@ def joined(rows: DataFrame, groups: DataFrame, keys: list[str], hot: int) -> Dat
     return rows.join(large, keys, "left_anti").join(others, keys).unionByName(rows.join(large, keys))
 
 
-def dealt_in_blocks(bands: DataFrame, hot: int) -> DataFrame:
+def dealt_in_blocks(bands: DataFrame, hot: int, files: int) -> DataFrame:
     """key, size, node, block of the bands of buckets with several classes."""
-    buckets = common.durable(bands.groupBy("key").agg(F.count("*").alias("size"), F.min("node").alias("least")).where("size > 1"), "sizes")
+    buckets = common.written(bands.groupBy("key").agg(F.count("*").alias("size"), F.min("node").alias("least")).where("size > 1"), "sizes", files)
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     own = F.when(F.col("node") == F.col("least"), F.sequence(F.lit(0), blocks - 1)).otherwise(F.array(F.pmod(F.xxhash64("node"), blocks).cast("int")))
     return joined(bands, buckets, ["key"], hot).select("key", "size", "node", F.explode(own).alias("block"))
@@ -236,7 +236,7 @@ def intersections(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray
     return out
 
 
-def member_sets(members: DataFrame, texts: DataFrame, words: int) -> DataFrame:
+def member_sets(members: DataFrame, texts: DataFrame, words: int, files: int) -> DataFrame:
     """k, family, component, node, n, h (shingles) of members (family, node, component); texts: node, text."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -246,19 +246,19 @@ def member_sets(members: DataFrame, texts: DataFrame, words: int) -> DataFrame:
             yield pa.record_batch([*(b.column(c) for c in ("family", "component", "node")), pa.array(n, pa.int64()), lists], names=["family", "component", "node", "n", "h"])
 
     held = members.select("family", "component", "node").join(texts, "node").mapInArrow(rows, "family long, component long, node long, n long, h array<long>")
-    return common.durable(held.withColumn("k", F.monotonically_increasing_id()), "members")
+    return common.written(held.withColumn("k", F.monotonically_increasing_id()), "members", files)
 
 
 def reachable(members: DataFrame, percent: int) -> DataFrame:
-    """Members whose shingles are shared with other components of the family often enough for a link with a set of any size there.
+    """Where there are many: members whose shingles are shared with other components of the family often enough for a link with a set of any size there.
 
     Sets of n and m shingles that share s are linked where (100 + percent) * s >= percent * (n + m), and m is at least
     percent of n and no less than the family's least size.
     """
     before = None
     for _ in range(PEELS):
-        total = members.count()
-        if total == 0 or before is not None and total > 0.7 * before:  # few went: blocks are cheaper now
+        total = members.agg(F.sum("n")).first()[0] or 0
+        if total < PEEL_FROM or before is not None and total > 0.7 * before:  # few went: blocks are cheaper now
             break
         before = total
         each = members.select("family", "component", "k", F.explode("h").alias("s"))
@@ -274,26 +274,37 @@ def reachable(members: DataFrame, percent: int) -> DataFrame:
 
 
 def blocks_of(members: DataFrame, percent: int) -> DataFrame:
-    """Members dealt in pairs of blocks: those of one level of sizes with each other, and with those of the next level. right marks the second block of a pair."""
-    level = (F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / percent)) + 1e-9) if percent < 100 else 2 * F.col("n")).cast("int")
-    m = members.withColumn("level", level)
-    total = members.agg(F.sum("n")).first()[0] or 0
-    size = min(SHINGLES, max(LEAST_SHINGLES, total // PARTS))
-    sizes = m.groupBy("family", "level").agg(F.ceil(F.sum("n") / size).cast("int").alias("own"), F.count("*").alias("size"))
-    upper = sizes.select("family", (F.col("level") - 1).alias("level"), F.col("own").alias("above"))
-    lower = sizes.select("family", (F.col("level") + 1).alias("level"), F.col("own").alias("below"))
-    sizes = common.durable(sizes.join(upper, ["family", "level"], "left").join(lower, ["family", "level"], "left"), "levels")
-    m = joined(m, sizes, ["family", "level"], hot_from(members))
-    i, none = F.pmod(F.xxhash64("k"), F.col("own")).cast("int"), F.array().cast("array<struct<level: int, i: int, up: boolean, j: int, right: boolean>>")
-
-    def place(level, i, up, j, right):
-        return F.struct(level.cast("int").alias("level"), i.cast("int").alias("i"), F.lit(up).alias("up"), j.cast("int").alias("j"), F.lit(right).alias("right"))
+    """Members dealt in pairs of blocks (family, x, i, y, j); right marks the second block's rows.
 
-    same = F.transform(F.sequence(F.lit(0), F.col("own") - 1), lambda j: F.when(j >= i, place(F.col("level"), i, False, j, False)).otherwise(place(F.col("level"), j, False, i, True)))
-    left = F.when(F.col("above").isNull(), none).otherwise(F.transform(F.sequence(F.lit(0), F.col("above") - 1), lambda j: place(F.col("level"), i, True, j, False)))
-    right = F.when(F.col("below").isNull(), none).otherwise(F.transform(F.sequence(F.lit(0), F.col("below") - 1), lambda j: place(F.col("level") - 1, j, True, i, True)))
-    at = F.explode(F.concat(same, left, right)).alias("at")
-    return m.select("family", "component", "node", "h", at).select("family", "at.*", "component", "node", "h")
+    A unit is a level of sizes, of which only it and the next one can be linked, and whether its rows are of the family's
+    largest component, whose rows needn't meet each other. x and y are units, i and j blocks of them.
+    """
+    total = members.agg(F.sum("n")).first()[0] or 0
+    block = min(SHINGLES, max(LEAST_SHINGLES, total // PARTS))
+    level = (F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / percent)) + 1e-9) if percent < 100 else 2 * F.col("n")).cast("int")
+    main = members.groupBy("family", "component").agg(F.count("*").alias("c")).groupBy("family").agg(F.max_by("component", F.struct("c", "component")).alias("main"), F.sum("c").alias("size"))
+    hot = hot_from(members)
+    m = joined(members, common.written(main, "main", 8), ["family"], hot).drop("size")
+    m = m.withColumn("x", 2 * level + (F.col("component") == F.col("main")).cast("int"))
+    sizes = m.groupBy("family", "x").agg(F.ceil(F.sum("n") / block).cast("int").alias("own"), F.count("*").alias("c"))
+    sizes = sizes.groupBy("family").agg(F.map_from_entries(F.collect_list(F.struct("x", "own"))).alias("own"), F.sum("c").alias("size"))  # a few dozen levels each
+    m = joined(m, common.written(sizes, "units", 8), ["family"], hot)
+    blocks = lambda x: F.coalesce(F.try_element_at("own", x), F.lit(0))
+    i, rest = F.pmod(F.xxhash64("k"), blocks(F.col("x"))).cast("int"), F.col("x") % 2 == 0
+    at = lambda x, i, y, j, right: F.struct(x.cast("int").alias("x"), i.cast("int").alias("i"), y.cast("int").alias("y"), j.cast("int").alias("j"), right.alias("right"))
+
+    def with_unit(y: Column) -> Column:
+        def one(j: Column) -> Column:
+            first = (F.col("x") < y) | ((F.col("x") == y) & (i <= j))
+            return F.when(first, at(F.col("x"), i, y, j, F.lit(False))).otherwise(at(y, j, F.col("x"), i, F.lit(True)))
+
+        places = F.sequence(F.lit(0), F.greatest(blocks(y) - 1, F.lit(0)))
+        return F.filter(F.transform(places, one), lambda _: blocks(y) > 0)
+
+    even = F.col("x") - F.col("x") % 2
+    units = F.flatten(F.transform(F.array(even, even + 2, even - 2), lambda u: F.when(rest, F.array(u, u + 1)).otherwise(F.array(u))))
+    dealt = m.select("family", "component", "node", "h", F.explode(F.flatten(F.transform(units, with_unit))).alias("at"))
+    return dealt.select("family", "at.*", "component", "node", "h")
 
 
 def across(dealt: DataFrame, percent: int) -> DataFrame:
@@ -301,7 +312,7 @@ def across(dealt: DataFrame, percent: int) -> DataFrame:
 
     A task hands on the links that join components anew in a block, so fewer than it has rows.
     """
-    keys = ["family", "level", "i", "up", "j"]
+    keys = ["family", "x", "i", "y", "j"]
 
     def links(c: dict, one: np.ndarray, two: np.ndarray) -> pa.RecordBatch | None:
         sets = [c["h"][k] for k in (*one, *two)]
@@ -319,7 +330,7 @@ def across(dealt: DataFrame, percent: int) -> DataFrame:
             for s, n in zip(np.cumsum(sizes) - sizes, sizes, strict=True):
                 at = np.arange(s, s + n)
                 left, right = at[~c["right"][at]], at[c["right"][at]]
-                within = not c["up"][s] and c["i"][s] == c["j"][s]
+                within = c["x"][s] == c["y"][s] and c["i"][s] == c["j"][s]
                 for k in range(0, len(left), EXACT_BLOCK):
                     for m in range(k if within else 0, len(left if within else right), EXACT_BLOCK):
                         told = links(c, left[k : k + EXACT_BLOCK], (left if within else right)[m : m + EXACT_BLOCK])
@@ -329,17 +340,17 @@ def across(dealt: DataFrame, percent: int) -> DataFrame:
     return dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(rows, "u long, v long").distinct()
 
 
-def open_families(dealt: DataFrame, found: DataFrame, hot: int) -> DataFrame | None:
+def open_families(dealt: DataFrame, found: DataFrame, hot: int, files: int) -> DataFrame | None:
     """(family, node, component): classes that meet in large buckets of several components; None where there are none."""
     large = dealt.where(F.col("size") > SMALL).select("key", "size", "node").distinct()
     large = large.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     mixed_keys = large.groupBy("key", "size").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("node").alias("least")).where("lo <> hi")
-    mixed_keys = common.durable(mixed_keys.select("key", "size", "least"), "mixed")
-    there = common.durable(joined(large.select("key", "node", "component"), mixed_keys, ["key"], hot).select("node", "least", "component").distinct(), "open")
+    mixed_keys = common.written(mixed_keys.select("key", "size", "least"), "mixed", files)
+    there = common.written(joined(large.select("key", "node", "component"), mixed_keys, ["key"], hot).select("node", "least", "component").distinct(), "open", files)
     if there.isEmpty():
         return None
-    family = connected_components(there.select(F.col("node").alias("u"), F.col("least").alias("v"))).withColumnRenamed("component", "family")
-    nodes = common.durable(there.select("node", "component").distinct().join(family, "node"), "families")
+    family = connected_components(there.select(F.col("node").alias("u"), F.col("least").alias("v")), files).withColumnRenamed("component", "family")
+    nodes = common.written(there.select("node", "component").distinct().join(family, "node"), "families", files)
     return nodes.select("family", "node", "component")
 
 
@@ -373,25 +384,26 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     sets = common.durable(describe(docs, words), "sets")
     # rows of one id are one document, and rows of one set are one class
     by_set = sets.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("f1", "f2").agg(F.min("doc_id").alias("node"))
-    by_set = common.durable(by_set, "classes")
+    files = common.files_for(sets.count())  # of the tables that follow, which have a few rows a text at most
+    by_set = common.written(by_set, "classes", files)
     one = sets.where("n_shingles > 0").selectExpr("doc_id AS node", "f1", "f2", "n_shingles AS n", "sketch")
-    classes = common.durable(one.join(by_set.select("f1", "f2", "node"), ["f1", "f2", "node"]).dropDuplicates(["f1", "f2", "node"]).drop("f1", "f2"), "nodes")
+    classes = common.written(one.join(by_set.select("f1", "f2", "node"), ["f1", "f2", "node"]).dropDuplicates(["f1", "f2", "node"]).drop("f1", "f2"), "nodes", files)
 
     bands = common.durable(band_keys(classes), "bands")
     hot = hot_from(bands)
-    dealt = common.durable(dealt_in_blocks(bands, hot), "buckets")
-    pairs = common.durable(candidates(dealt.join(classes, "node"), percent), "pairs")
+    dealt = common.written(dealt_in_blocks(bands, hot, files), "buckets", files)
+    pairs = common.written(candidates(dealt.join(classes, "node"), percent), "pairs", files)
 
-    links = common.durable(confirm(pairs, texts_of(pairs, docs), words, percent), "links")
-    if (shared := links_of_shared_ids(sets)) is not None:
+    links = common.written(confirm(pairs, texts_of(pairs, docs, files), words, percent), "links", files)
+    if (shared := links_of_shared_ids(sets, files)) is not None:
         links = links.unionByName(shared)
-    found = common.durable(connected_components(links), "found")
+    found = common.written(connected_components(links, files), "found", files)
 
-    if (members := open_families(dealt, found, hot)) is not None:
-        texts = texts_of(members.select(F.col("node").alias("a"), F.col("node").alias("b")), docs)
-        left = reachable(member_sets(members, texts, words), percent)
-        links = links.unionByName(common.durable(across(blocks_of(left, percent), percent), "more"))
-        found = common.durable(connected_components(links), "found")
+    if (members := open_families(dealt, found, hot, files)) is not None:
+        texts = texts_of(members.select(F.col("node").alias("a"), F.col("node").alias("b")), docs, files)
+        left = reachable(member_sets(members, texts, words, files), percent)
+        links = links.unionByName(common.written(across(blocks_of(left, percent), percent), "more", files))
+        found = common.written(connected_components(links, files), "found", files)
     common.forget(classes, bands, dealt, pairs)
 
     node = by_set.join(found, "node", "left").select("f1", "f2", F.coalesce("component", "node").alias("component_id"))
@@ -408,19 +420,21 @@ def one_of_each(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) ->
     odd = docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 OR doc_id IS NULL")
     if odd.isEmpty():
         gone = near_duplicates(docs, words, percent).where("NOT kept").select(F.col("doc_id").cast(kind).alias("doc_id"))
-        return docs.join(common.small(common.durable(gone, "gone")), "doc_id", "left_anti").select(docs.columns)
+        gone = common.written(gone, "gone", common.files_for(docs.count()))
+        return docs.join(common.small(gone), "doc_id", "left_anti").select(docs.columns)
     rows = common.durable(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
     found = near_duplicates(rows.select(F.col("__row").alias("doc_id"), "text"), words, percent).select(F.col("doc_id").alias("__row"), "component_id")
     ids = rows.select("__row", F.col("doc_id").cast("bigint").alias("id")).join(found, "__row")
     least = ids.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull(), "id", "__row"))["__row"].alias("__row"))
     gone = ids.select("__row").join(least, "__row", "left_anti")
-    return rows.join(common.small(common.durable(gone, "gone")), "__row", "left_anti").select(docs.columns)
+    gone = common.written(gone, "gone", common.files_for(rows.count()))
+    return rows.join(common.small(gone), "__row", "left_anti").select(docs.columns)
 
 
-def links_of_shared_ids(sets: DataFrame) -> DataFrame | None:
+def links_of_shared_ids(sets: DataFrame, files: int) -> DataFrame | None:
     """Links between the classes that rows of one repeated id belong to; None where ids are unique."""
     ids = sets.where("n_shingles > 0 AND doc_id IS NOT NULL").select("doc_id", "f1", "f2")
-    many = common.durable(ids.groupBy("doc_id").agg(F.min("f1").alias("lo"), F.max("f1").alias("hi")).where("lo <> hi").select("doc_id"), "ids")
+    many = common.written(ids.groupBy("doc_id").agg(F.min("f1").alias("lo"), F.max("f1").alias("hi")).where("lo <> hi").select("doc_id"), "ids", files)
     if many.isEmpty():
         return None
     mine = ids.join(many, "doc_id").distinct()
@@ -428,8 +442,8 @@ def links_of_shared_ids(sets: DataFrame) -> DataFrame | None:
     return common.durable(mine.join(least, ["f1", "f2"]).select(F.col("doc_id").alias("u"), F.col("node").alias("v")), "shared")
 
 
-def texts_of(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+def texts_of(pairs: DataFrame, docs: DataFrame, files: int) -> DataFrame:
     """node, text of the nodes of pairs (a, b): a row for each distinct text of an id, so one where ids are unique."""
     nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
     texts = docs.selectExpr("cast(doc_id as bigint) AS node", "text")
-    return common.durable(texts.join(common.small(common.durable(nodes, "wanted")), "node", "left_semi").distinct(), "texts")
+    return common.written(texts.join(common.small(common.written(nodes, "wanted", files)), "node", "left_semi").distinct(), "texts", files)
