@@ -75,7 +75,7 @@ def s17_k10_geojson(spark, d):
     folder = storage.new_path(spark, "geojson")
     line = F.array(F.array("x1", "y1"), F.array("x2", "y2"))
     e = table(spark, d, "kind").select(documents.feature(to_geojson(line), F.struct("identificatie", "edge_type")).alias("f"))
-    documents.write_geojson_collections(e.coalesce(4), "f", folder)
+    documents.write_geojson_collections(e, "f", folder)
     back = documents.read_geojson(spark, folder, ["identificatie", "edge_type"], "LineString")
     return back.select(F.col("properties")["identificatie"].alias("identificatie"), F.col("properties")["edge_type"].alias("edge_type")).distinct()
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 GEOMETRY = "struct<type: string, coordinates: string>"
 COLLECTION = f"struct<type: string, name: string, features: array<struct<type: string, properties: map<string, string>, geometry: {GEOMETRY}>>>"
+FILE_CHARS = 2_000_000  # fixed value: what a file of features holds, since it is read whole
 CAMERA = "image_id string, width int, height int, cx double, cy double, cz double, omega double, phi double, kappa double, fx double, fy double, px double, py double"
 
 
@@ -41,22 +42,30 @@ def write_geojson_lines(features: DataFrame, column: str, path: str) -> None:
     features.select(F.col(column).alias("value")).write.mode("overwrite").text(path)
 
 
-def write_geojson_collections(features: DataFrame, column: str, path: str) -> None:
-    """Files that are each a whole FeatureCollection: one a partition, its features streamed."""
+def write_geojson_collections(features: DataFrame, column: str, path: str, most: int = FILE_CHARS) -> None:
+    """Files that are each a whole FeatureCollection of at most most characters, or of one feature: a partition goes to as many as it fills.
+
+    A reader takes a file's text at once, so files must not grow with the table.
+    """
+    head, tail = '{"type":"FeatureCollection","features":[\n', "\n]}"
 
     def rows(batches):
         import pandas as pd
 
-        first = True
-        yield pd.DataFrame({"value": ['{"type":"FeatureCollection","features":[']})
+        whole = lambda t: pd.DataFrame({"value": [head + "\n,".join(t) + tail]})
+        texts, size, written = [], len(head) + len(tail), False
         for pdf in batches:
-            texts = pdf["value"].tolist()
-            if texts:
-                yield pd.DataFrame({"value": [t if first and not i else "," + t for i, t in enumerate(texts)]})
-                first = False
-        yield pd.DataFrame({"value": ["]}"]})
-
-    features.select(F.col(column).alias("value")).where("value IS NOT NULL").mapInPandas(rows, "value string").write.mode("overwrite").text(path)
+            for t in pdf["value"]:
+                if texts and size + len(t) + 2 > most:
+                    yield whole(texts)
+                    texts, size, written = [], len(head) + len(tail), True
+                texts.append(t)
+                size += len(t) + 2
+        if texts or not written:
+            yield whole(texts)
+
+    values = features.select(F.col(column).alias("value")).where("value IS NOT NULL")
+    values.mapInPandas(rows, "value string").write.mode("overwrite").option("maxRecordsPerFile", 1).text(path)
 
 
 def read_cameras(spark: SparkSession, path: str) -> DataFrame:

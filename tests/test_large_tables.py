@@ -25,3 +25,19 @@ PART = "SELECT CAST({} AS BIGINT) AS p_partkey, CAST(i % 50 AS INT) AS p_size FR
 def test_most_central_point_where_ids_outweigh_distances(spark, tmp_path):
     line = "SELECT CAST(i * 40000 AS BIGINT) AS l_orderkey, CAST(i % 100 AS BIGINT) AS l_partkey, CAST(i % 24 AS BIGINT) AS l_suppkey, CAST(i % 5 AS INT) AS l_linenumber, 4.0 AS l_quantity FROM range(3000) t(i)"
     agrees(spark, tmp_path, "t10_most_central", lineitem=line)
+
+
+def test_geojson_files_do_not_grow_with_a_partition(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from archspan.sources import documents
+
+    point = F.lit('{"type":"Point","coordinates":[1,2]}')
+    f = spark.range(0, 30_000, 1, 1).select(documents.feature(point, F.struct(F.col("id").alias("n"))).alias("f"))
+    documents.write_geojson_collections(f, "f", str(tmp_path / "g"))
+    files = list((tmp_path / "g").glob("part-*"))
+    assert len(files) > 1 and max(p.stat().st_size for p in files) <= 2_000_001
+    back = documents.read_geojson(spark, str(tmp_path / "g"), ["n"], "Point")
+    assert sorted(int(r["n"]) for r in back.select(F.col("properties")["n"].alias("n")).collect()) == list(range(30_000))
+    documents.write_geojson_collections(f.where("false"), "f", str(tmp_path / "empty"))
+    assert documents.read_geojson(spark, str(tmp_path / "empty"), ["n"], "Point").count() == 0
