@@ -9,14 +9,18 @@ before they filter on it.
 from __future__ import annotations
 
 import hashlib
+import math
 import os
 import subprocess
 import tempfile
+from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+from .binding import bind
+
 KERNEL = Path(__file__).resolve().parent.parent / "kernel"
 
 # The kernel's classes and their Spark result types.
@@ -152,21 +156,111 @@ def to_geojson(coordinates: Column, kind: str = "LineString") -> Column:
     return F.to_json(F.struct(F.lit(kind).alias("type"), coordinates.alias("coordinates")))
 
 
+# The grid's double stereographic projection, the ellipsoids (half axis, squared eccentricity), and the shift from Bessel's to that of WGS84.
+_CENTRE, _SCALE, _FALSE = (math.radians(5 + 23 / 60 + 15.5 / 3600), math.radians(52 + 9 / 60 + 22.178 / 3600)), 0.9999079, (155000.0, 463000.0)
+_BESSEL, _WGS84 = ((a, (2 - 1 / f) / f) for a, f in ((6377397.155, 299.1528128), (6378137.0, 298.257223563)))
+_MOVE, _TURN, _GROW = (565.417, 50.3319, 465.552), [math.radians(v / 3600) for v in (-0.398957, 0.343988, -1.8774)], 1 + 4.0725e-6
+_HELMERT = [[_GROW, -_GROW * _TURN[2], _GROW * _TURN[1]], [_GROW * _TURN[2], _GROW, -_GROW * _TURN[0]], [-_GROW * _TURN[1], _GROW * _TURN[0], _GROW]]
+
+
+def _inverse(m: list[list[float]]) -> list[list[float]]:
+    cof = [[m[(j + 1) % 3][(i + 1) % 3] * m[(j + 2) % 3][(i + 2) % 3] - m[(j + 1) % 3][(i + 2) % 3] * m[(j + 2) % 3][(i + 1) % 3] for j in range(3)] for i in range(3)]
+    det = sum(m[0][j] * cof[j][0] for j in range(3))
+    return [[v / det for v in r] for r in cof]
+
+
+def _sphere() -> tuple[float, float, float, float]:
+    """Of the conformal sphere: its radius, the exponent n, half the logarithm of c, and the centre's latitude."""
+    e2, phi = _BESSEL[1], _CENTRE[1]
+    e, sin = math.sqrt(e2), math.sin(phi)
+    radius = _BESSEL[0] * math.sqrt(1 - e2) / (1 - e2 * sin**2)
+    n = math.sqrt(1 + e2 * math.cos(phi) ** 4 / (1 - e2))
+    w = math.exp(2 * n * (math.asinh(math.tan(phi)) - e * math.atanh(e * sin)))
+    chi = (w - 1) / (w + 1)
+    c = (n + sin) * (1 - chi) / ((n - sin) * (1 + chi))
+    return radius, n, math.log(c) / 2, math.asin((c * w - 1) / (c * w + 1))
+
+
+def _named(**values: Column) -> Column:
+    return F.struct(*[v.alias(k) for k, v in values.items()])
+
+
+def _geocentric(lon: Column, lat: Column, h: Column, ellipsoid: tuple[float, float]) -> Column:
+    a, e2 = ellipsoid
+    n = a / F.sqrt(1 - e2 * F.pow(F.sin(lat), F.lit(2)))
+    return bind(_named(n=n, lon=lon, lat=lat, h=h), lambda v: _named(x=(v["n"] + v["h"]) * F.cos(v["lat"]) * F.cos(v["lon"]), y=(v["n"] + v["h"]) * F.cos(v["lat"]) * F.sin(v["lon"]), z=(v["n"] * (1 - e2) + v["h"]) * F.sin(v["lat"])))
+
+
+def _geodetic(at: Column, ellipsoid: tuple[float, float]) -> Column:
+    """struct(lon, lat, h) of a geocentric point near the surface, by Bowring's formula."""
+    a, e2 = ellipsoid
+    b = a * math.sqrt(1 - e2)
+
+    def latitude(v: Column) -> Column:
+        high = v["z"] + e2 / (1 - e2) * b * F.pow(F.sin(v["t"]), F.lit(3))
+        return _named(p=v["p"], z=v["z"], lon=v["lon"], lat=F.atan2(high, v["p"] - e2 * a * F.pow(F.cos(v["t"]), F.lit(3))))
+
+    def height(v: Column) -> Column:
+        return v["p"] * F.cos(v["lat"]) + v["z"] * F.sin(v["lat"]) - a * F.sqrt(1 - e2 * F.pow(F.sin(v["lat"]), F.lit(2)))
+
+    flat = bind(at, lambda q: _named(p=F.hypot(q["x"], q["y"]), z=q["z"], lon=F.atan2(q["y"], q["x"])))
+    turned = bind(flat, lambda v: _named(p=v["p"], z=v["z"], lon=v["lon"], t=F.atan2(v["z"] * a, v["p"] * b)))
+    return bind(bind(turned, latitude), lambda v: _named(lon=v["lon"], lat=v["lat"], h=height(v)))
+
+
+def _shifted(at: Column, back: bool) -> Column:
+    """A geocentric point of Bessel's ellipsoid in WGS84, or back."""
+    m = _inverse(_HELMERT) if back else _HELMERT
+    d = [at[k] - _MOVE[i] if back else at[k] for i, k in enumerate("xyz")]
+    return _named(**{k: sum((c * v for c, v in zip(m[i], d, strict=True)), F.lit(0.0 if back else _MOVE[i])) for i, k in enumerate("xyz")})
+
+
 def rd_to_wgs84(x: Column, y: Column) -> tuple[Column, Column]:
-    """Longitude and latitude of Dutch grid coordinates by the published polynomial approximation (metres of error in the sub-metre range)."""
-    p, q = (x - 155000) * 1e-5, (y - 463000) * 1e-5
-    # Coefficients by powers of p and q, in seconds of arc.
-    north = {(0, 1): 3235.65389, (2, 0): -32.58297, (0, 2): -0.2475, (2, 1): -0.84978, (0, 3): -0.0655, (2, 2): -0.01709, (1, 0): -0.00738, (4, 0): 0.0053, (2, 3): -0.00039, (4, 1): 0.00033, (1, 1): -0.00012}
-    east = {(1, 0): 5260.52916, (1, 1): 105.94684, (1, 2): 2.45656, (3, 0): -0.81885, (1, 3): 0.05594, (3, 1): -0.05607, (0, 1): 0.01199, (3, 2): -0.00256, (1, 4): 0.00128, (0, 2): 0.00022, (2, 0): -0.00022, (5, 0): 0.00026}
-    total = lambda t: sum((F.pow(p, F.lit(i)) * F.pow(q, F.lit(j)) * c for (i, j), c in t.items()), F.lit(0.0))
-    return 5.38720621 + total(east) / 3600, 52.15517440 + total(north) / 3600
+    """Longitude and latitude of Dutch grid coordinates: the inverse projection and the seven-parameter shift of points on Bessel's ellipsoid. Holds at any distance, where the published polynomials hold in the Netherlands alone."""
+    radius, n, half_c, chi = _sphere()
+    e = math.sqrt(_BESSEL[1])
+    k = radius * _SCALE
+    sin, cos = math.sin(chi), math.cos(chi)
+
+    def direction(v: Column) -> Column:
+        t = (v["x"] * v["x"] + v["y"] * v["y"]) / (4 * k * k)
+        part = 1 / (k * (1 + t))
+        return _named(x=(1 - t) / (1 + t) * cos - v["y"] * part * sin, y=v["x"] * part, z=(1 - t) / (1 + t) * sin + v["y"] * part * cos)
+
+    def steeper(psi: Column) -> Callable[[Column, Column], Column]:
+        return lambda tan, _: bind(tan / F.sqrt(1 + tan * tan), lambda s: F.sinh(psi + e * F.atanh(e * s)))
+
+    def latitude(v: Column) -> Column:
+        return F.atan(F.aggregate(F.sequence(F.lit(1), F.lit(8)), F.sinh(v["psi"]), steeper(v["psi"])))
+
+    d = bind(_named(x=x - _FALSE[0], y=y - _FALSE[1]), direction)
+    own = bind(d, lambda v: _named(lon=_CENTRE[0] + F.atan2(v["y"], v["x"]) / n, psi=(F.asinh(v["z"] / F.hypot(v["x"], v["y"])) - half_c) / n))
+    own = bind(own, lambda v: _named(lon=v["lon"], lat=latitude(v)))
+    there = bind(own, lambda v: _geocentric(v["lon"], v["lat"], F.lit(0.0), _BESSEL))
+    g = _geodetic(bind(there, lambda v: _shifted(v, False)), _WGS84)
+    return F.degrees(g["lon"]), F.degrees(g["lat"])
 
 
 def wgs84_to_rd(lon: Column, lat: Column) -> tuple[Column, Column]:
-    """Dutch grid coordinates of longitude and latitude by the published polynomial approximation."""
-    p, q = 0.36 * (lat - 52.15517440), 0.36 * (lon - 5.38720621)
-    # Coefficients by powers of p and q, in metres.
-    east = {(0, 1): 190094.945, (1, 1): -11832.228, (2, 1): -114.221, (0, 3): -32.391, (1, 0): -0.705, (3, 1): -2.34, (1, 3): -0.608, (0, 2): -0.008, (2, 3): 0.148}
-    north = {(1, 0): 309056.544, (0, 2): 3638.893, (2, 0): 73.077, (1, 2): -157.984, (3, 0): 59.788, (0, 1): 0.433, (2, 2): -6.439, (1, 1): -0.032, (0, 4): 0.092, (1, 4): -0.054}
-    total = lambda t: sum((F.pow(p, F.lit(i)) * F.pow(q, F.lit(j)) * c for (i, j), c in t.items()), F.lit(0.0))
-    return 155000 + total(east), 463000 + total(north)
+    """Dutch grid coordinates of longitude and latitude: the inverse of rd_to_wgs84, at the height that lies on Bessel's ellipsoid."""
+    radius, n, half_c, chi = _sphere()
+    e = math.sqrt(_BESSEL[1])
+    sin, cos = math.sin(chi), math.cos(chi)
+    place = _named(lon=F.radians(lon), lat=F.radians(lat))
+
+    def on_bessel(h: Callable[[Column], Column]) -> Column:
+        there = bind(place, lambda v: _geocentric(v["lon"], v["lat"], h(v), _WGS84))
+        return _geodetic(bind(there, lambda v: _shifted(v, True)), _BESSEL)
+
+    own = on_bessel(lambda _: -on_bessel(lambda _: F.lit(0.0))["h"])
+
+    def projected(v: Column) -> Column:
+        below = 1 + F.tanh(v["chi"]) * sin + cos * F.cos(v["turn"]) / F.cosh(v["chi"])
+        scale = 2 * radius * _SCALE / below
+        return _named(x=_FALSE[0] + scale * F.sin(v["turn"]) / F.cosh(v["chi"]), y=_FALSE[1] + scale * (F.tanh(v["chi"]) * cos - F.cos(v["turn"]) * sin / F.cosh(v["chi"])))
+
+    off = lambda v: bind(v["lon"] - _CENTRE[0], lambda d: d - 2 * math.pi * F.round(d / (2 * math.pi)))
+    psi = lambda v: F.asinh(F.tan(v["lat"])) - e * F.atanh(e * F.sin(v["lat"]))
+    turned = bind(own, lambda v: _named(turn=n * off(v), chi=n * psi(v) + half_c))
+    at = bind(turned, projected)
+    return at["x"], at["y"]

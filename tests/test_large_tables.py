@@ -41,3 +41,14 @@ def test_geojson_files_do_not_grow_with_a_partition(spark, tmp_path):
     assert sorted(int(r["n"]) for r in back.select(F.col("properties")["n"].alias("n")).collect()) == list(range(30_000))
     documents.write_geojson_collections(f.where("false"), "f", str(tmp_path / "empty"))
     assert documents.read_geojson(spark, str(tmp_path / "empty"), ["n"], "Point").count() == 0
+
+
+def test_grid_coordinates_far_from_the_country(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from archspan.functions.geometry import rd_to_wgs84
+
+    agrees(spark, tmp_path, "g16_there_and_back", part=PART.format("i * 3001", 400))
+    lon, lat = rd_to_wgs84(F.lit(121687.43), F.lit(487484.06))
+    r = spark.range(1).select(lon, lat).first()
+    assert r[0] == pytest.approx(4.89801, abs=1e-5) and r[1] == pytest.approx(52.37422, abs=1e-5)
