@@ -96,7 +96,8 @@ def points_in_polygons(points: DataFrame, polygons: DataFrame, size: float, prep
     at = [F.struct(F.lit(n).alias("level"), F.floor(F.col("x") / (size * 2.0**n)).alias("cx"), F.floor(F.col("y") / (size * 2.0**n)).alias("cy")) for n in found or [0]]
     q = points.withColumn("__at", at[0] if len(at) == 1 else F.explode(F.array(*at)))
     within = (F.col("x") >= b[0]) & (F.col("x") < b[2]) & (F.col("y") >= b[1]) & (F.col("y") < b[3])
-    held = q.join(p, "__at").where(within & (F.col("__full") | planar.inside(F.col("x"), F.col("y"), F.col("edges"))))
+    # Cells of polygons are many times what their source's size lets the planner expect, so they must not be broadcast.
+    held = q.join(p.hint("merge"), "__at").where(within & (F.col("__full") | planar.inside(F.col("x"), F.col("y"), F.col("edges"))))
     return held.select(*points.columns, *key)
 
 

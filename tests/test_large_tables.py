@@ -43,6 +43,12 @@ def test_geojson_files_do_not_grow_with_a_partition(spark, tmp_path):
     assert documents.read_geojson(spark, str(tmp_path / "empty"), ["n"], "Point").count() == 0
 
 
+def test_cells_of_polygons_are_not_broadcast(spark, tmp_path):
+    line = "SELECT CAST(i AS BIGINT) AS l_orderkey, CAST(i % 100 AS BIGINT) AS l_partkey, CAST(i % 24 AS BIGINT) AS l_suppkey, CAST(i % 5 AS INT) AS l_linenumber, 4.0 AS l_quantity FROM range(3000) t(i)"
+    agrees(spark, tmp_path, "d19_shell_minus_holes", lineitem=line, part=PART.format("i", 100))
+    assert "Broadcast" not in plans.QUERIES["d19_shell_minus_holes"](spark, str(tmp_path))._jdf.queryExecution().toString()
+
+
 def test_grid_coordinates_far_from_the_country(spark, tmp_path):
     from pyspark.sql import functions as F
 
