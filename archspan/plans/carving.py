@@ -82,7 +82,8 @@ def d28_critical_walls(spark, d):
     """Walls on critical edges, each twice: the smaller one of two along each other goes."""
     u, b = _sites(spark, d)
     e = walls.critical_edges(u, b, 0.1, 0.05, 1.0)
-    shorter = e.withColumns({"edge_id": F.col("edge_id") + 1_000_000, "x1": F.col("x1") + 0.25 * F.signum(F.col("x2") - F.col("x1"))})
+    e = e.withColumn("edge_id", F.col("edge_id") * 2)
+    shorter = e.withColumns({"edge_id": F.col("edge_id") + 1, "x1": F.col("x1") + 0.25 * F.signum(F.col("x2") - F.col("x1"))})
     z = F.col("building_id") % 5
     faces = b.select("building_id", st("exterior_ring", "geom").alias("geom"), F.lit(1.0).alias("z0"), (z + 3.0).alias("z1"))
     w = walls.critical_walls(e.unionByName(shorter), faces, 0.1, 1.0)

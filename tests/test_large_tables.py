@@ -49,6 +49,16 @@ def test_cells_of_polygons_are_not_broadcast(spark, tmp_path):
     assert "Broadcast" not in plans.QUERIES["d19_shell_minus_holes"](spark, str(tmp_path))._jdf.queryExecution().toString()
 
 
+def test_critical_walls_of_edges_whose_ids_are_far_apart(spark, tmp_path, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from archspan.operators import walls
+
+    edges = walls.critical_edges
+    monkeypatch.setattr(walls, "critical_edges", lambda *a: edges(*a).withColumn("edge_id", F.col("edge_id") * 1_000_000))
+    agrees(spark, tmp_path, "d28_critical_walls", part=PART.format("i", 60))
+
+
 def test_grid_coordinates_far_from_the_country(spark, tmp_path):
     from pyspark.sql import functions as F
 
