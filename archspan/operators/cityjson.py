@@ -94,7 +94,7 @@ def inferred_kinds(new: DataFrame, sources: DataFrame, houses: DataFrame) -> Dat
     edges = F.flatten(F.transform(F.filter("rings", lambda r: F.size(r) >= 3), lambda r: bind(flattened(r, F.col("axis")), segments)))
     held = s.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("face", "kind", "n", "p", "axis", edges.alias("edges")))).alias("known"))
     mean = lambda c: F.aggregate("points", F.lit(0.0), lambda a, p: a + p[c]) / F.size("points")
-    f = once(new, n=unit(planar.newell(F.col("points"))), c=F.struct(*[mean(k).alias(k) for k in "xyz"])).join(held, "id", "left").join(houses.select("id", "min_z"), "id", "left")
+    f = once(new, n=unit(planar.newell(F.col("points"))), c=F.struct(*[mean(k).alias(k) for k in "xyz"])).join(held.hint("merge"), "id", "left").join(houses.select("id", "min_z").hint("merge"), "id", "left")  # a row a model on either side is never small
     dot = lambda a, b: a["x"] * b["x"] + a["y"] * b["y"] + a["z"] * b["z"]
 
     def fits(k: Column) -> Column:

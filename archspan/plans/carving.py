@@ -8,6 +8,7 @@ from ..functions import planar
 from ..functions.binding import once
 from ..functions.geometry import rectangle, register, st
 from ..operators import carving, cityjson, relational, walls
+from ..storage import durable
 from .models import _features
 from .registry import query
 from .synth import oracle, table
@@ -137,7 +138,7 @@ def d17_containment_variants(spark, d):
 FROM footprint, (SELECT CAST(unnest([0, 1, 2, 3, 4, 5, 7]) AS INT) AS face) f WHERE pid % 6 <> 0"""))
 def d38_inferred_semantics(spark, d):
     """Halves of a model's faces take the kind of the face that they lie on; a level face in between, turned down, takes its kind from its height."""
-    f = cityjson.faces(_features(spark, d), [0.5, 0.5, 0.25], [100.0, 200.0, 0.0])
+    f = durable(cityjson.faces(_features(spark, d, spread=True), [0.5, 0.5, 0.25], [100.0, 200.0, 0.0]), "faces")  # read four times; lines are parsed once
     ring = F.col("rings")[0]
     middle = lambda a, b: F.struct(*[((a[c] + b[c]) / 2).alias(c) for c in "xyz"])
     half = F.array(ring[0], middle(ring[0], ring[1]), middle(ring[2], ring[3]), ring[3])

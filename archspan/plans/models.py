@@ -28,8 +28,11 @@ def _named(text: str, name: str) -> str:
     return text.replace("{", "{{").replace("}", "}}").replace(f"FROM {name}", f"FROM {{{name}}}")
 
 
-def _features(spark, d):
-    return cityjson.parse(spark.sql(_named(FEATURE, "footprint"), footprint=table(spark, d, "footprint")))
+def _features(spark, d, spread=False):
+    """spread: lines are dealt to all tasks before they are parsed, since a small file of keys is few tasks' input."""
+    f = table(spark, d, "footprint")
+    f = f.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "pid") if spread else f
+    return cityjson.parse(spark.sql(_named(FEATURE, "footprint"), footprint=f))
 
 
 @query(oracle("SELECT concat('b', pid) AS id, 'u1' AS source, w * h * 0.25e0 AS area FROM footprint WHERE pid % 6 <> 0"))

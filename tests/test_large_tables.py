@@ -68,3 +68,9 @@ def test_grid_coordinates_far_from_the_country(spark, tmp_path):
     lon, lat = rd_to_wgs84(F.lit(121687.43), F.lit(487484.06))
     r = spark.range(1).select(lon, lat).first()
     assert r[0] == pytest.approx(4.89801, abs=1e-5) and r[1] == pytest.approx(52.37422, abs=1e-5)
+
+
+def test_models_of_inferred_kinds_are_not_broadcast(spark, tmp_path):
+    agrees(spark, tmp_path, "d38_inferred_semantics", part=PART.format("i", 40))
+    plan = plans.QUERIES["d38_inferred_semantics"](spark, str(tmp_path))._jdf.queryExecution().toString()
+    assert "Broadcast" not in plan and "from_json" not in plan
